@@ -6,6 +6,7 @@ import importlib
 
 #: query -> (module, function, attribute with its SQL or None)
 _TABLE = {
+    "op3_minhash": ("minhash", "op3_minhash", None),
     "op6_bpe": ("bpe", "op6_bpe", None),
     "op2_quality_rules": ("rules", "op2_quality_rules", "OP2_SQL"),
 }
