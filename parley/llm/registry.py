@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import importlib
 
-#: query -> (module, function, attribute with its SQL or None)
+#: query -> (module, attribute with its SQL or None); the function is named like the query
 _TABLE = {
-    "op3_minhash": ("minhash", "op3_minhash", None),
-    "op6_bpe": ("bpe", "op6_bpe", None),
-    "op2_quality_rules": ("rules", "op2_quality_rules", "OP2_SQL"),
+    "op2_quality_rules": ("rules", "OP2_SQL"),
+    "op3_minhash": ("minhash", None),
+    "op4_pii": ("pii", None),
+    "op6_bpe": ("bpe", None),
+    "op8_sharding": ("hilbert", None),
+    "op9_mixing": ("mixing", "OP9_SQL"),
 }
 
 
 def queries() -> dict:
-    return {name: getattr(importlib.import_module(f"parley.llm.{module}"), f) for name, (module, f, _) in _TABLE.items()}
+    return {name: getattr(importlib.import_module(f"parley.llm.{module}"), name) for name, (module, _) in _TABLE.items()}
 
 
 def oracle_sql() -> dict:
-    return {name: getattr(importlib.import_module(f"parley.llm.{module}"), sql) for name, (module, _, sql) in _TABLE.items() if sql}
+    return {name: getattr(importlib.import_module(f"parley.llm.{module}"), sql) for name, (module, sql) in _TABLE.items() if sql}
