@@ -9,10 +9,12 @@ and a bounded memory of recent pieces saves most of the work.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
+import struct
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import cache
+from heapq import heapify, heappop, heappush
 from itertools import accumulate
 
 import pyarrow as pa
@@ -22,11 +24,13 @@ from pyspark.sql import types as T
 
 #: White space as the tokenizer's pattern engine sees it.
 SPACE_CLASS = "\t-\r \x85\xa0  -     　"
-#: Remembered pieces of a worker, and the longest piece remembered, in characters.
-REMEMBERED = 200_000
+#: Pieces and words that a worker remembers in each of two generations, and the longest of them in characters.
+REMEMBERED = 250_000
 REMEMBERED_CHARS = 64
 #: Texts are handed on in Arrow batches of about so many bytes of output.
 BATCH_BYTES = 8 << 20
+#: Ids and ranks are below this.
+WIDE = 1 << 20
 OUTPUTS = {
     "n_tokens": (T.LongType(), pa.int64()),
     "ids": (T.ArrayType(T.IntegerType(), False), pa.list_(pa.field("element", pa.int32(), False))),
@@ -55,8 +59,8 @@ class Tokenizer:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"] if t["special"]}
         self.strings = {i: s for s, i in [*self.vocab.items(), *self.special.items()]}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        #: (left id, right id) -> (rank, id of the whole)
-        self.merges = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        #: left id and right id -> rank and id of the whole, each pair in one number: left * WIDE + right
+        self.merges = {self.vocab[a] * WIDE + self.vocab[b]: rank * WIDE + self.vocab[a + b] for rank, (a, b) in enumerate(pairs)}
         symbols = byte_symbols()
         self.inner = [self.vocab[s] for s in symbols]
         self.final = [self.vocab[s + self.suffix] for s in symbols]
@@ -64,50 +68,57 @@ class Tokenizer:
         self.words = regex.compile(split["pattern"]["Regex"].replace(r"\s", SPACE_CLASS))
         self.gaps = regex.compile(f"[{SPACE_CLASS}]+")
         self.marks = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self.known = _Known(self)
+        self.of_word = _Remembered(lambda word: self.merged(word.encode()))
+        self.known = _Remembered(self._piece_both)
 
-    def merged(self, word: bytes) -> list[int]:
+    def merged(self, word: bytes) -> tuple[int, ...]:
         """Ids of one word.
 
-        Symbols form a doubly linked list. The queue holds (rank, place, left id, right id) of adjacent
-        pairs; an entry is stale, and skipped, if its place no longer holds that pair.
+        Symbols form a doubly linked list. The queue holds rank and place of adjacent pairs in one number;
+        an entry is stale, and skipped, if the pair that now stands at its place has another rank.
         """
         ids = [self.inner[b] for b in word]
         ids[-1] = self.final[word[-1]]
-        n = len(ids)
-        before, after, alive = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
-        queue = [(self.merges[p][0], i, *p) for i, p in enumerate(zip(ids, ids[1:])) if p in self.merges]
-        heapq.heapify(queue)
+        n, find = len(ids), self.merges.get
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        queue = [m << 32 | i for i in range(n - 1) if (m := find(ids[i] * WIDE + ids[i + 1])) is not None]
+        heapify(queue)
         while queue:
-            _, i, left, right = heapq.heappop(queue)
-            j = after[i]
-            if not alive[i] or j >= n or ids[i] != left or ids[j] != right:
+            top = heappop(queue)
+            i = top & 0xFFFFFFFF
+            if (j := after[i]) >= n or find(ids[i] * WIDE + ids[j]) != top >> 32:
                 continue
-            ids[i] = self.merges[left, right][1]
-            alive[j] = False
+            ids[i] = own = (top >> 32) % WIDE
+            ids[j] = -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (p := (ids[i], ids[k])) in self.merges:
-                    heapq.heappush(queue, (self.merges[p][0], i, *p))
-            if (h := before[i]) >= 0 and (p := (ids[h], ids[i])) in self.merges:
-                heapq.heappush(queue, (self.merges[p][0], h, *p))
-        return [x for x, on in zip(ids, alive) if on]
+                if (m := find(own * WIDE + ids[k])) is not None:
+                    heappush(queue, m << 32 | i)
+            if (h := before[i]) >= 0 and (m := find(ids[h] * WIDE + own)) is not None:
+                heappush(queue, m << 32 | h)
+        return tuple(x for x in ids if x >= 0)
 
-    def piece(self, text: str) -> list[int]:
+    def piece(self, text: str) -> Sequence[int]:
         """Ids of a piece without white space; strings of special tokens in it stand for their ids."""
+        if not any(mark in text for mark in self.special):
+            return self._plain(text)
         out: list[int] = []
         at = 0
-        for m in self.marks.finditer(text) if self.marks else ():
+        for m in self.marks.finditer(text):
             out += self._plain(text[at : m.start()])
             out.append(self.special[m[0]])
             at = m.end()
-        return out + self._plain(text[at:])
+        return [*out, *self._plain(text[at:])]
 
-    def _plain(self, text: str) -> list[int]:
+    def _plain(self, text: str) -> tuple[int, ...]:
         # Case mapping is by character there: a final capital sigma gets no form of its own.
-        lower = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        return [x for m in self.words.finditer(lower) for x in self.merged(m[0].encode())]
+        lower = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if lower.isalpha():
+            return self.of_word[lower]
+        if lower[:-1].isalpha():  # letters and one other character, which stands alone
+            return self.of_word[lower[:-1]] + self.of_word[lower[-1]]
+        return tuple(x for m in self.words.finditer(lower) for x in self.of_word[m[0]])
 
     def pieces(self, text: str) -> list[str]:
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to str.split, not to the tokenizer
@@ -121,30 +132,41 @@ class Tokenizer:
         """The file names no decoder, so the strings of the vocabulary are joined by one blank."""
         return " ".join([self.strings[i] for i in ids])
 
+    def _piece_both(self, piece: str) -> tuple[bytes, str]:
+        ids = self.piece(piece)
+        return struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)
+
     def both(self, text: str) -> tuple[bytes, str]:
         """Little-endian 32-bit ids, and the decoded text."""
         found = [self.known[p] for p in self.pieces(text)]
         return b"".join([x[0] for x in found]), " ".join([x[1] for x in found])
 
 
-class _Known(dict):
-    """piece -> (bytes of its ids, its decoded text), forgotten all at once when full."""
+class _Remembered(dict):
+    """text -> value(text). A full generation becomes the older one, which is asked before value is."""
 
-    def __init__(self, tokenizer: Tokenizer):
-        self.tokenizer = tokenizer
+    def __init__(self, value: Callable[[str], object]):
+        self.value, self.older = value, {}
 
-    def __missing__(self, piece: str) -> tuple[bytes, str]:
-        ids = self.tokenizer.piece(piece)
-        value = b"".join(i.to_bytes(4, "little") for i in ids), self.tokenizer.decode(ids)
-        if len(piece) <= REMEMBERED_CHARS:
+    def __missing__(self, text: str) -> object:
+        if (found := self.older.get(text)) is None:
+            found = self.value(text)
+        if len(text) <= REMEMBERED_CHARS:
             if len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
-            self[piece] = value
-        return value
+            self[text] = found
+        return found
+
+
+@cache
+def tokenizer_of(path: str) -> Tokenizer:
+    """One for each file in a Python process, so that what it remembers serves several tasks."""
+    return Tokenizer(path)
 
 
 def _batches(batches: Iterator[pa.RecordBatch], path: str, text: str, keep: list[str], outputs: list[str]) -> Iterator[pa.RecordBatch]:
-    tokenizer = Tokenizer(path)
+    tokenizer = tokenizer_of(path)
 
     def made(rows: list[tuple[bytes, str]], kept: pa.RecordBatch) -> pa.RecordBatch:
         columns = []
