@@ -6,6 +6,8 @@ import importlib
 
 #: query -> (module, attribute with its SQL or None); the function is named like the query
 _TABLE = {
+    "op5_topk": ("kdtree", "OP5_SQL"),
+    "op1_chat": ("chat", "OP1_SQL"),
     "op2_quality_rules": ("rules", "OP2_SQL"),
     "op3_minhash": ("minhash", None),
     "op4_pii": ("pii", None),
