@@ -6,6 +6,7 @@ import importlib
 
 #: query -> (module, attribute with its SQL or None); the function is named like the query
 _TABLE = {
+    "op10_passages": ("passages", None),
     "op7_langid": ("langid", None),
     "op5_topk": ("kdtree", "OP5_SQL"),
     "op1_chat": ("chat", "OP1_SQL"),
