@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-_QUERIES: dict = {}
-_ORACLE: dict = {}
+from parley.plans import dialogue
+
+_MODULES = (dialogue,)
 
 
 def queries() -> dict:
-    return dict(_QUERIES)
+    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return dict(_ORACLE)
+    return {name: sql for m in _MODULES for name, sql in m.SQL.items()}
