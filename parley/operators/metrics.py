@@ -36,7 +36,7 @@ def closing_order(tail: Column) -> Column:
     found = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), tx.first_at(tail, p).alias("at")) for i, p in enumerate(lx.CLOSING_STAGES)]), lambda s: s["at"] > 0)
     by_place = F.array_sort(F.transform(found, lambda s: F.struct(s["at"].alias("at"), s["i"].alias("i"))))
     order = F.transform(by_place, lambda s: s["i"])
-    return F.when(F.size(found) >= 2, (order == F.array_sort(order)).cast("long"))
+    return F.when(F.size(found) >= 2, (order == F.array_sort(order)).cast("double"))
 
 
 def conversation_metrics(turns: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from parley.plans import dialogue
+from parley.plans import analysis, dialogue
 
-_MODULES = (dialogue,)
+_MODULES = (dialogue, analysis)
 
 
 def queries() -> dict:

@@ -209,7 +209,7 @@ SQL = {
     "info_density": WITH + ", d AS (SELECT conv_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '') AS ws FROM turns), r AS (SELECT conv_id, len(list_filter(ws, lambda w: w NOT IN (" + ", ".join(f"'{w}'" for w in lx.STOP_WORDS) + ")))::DOUBLE / len(ws) AS c FROM d WHERE len(ws) > 0) SELECT conv_id, CASE WHEN avg(c) <> 0 THEN coalesce(stddev_samp(c), 0) / avg(c) END AS density_cv FROM r GROUP BY 1",
     "closing_order": WITH + ", t AS (SELECT conv_id, lower(string_agg(ascii, ' ' ORDER BY turn_index) FILTER (back <= 6)) AS tail, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn_index DESC) AS back FROM turns) GROUP BY 1), p AS (SELECT conv_id, n, list_filter(["
     + ", ".join(f"CASE WHEN regexp_matches(tail, '{_q(p)}') THEN length(regexp_replace(tail, '(?s)(?:{_q(p)}).*', '')) END" for p in lx.CLOSING_STAGES)
-    + "], lambda x: x IS NOT NULL) AS pl FROM t) SELECT conv_id, CASE WHEN n >= 4 AND len(pl) >= 2 THEN (pl = list_sort(pl))::BIGINT END AS closing_order FROM p",
+    + "], lambda x: x IS NOT NULL) AS pl FROM t) SELECT conv_id, CASE WHEN n >= 4 AND len(pl) >= 2 THEN (pl = list_sort(pl))::INT::DOUBLE END AS closing_order FROM p",
     "condition_summary": WITH + ", m AS (SELECT conv_id, condition, avg(words) AS mean_words, count(*) AS n_turns, avg((words < 5)::INT) AS short_share, count(*) FILTER (" + _has("ascii", lx.BACKCHANNEL_PRESENCE) + " AND " + _has("ascii", lx.BACKCHANNEL_FULL) + ")::DOUBLE / nullif(count(*) FILTER (" + _has("ascii", lx.BACKCHANNEL_PRESENCE) + "), 0) AS backchannel_ratio FROM turns GROUP BY ALL) SELECT condition, count(*)::BIGINT AS n, "
     + ", ".join(f"avg({k}) AS {k}_mean, CASE WHEN count({k}) > 0 THEN coalesce(stddev_samp({k}), 0) END AS {k}_sd" for k in ("mean_words", "n_turns", "short_share", "backchannel_ratio")) + " FROM m GROUP BY condition",
     "condition_table": WITH + _JOINED + ", p AS (SELECT condition, avg(words) AS words_per_turn, count(*)::BIGINT AS turns, count(DISTINCT conv_id)::BIGINT AS conversations FROM turns GROUP BY 1), c AS (SELECT DISTINCT conv_id, condition FROM turns), r AS (SELECT condition, " + ", ".join(f"avg(100.0::DOUBLE * {_count('ascii', p)} / greatest(words, 1)) AS {k}_per_100" for k, p in lx.MARKERS.items()) + " FROM joined JOIN c USING (conv_id) GROUP BY 1) SELECT * FROM p JOIN r USING (condition)",
