@@ -5,12 +5,17 @@
    are counted, not posted. In the order (how many classes hold it, value) two classes that share at
    least MATCHES coordinates also share one of each one's first COORDINATES - MATCHES + 1: only this
    prefix is posted, so a value that a very common passage gives to a third of all documents is skipped.
-3. In each posting list every class meets the list's first class; collisions are counted by pair, pairs
-   whose signatures agree in MATCHES coordinates are confirmed on the full sets, and components formed.
-   This is linear in the postings, and a family of near copies falls together.
-4. What is then left of a list are classes outside the component of its first class: they meet the
-   list's classes of other components. So each pair of a list is either checked, or known to be in one
-   component already; none is dropped, and copies are never expanded into pairs.
+3. In each posting list every class meets the list's hub: the class whose values are the most common
+   (the text that the others were made from, as a change gives rarer values). Collisions are counted by
+   pair, pairs whose signatures agree in MATCHES coordinates are confirmed on the full sets, and
+   components formed. This is linear in the postings, and a family of near copies falls together.
+4. What shares an open list (one that still holds several components) shares its hub. The classes of a
+   hub's open lists are compared in blocks: dealt by hash into chunks of bounded size, each pair of chunks
+   is one task. It first tells by the signatures which classes have a likely partner in another
+   component; those then meet once more with their texts, where it counts the common shingles of all its
+   pairs by a matrix product and returns one link for each pair of components that has any. So each pair
+   of a list is either checked, or known to be in one component already; none is dropped, and copies are
+   never expanded into pairs.
 """
 
 from __future__ import annotations
@@ -24,11 +29,18 @@ from pyspark.sql import functions as F
 
 from parley.llm import textbuf as tb
 from parley.llm.components import components
+from parley.llm.lineage import cut, release
 
 #: A pair at the threshold 0.8 falls short of 25 of 48 agreements with a chance of about 4e-6; more alike
 #: pairs much less often.
 COORDINATES, MATCHES = 48, 25
 THRESHOLD_PERCENT = 80
+#: Rows of three numbers sent to all executors to find the texts to confirm; more rows are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+#: A chunk of a hub's classes: so many sets, and so many shingles in them, on the average at most.
+CHUNK_SETS, CHUNK_SHINGLES = 800, 500_000
+#: Shingles in one step of the matrix product.
+TILE = 2048
 
 _ODD = tb.mix(np.arange(1, 1 + COORDINATES, dtype=tb.U) * tb.U(0x8CB92BA72F3D8DD7)) | tb.U(1)
 _SALT = tb.mix(np.arange(101, 101 + COORDINATES, dtype=tb.U))
@@ -76,29 +88,83 @@ def _sketch(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             f1, f2 = _key(grams, starts)
             sig = pa.FixedSizeListArray.from_arrays(pa.array(_signatures(grams, starts).view(np.int64).ravel()), COORDINATES)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(starts)), pa.array(f1), pa.array(f2), sig.cast(pa.list_(pa.int64()))],
-                names=["id", "n", "f1", "f2", "sig"],
+                [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(np.diff(starts)), pa.array(f1), pa.array(f2), sig.cast(pa.list_(pa.int64()))],
+                names=["id", "th", "n", "f1", "f2", "sig"],
             )
 
 
-def _whole(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo, hi, grams, starts in _sets(batch.column(1), k):
-            f1, f2 = _key(grams, starts)
-            sets = pa.array([grams[a:b].tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(f1), pa.array(f2), sets], names=["id", "f1", "f2", "grams"])
+def _each(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """The set of each text."""
+    for _, _, grams, starts in _sets(texts, k):
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            yield grams[a:b]
 
 
-def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _confirm(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (a, b, text of a, text of b) the linked pairs."""
     for batch in batches:
-        a, b, left, right = (batch.column(i) for i in range(4))
         keep = []
-        for i in range(len(a)):
-            x, y = np.frombuffer(left[i].as_buffer(), tb.U), np.frombuffer(right[i].as_buffer(), tb.U)
+        for i, (x, y) in enumerate(zip(_each(batch.column(2), k), _each(batch.column(3), k))):
             common = len(np.intersect1d(x, y, assume_unique=True))
             if 100 * common >= percent * (len(x) + len(y) - common):
                 keep.append(i)
-        yield pa.RecordBatch.from_arrays([a.take(pa.array(keep, pa.int64())), b.take(pa.array(keep, pa.int64()))], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(keep, pa.int64())) for i in (0, 1)], names=["a", "b"])
+
+
+def _block(table: pa.Table, k: int, percent: int) -> pa.Table:
+    """One link for each pair of components with a link in this block: columns cid, at, text."""
+    cid, at = (np.asarray(table.column(c).to_numpy()) for c in ("cid", "at"))
+    sets = [x for texts in table.column("text").chunks for x in _each(texts, k)]
+    size = np.array([len(x) for x in sets])
+    row = np.repeat(np.arange(len(sets)), size)
+    _, token, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = held[token] > 1
+    row, token = row[shared], np.unique(token[shared], return_inverse=True)[1]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for lo in range(0, int(token.max()) + 1 if len(token) else 0, TILE):
+        here = (token >= lo) & (token < lo + TILE)
+        marks = np.zeros((len(sets), TILE), np.float32)
+        marks[row[here], token[here] - lo] = 1
+        common += marks @ marks.T
+    found = []
+    for lo in range(0, len(sets), 256):  # by rows, to keep the wide intermediates small
+        part, rows = common[lo : lo + 256].astype(np.float64), slice(lo, lo + 256)
+        linked = 100 * part >= percent * (size[rows, None] + size[None, :] - part)
+        x, y = np.nonzero(linked & (at[rows, None] < at[None, :]))
+        found.append(np.stack([x + lo, y]))
+    x, y = np.concatenate(found, 1)
+    ends = np.sort(np.stack([at[x], at[y]]), 0)
+    _, first = np.unique(ends, axis=1, return_index=True)
+    return pa.table({"a": cid[x[first]], "b": cid[y[first]]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def _close(table: pa.Table) -> pa.Table:
+    """The members that agree in MATCHES coordinates with one of another component: columns a, cid, at, sig."""
+    at = np.asarray(table.column("at").to_numpy())
+    sigs = np.concatenate([x.flatten().to_numpy().reshape(len(x), COORDINATES) for x in table.column("sig").chunks if len(x)])
+    agree = np.zeros((len(at), len(at)), np.uint8)
+    for j in range(COORDINATES):
+        agree += sigs[:, j, None] == sigs[None, :, j]
+    near = ((agree >= MATCHES) & (at[:, None] != at[None, :])).any(1)
+    return table.select(["a", "cid"]).filter(pa.array(near))
+
+
+def dealt(member: DataFrame) -> DataFrame:
+    """(a, lo, hi, cid, at): the members (a, cid, at, n) of each hub a, dealt by hash into chunks of bounded size, once
+    for each pair of chunks they stand in. Hubs with one component only are left out."""
+    groups = (
+        member.groupBy("a").agg(
+            F.ceil(F.greatest(F.count("*") / CHUNK_SETS, F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("chunks"),
+            F.min("at").alias("least"), F.max("at").alias("most"),
+        )
+        .filter("least <> most").select("a", "chunks")
+    )
+    return (
+        member.join(groups, "a")
+        .withColumn("own", F.pmod(F.xxhash64("cid"), "chunks").cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .select("a", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "cid", "at")
+    )
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", k: int = 5, percent: int = THRESHOLD_PERCENT) -> DataFrame:
@@ -111,70 +177,79 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", k:
     id never stands for its component while another id is there; alone it gives a null component_id and
     kept true. An empty table gives an empty table. Other columns of docs are left out.
     """
-    pairs_of = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
     schema = f"id {docs.schema[id].dataType.simpleString()}, "
-    sketch = pairs_of.mapInArrow(lambda it: _sketch(it, k), schema + "n long, f1 long, f2 long, sig array<long>").checkpoint()
+    sketch = cut(rows.mapInArrow(lambda it: _sketch(it, k), schema + "th long, n long, f1 long, f2 long, sig array<long>"))
 
     # Equal sets: one class. Its number is fixed by the checkpoint.
-    least = sketch.filter("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.any_value("sig").alias("sig"))
-    classes = least.withColumn("cid", F.monotonically_increasing_id()).checkpoint()
+    least = sketch.filter("n > 0").groupBy("f1", "f2").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("rep"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig"))
+    classes = cut(least.withColumn("cid", F.monotonically_increasing_id()))
 
     held = classes.select("cid", F.explode("sig").alias("value"))
     common = held.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
-    prefix = (
+    prefix = cut(
         held.join(common, "value")
         .groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("own"))  # COORDINATES at most
         .withColumn("room", F.size("own") - (MATCHES - 1))
         .filter("room > 0")
-        .select("cid", F.explode(F.slice("own", 1, F.col("room"))["value"]).alias("value"))
-        .checkpoint()
-    )
-    first = prefix.groupBy("value").agg(F.min("cid").alias("a"), F.count("*").alias("g")).filter("g > 1").select("value", "a")
-    posted = prefix.join(first, "value").select("value", F.col("cid").alias("b"), "a").checkpoint()
-
-    # The sets of classes that stand in a pair; computed again, as the sets of all would be as large as the corpus.
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        sig = lambda x: classes.select(F.col("cid").alias(x), F.col("sig").alias("sig_" + x))
-        likely = (
-            pairs.join(sig("a"), "a").join(sig("b"), "b")
-            .filter(F.size(F.array_intersect("sig_a", "sig_b")) >= MATCHES)
-            .select("a", "b").checkpoint()
-        )
-        if likely.isEmpty():
-            return likely
-        needed = likely.select("a").union(likely.select("b")).distinct().withColumnRenamed("a", "cid")
-        wanted = classes.select("cid", "f1", "f2", F.col("rep").alias("id")).join(needed, "cid")
-        whole = pairs_of.mapInArrow(lambda it: _whole(it, k), schema + "f1 long, f2 long, grams binary")
-        same = (whole["f1"] == wanted["f1"]) & (whole["f2"] == wanted["f2"]) & whole["id"].eqNullSafe(wanted["id"])
-        sets = whole.join(wanted, same).select("cid", "grams").dropDuplicates(["cid"]).checkpoint()
-        both = (
-            likely.join(sets.select(F.col("cid").alias("a"), F.col("grams").alias("x")), "a")
-            .join(sets.select(F.col("cid").alias("b"), F.col("grams").alias("y")), "b")
-            .select("a", "b", "x", "y")
+        .select(
+            F.struct(F.aggregate("own", F.lit(0).cast("long"), lambda n, x: n + x["df"]).alias("weight"), F.col("cid")).alias("rank"),
+            F.explode(F.slice("own", 1, F.col("room"))["value"]).alias("value"),
         )
-        return both.mapInArrow(lambda it: _confirm(it, percent), "a long, b long").checkpoint()
-
-    # Collisions with each list's first class.
-    links = confirmed(posted.filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("collisions")))
+    )
+    hub = prefix.groupBy("value").agg(F.max("rank")["cid"].alias("a"), F.count("*").alias("g")).filter("g > 1").select("value", "a")
+    posted = cut(prefix.join(hub, "value").select("value", F.col("rank")["cid"].alias("b"), "a"))
+
+    # The texts of few classes are needed, each class by the row that stands for it.
+    def texts_of(cids: DataFrame) -> DataFrame:
+        wanted = cut(classes.join(cids, "cid").select("cid", F.col("rep")["id"].alias("wid"), F.col("rep")["th"].alias("wth")))
+        if wanted.count() <= BROADCAST_ROWS:
+            wanted = F.broadcast(wanted)
+        same = F.col("id").eqNullSafe(F.col("wid")) & F.col("th").eqNullSafe(F.col("wth"))
+        return rows.join(wanted, same).select("cid", "text").dropDuplicates(["cid"])
+
+    # Collisions with each list's hub.
+    release(docs.sparkSession)
+    sig = lambda x: classes.select(F.col("cid").alias(x), F.col("sig").alias("sig_" + x))
+    likely = cut(
+        posted.filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("collisions"))
+        .join(sig("a"), "a").join(sig("b"), "b")
+        .filter(F.size(F.array_intersect("sig_a", "sig_b")) >= MATCHES)
+        .select("a", "b")
+    )
+    texts = texts_of(likely.select("a").union(likely.select("b")).distinct().withColumnRenamed("a", "cid"))
+    links = cut(
+        likely.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("x")), "a")
+        .join(texts.select(F.col("cid").alias("b"), F.col("text").alias("y")), "b")
+        .select("a", "b", "x", "y")
+        .mapInArrow(lambda it: _confirm(it, k, percent), "a long, b long")
+    )
     root = components(links)
-    here = (
-        posted.join(root.withColumnsRenamed({"node": "b", "root": "root_b"}), "b", "left")
-        .join(root.withColumnsRenamed({"node": "a", "root": "root_a"}), "a", "left")
-        .select("value", "b", "a", F.coalesce("root_b", "b").alias("at"), F.coalesce("root_a", "a").alias("home"))
-    ).checkpoint()
-    # What a first class didn't take in meets the rest of its list.
-    out = here.filter("at <> home").select("value", F.col("b").alias("x"), F.col("at").alias("x_at"))
-    rest = here.filter("b <> a").select("value", F.col("b").alias("y"), F.col("at").alias("y_at"), (F.col("at") != F.col("home")).alias("out"))
-    cross = (
-        out.join(rest, "value").filter("x_at <> y_at and (not out or x < y)")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+    # What a hub didn't take in.
+    release(docs.sparkSession)
+    here = cut(
+        posted.join(root.withColumnsRenamed({"node": "b", "root": "at"}), "b", "left")
+        .join(root.withColumnsRenamed({"node": "a", "root": "home"}), "a", "left")
+        .select("value", "a", "b", F.coalesce("at", "b").alias("at"), F.coalesce("home", "a").alias("home"))
     )
-    more = confirmed(cross)
-    if not more.isEmpty():
+    mixed = here.filter("at <> home").select("value").distinct()
+    open_lists = cut(here.join(mixed, "value", "left_semi").select("a", "b", "at").distinct())
+    if not open_lists.isEmpty():
+        member = open_lists.join(classes.select(F.col("cid").alias("b"), "n"), "b").withColumnRenamed("b", "cid")
+        # First by signatures alone: which members have a likely partner in another component.
+        close = (
+            dealt(member).join(classes.select("cid", "sig"), "cid")
+            .groupBy("a", "lo", "hi").applyInArrow(_close, "a long, cid long").distinct()
+        )
+        blocks = cut(dealt(cut(member.join(close, ["a", "cid"]))))
+        texts = texts_of(blocks.select("cid").distinct())
+        more = blocks.join(texts, "cid").groupBy("a", "lo", "hi").applyInArrow(lambda t: _block(t, k, percent), "a long, b long")
         root = components(links.union(more))
 
+    release(docs.sparkSession)
     ids = classes.select("f1", "f2", "cid", "rep").join(root, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
-    lowest = ids.groupBy("root").agg(F.min("rep").alias("component"))
+    lowest = ids.groupBy("root").agg(F.min(F.col("rep")["id"]).alias("component"))
     named = ids.join(lowest, "root").select("f1", "f2", "component")
     joined = sketch.join(named, ["f1", "f2"], "left").withColumn("component", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")))
     return joined.select(
@@ -194,3 +269,16 @@ def one_of_each(docs: DataFrame, text: str = "text", id: str = "doc_id", k: int
 
 def op3_minhash(spark, sf_dir):
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=2)
+
+
+#: The same by counting common shingles of all pairs, for small tables.
+OP3_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) > 1 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) ELSE ws END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc_id WHERE l.b > r.root)
+SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(root) AS component_id, doc_id = min(root) AS kept FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""

@@ -11,7 +11,7 @@ _TABLE = {
     "op5_topk": ("kdtree", "OP5_SQL"),
     "op1_chat": ("chat", "OP1_SQL"),
     "op2_quality_rules": ("rules", "OP2_SQL"),
-    "op3_minhash": ("minhash", None),
+    "op3_minhash": ("minhash", "OP3_SQL"),
     "op4_pii": ("pii", None),
     "op6_bpe": ("bpe", None),
     "op8_sharding": ("hilbert", None),
