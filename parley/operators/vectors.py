@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from parley.functions import text as tx
+from parley.operators.turns import joined_text
 
 VOCABULARY = 12_000
 
@@ -66,9 +67,13 @@ def term_counts(texts: DataFrame) -> DataFrame:
     return texts.select("id", F.explode(tx.tokens(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
-def conversation_vectors(turns: DataFrame, embedder: Embedder | None = None) -> DataFrame:
-    """conv_id, term, w: the mean of the turn vectors, of length 1; turns without terms count in the mean."""
+def conversation_vectors(turns: DataFrame, embedder: Embedder | None = None, mode: str = "turns", max_chars: int = 0) -> DataFrame:
+    """conv_id, term, w. mode turns: the mean of the turn vectors, of length 1, where turns without terms count in the
+    mean; concat: the vector of the whole labelled conversation, cut to max_chars if that isn't 0."""
     embedder = embedder or Tfidf()
+    if mode == "concat":
+        texts = joined_text(turns, sep="\n", labels=True, max_chars=max_chars).withColumnRenamed("conv_id", "id")
+        return embedder.fit(texts).encode(texts).withColumnRenamed("id", "conv_id")
     texts = turns.select(F.struct("conv_id", "turn_index").alias("id"), "text")
     rows = embedder.fit(texts).encode(texts).groupBy(F.col("id.conv_id").alias("conv_id"), "term").agg(F.sum("w").alias("w"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("conv_id")))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from parley.functions import lexicon as lx
 from parley.functions import text as tx
 from parley.operators import generation as gen
-from parley.operators import inference, metrics, vectors
+from parley.operators import inference, labels, metrics, vectors
+from parley.plans import dialogue
 from parley.sources import conversations as src
 from parley.sources import sinks
 from parley.sources.conversations import TURNS_SQL, table_turns
@@ -65,6 +66,20 @@ def ced_nn(spark, sf_dir):
     return _rounded(vectors.nearest(members.select("id", "condition"), v, ["condition"]))
 
 
+def ced_concat(spark, sf_dir):
+    turns = table_turns(spark, sf_dir)
+    members = turns.select(F.col("conv_id").alias("id"), "condition").distinct()
+    v = vectors.conversation_vectors(turns, mode="concat", max_chars=2000).withColumnRenamed("conv_id", "id")
+    return _rounded(vectors.dispersion(members, v, ["condition"]))
+
+
+def group_social(spark, sf_dir):
+    """Group means with anchoring beside the label indices."""
+    turns = table_turns(spark, sf_dir)
+    indices = labels.conversation_indices(labels.labelled(turns)).join(vectors.cas_by_conversation(vectors.anchoring(turns)), "conv_id", "left")
+    return _rounded(labels.group_indices(indices))
+
+
 def ced_embeddings(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v"))
     v, members = vectors.to_sparse(e), e.select("id", "label")
@@ -137,6 +152,19 @@ def ols_omnibus(spark, sf_dir):
     return inference.omnibus(_by_conversation(spark, sf_dir), "condition", "words", "SB").drop("p", "p_F")
 
 
+def ols_markers(spark, sf_dir):
+    rows = _by_conversation(spark, sf_dir)
+    tests = [inference.omnibus(rows, "condition", k, "SB").drop("p", "p_F").withColumn("marker", F.lit(k)) for k in lx.MARKERS]
+    return _rounded(tests[0].union(tests[1]).union(tests[2]))
+
+
+def few_shot(spark, sf_dir):
+    """Excerpt from beyond the first 20 conversations by name."""
+    turns = table_turns(spark, sf_dir).select(F.element_at(F.split("conv_id", "/"), -1).cast("long").alias("conversation_no"), "turn_index", "speaker", "text")
+    files = turns.select("conversation_no", F.format_string("sw_%06d", "conversation_no").alias("file")).distinct()
+    return gen.few_shot(turns, files, skip=20, n_turns=4)
+
+
 def p_values(spark, sf_dir):
     rows = _by_conversation(spark, sf_dir)
     a = inference.welch(rows, "condition", "words", "SB").select("condition", F.lit("welch").alias("test"), "p")
@@ -283,6 +311,9 @@ SQL = {
     "ced_nn": WITH + _ced_sql("condition", 1) + "SELECT mem.id, mem.condition, nn_distance FROM nn JOIN mem USING (id)",
     "ced_embeddings": "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings), x AS (SELECT vec_id, label, unnest(v) AS w, generate_subscripts(v, 1) AS i FROM e), c AS (SELECT label, i, sum(w) AS c FROM x GROUP BY ALL), l AS (SELECT label, sqrt(sum(c * c)) AS len FROM c GROUP BY 1), d AS (SELECT vec_id, label, 1 - sum(w * c) / any_value(len) AS d FROM x JOIN c USING (label, i) JOIN l USING (label) GROUP BY ALL) SELECT label, count(*)::BIGINT AS n, avg(d) AS \"CED\", min(d) AS min_distance, max(d) AS max_distance FROM d GROUP BY label",
     "nn_embeddings": "SELECT a.vec_id, a.label, 1 - max(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS nn_distance FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY ALL",
+    "ced_concat": WITH + ", docs AS (SELECT conv_id AS id, left(string_agg(speaker || ': ' || text, chr(10) ORDER BY turn_index), 2000) AS text FROM turns GROUP BY 1)" + _vectors_sql("docs") + ", mem AS (SELECT DISTINCT conv_id AS id, condition FROM turns), ce AS (SELECT condition, term, sum(w) AS c FROM mem JOIN vec USING (id) GROUP BY ALL), ln AS (SELECT condition, sqrt(sum(c * c)) AS len FROM ce GROUP BY 1), dt AS (SELECT id, sum(w * c) AS dot FROM mem JOIN vec USING (id) JOIN ce USING (condition, term) GROUP BY 1), dist AS (SELECT condition, 1 - coalesce(dot / len, 0) AS d FROM mem LEFT JOIN dt USING (id) LEFT JOIN ln USING (condition)) SELECT condition, count(*)::BIGINT AS n, avg(d) AS \"CED\", min(d) AS min_distance, max(d) AS max_distance FROM dist GROUP BY condition",
+    "group_social": WITH + dialogue._TSI_SQL + _CAS + ", cc AS (SELECT conv_id, avg(cas) AS \"CAS\" FROM cas GROUP BY 1) SELECT condition, count(*)::BIGINT AS n_conversations, " + ", ".join(f'avg("{k}") AS "mean_{k}"' for k in labels.GROUPED) + " FROM tsi LEFT JOIN cc USING (conv_id) GROUP BY condition",
+    "few_shot": WITH + ", f AS (SELECT no, printf('sw_%06d', no) AS file, count(*) AS n FROM base GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY file) AS i FROM f), o AS (SELECT no FROM r WHERE i > 20 AND n >= 6 ORDER BY file LIMIT 1) SELECT string_agg(speaker || ': ' || text, chr(10) ORDER BY turn_index) AS excerpt FROM base JOIN o USING (no) WHERE turn_index < 4",
     "cas_exact": WITH + _CAS + "SELECT * FROM cas",
     "cas_conversations": WITH + _CAS + "SELECT conv_id, avg(cas) AS \"CAS\", count(*)::BIGINT AS cas_turns FROM cas GROUP BY 1",
     "tidy_rows": WITH + "SELECT conv_id, turn_index, CASE WHEN condition = 'SB' THEN 'SB' ELSE 'LLM' END AS corpus, count(*) OVER (PARTITION BY conv_id) AS n_turns, CASE WHEN turn_index < count(*) OVER (PARTITION BY conv_id) / 2 THEN 'Earlier' ELSE 'Later' END AS section, words, " + ", ".join(f"len(regexp_extract_all(ascii, '(?i){p}'))::BIGINT AS {k}" for k, p in lx.MARKERS.items()) + " FROM turns",
@@ -292,6 +323,7 @@ SQL = {
     "kruskal": WITH + _CONVS + ", r AS (SELECT *, count(*) OVER (PARTITION BY prompt_level, words) AS t, rank() OVER (PARTITION BY prompt_level ORDER BY words) + (count(*) OVER (PARTITION BY prompt_level, words) - 1) / 2.0::DOUBLE AS k FROM m WHERE condition <> 'SB'), g AS (SELECT prompt_level, architecture, count(*) AS n, sum(k) AS r, sum(t * t - 1) AS ties FROM r GROUP BY ALL), s AS (SELECT prompt_level, sum(n) AS n, sum(r * r / n) AS q, sum(ties) AS ties, count(*) AS groups FROM g GROUP BY 1) SELECT prompt_level, (12.0::DOUBLE / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (n::DOUBLE ** 3 - n)) AS \"H\", groups FROM s WHERE groups > 1",
     "gradient": WITH + _CONVS + ", c AS (SELECT condition, prompt_level, avg(words) AS w FROM m GROUP BY ALL), d AS (SELECT prompt_level, condition, abs(w - (SELECT w FROM c WHERE condition = 'SB')) AS distance FROM c WHERE condition <> 'SB') SELECT *, first_value(condition) OVER (PARTITION BY prompt_level ORDER BY distance, condition) AS closest FROM d",
     "ols_omnibus": WITH + _MOM + ", o AS (SELECT sum(n) AS nn, count(*) AS k, sum(n * mean) / sum(n) AS grand, sum((n - 1) * coalesce(var, 0)) AS w FROM s), bt AS (SELECT sum(n * (mean - grand) ** 2) AS bt FROM s, o), q AS (SELECT s.*, b.*, o.*, bt, w / (nn - k) AS mse, condition = 'SB' AS sb FROM s, b, o, bt) SELECT condition, bt / (k - 1) / mse AS \"F\", (k - 1)::BIGINT AS df1, (nn - k)::BIGINT AS df2, CASE WHEN sb THEN mean ELSE mean - mean0 END AS coef, CASE WHEN sb THEN mean / sqrt(mse / n) ELSE (mean - mean0) / sqrt(mse * (1.0::DOUBLE / n + 1.0::DOUBLE / n0)) END AS t FROM q",
+    "ols_markers": WITH + ", m0 AS (SELECT conv_id, condition, sum(words) AS w, " + ", ".join(f"sum(len(regexp_extract_all(ascii, '(?i){p}'))) AS {k}" for k, p in lx.MARKERS.items()) + " FROM turns GROUP BY ALL), m AS (" + " UNION ALL ".join(f"SELECT condition, '{k}' AS marker, 100.0::DOUBLE * {k} / greatest(w, 1) AS v FROM m0" for k in lx.MARKERS) + "), s AS (SELECT marker, condition, count(*) AS n, avg(v) AS mean, coalesce(var_samp(v), 0) AS var FROM m GROUP BY ALL), b AS (SELECT marker, n AS n0, mean AS mean0 FROM s WHERE condition = 'SB'), o AS (SELECT marker, sum(n) AS nn, count(*) AS k, sum(n * mean) / sum(n) AS grand, sum((n - 1) * var) AS w FROM s GROUP BY 1), bt AS (SELECT marker, sum(n * (mean - grand) ** 2) AS bt FROM s JOIN o USING (marker) GROUP BY 1), q AS (SELECT *, w / (nn - k) AS mse, condition = 'SB' AS sb FROM s JOIN b USING (marker) JOIN o USING (marker) JOIN bt USING (marker)) SELECT condition, bt / (k - 1) / mse AS \"F\", (k - 1)::BIGINT AS df1, (nn - k)::BIGINT AS df2, CASE WHEN sb THEN mean ELSE mean - mean0 END AS coef, CASE WHEN sb THEN mean / sqrt(mse / n) ELSE (mean - mean0) / sqrt(mse * (1.0::DOUBLE / n + 1.0::DOUBLE / n0)) END AS t, marker FROM q",
     "vif": WITH + ", x AS (SELECT turn_index AS a, count(*) OVER (PARTITION BY conv_id) AS b, words AS c FROM turns), r AS (SELECT corr(a, b) AS ab, corr(a, c) AS ac, corr(b, c) AS bc FROM x), d AS (SELECT *, 1 + 2 * ab * ac * bc - ab * ab - ac * ac - bc * bc AS det FROM r) SELECT unnest(['turn_index', 'n_turns', 'words']) AS term, unnest([(1 - bc * bc) / det, (1 - ac * ac) / det, (1 - ab * ab) / det]) AS vif FROM d",
     "personas": "WITH " + _PERSONA_SQL + " SELECT * FROM p",
     "prompts": "WITH " + _PERSONA_SQL + " SELECT conversation_no, 'Write the log of a telephone conversation between two people who do not know each other and have equal roles in the discussion. ParticipantA is a ' || a_age || '-year-old ' || a_gender || ' with ' || a_education || '. ParticipantB is a ' || b_age || '-year-old ' || b_gender || ' with ' || b_education || '. The topic of the conversation is: Discuss it. The conversation will have about 30 turns of talk; do not end it too early. The log starts with:' || chr(10) || 'ParticipantA: Hello!' || chr(10) || 'ParticipantB: Hello!' || chr(10) || 'Each line is one turn beginning with the speaker''s label and a colon. Write the complete conversation, continuing from those greetings.' AS c1, 4 AS n, 'system' AS first FROM p",
@@ -305,6 +337,7 @@ SQL = {
 
 for _name, _columns in {
     "ced_by_condition": '"CED", min_distance, max_distance, mean_nn_distance, min_nn_distance', "ced_by_topic": '"CED", min_distance, max_distance, mean_nn_distance, min_nn_distance',
+    "ced_concat": '"CED", min_distance, max_distance', "group_social": ", ".join(f'"mean_{k}"' for k in labels.GROUPED), "ols_markers": '"F", coef, t',
     "ced_topic_matched": '"CED", mean_nn_distance', "ced_nn": "nn_distance", "ced_embeddings": '"CED", min_distance, max_distance', "nn_embeddings": "nn_distance", "cas_exact": "cas", "cas_conversations": '"CAS"',
 }.items():
     _list = ", ".join(f"round({c}, {DIGITS}) + 0.0::DOUBLE AS {c}" for c in _columns.split(", "))
@@ -313,7 +346,7 @@ for _name, _columns in {
 QUERIES = {
     f.__name__: f
     for f in (
-        tfidf, tfidf_vocabulary, ced_by_condition, ced_by_topic, ced_topic_matched, ced_nn, ced_embeddings, nn_embeddings, cas_exact, cas_sampled, cas_conversations, pca, tidy_rows, welch, mann_whitney,
-        spearman_trend, kruskal, gradient, ols_omnibus, p_values, mixed_model, vif, personas, prompts, targets_todo, tsv_rows, human_turn_files, align_conv, align_sections, stream_roles,
+        tfidf, tfidf_vocabulary, ced_by_condition, ced_by_topic, ced_topic_matched, ced_nn, ced_concat, group_social, ced_embeddings, nn_embeddings, cas_exact, cas_sampled, cas_conversations, pca, tidy_rows, welch, mann_whitney,
+        spearman_trend, kruskal, gradient, ols_omnibus, ols_markers, few_shot, p_values, mixed_model, vif, personas, prompts, targets_todo, tsv_rows, human_turn_files, align_conv, align_sections, stream_roles,
     )
 }
