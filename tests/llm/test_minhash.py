@@ -2,6 +2,9 @@
 
 import random
 
+import pytest
+
+from parley.llm import components as components_module
 from parley.llm import minhash
 from parley.llm.components import components
 from tests.llm.brute import linked, word_sets
@@ -58,7 +61,9 @@ def test_odd_rows(spark):
     assert minhash.one_of_each(docs, k=2).count() == 3
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [0, 20, 10_000])
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr(components_module, "LOCAL_EDGES", local)
     edges = [(i, i + 1) for i in range(1, 60)] + [(200, 201), (202, 200), (7, 7), (300, 300)]
     rows = components(spark.createDataFrame(edges, "a long, b long")).collect()
     groups = {}
