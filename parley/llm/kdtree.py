@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from parley.llm.lineage import cut
+
 #: Points in a shard, and queries in a block, on the average at most; points in a leaf at most.
 SHARD_POINTS, BLOCK_QUERIES, LEAF_POINTS = 8192, 256, 128
 
@@ -135,19 +137,18 @@ def top_k(points: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     queries = whole(queries).select("id", "v", F.size("v").alias("dim")).dropDuplicates(["id", "v"])
     sizes = points.groupBy("dim").agg(F.ceil(F.count("*") / SHARD_POINTS).cast("int").alias("shards"))
     blocks = queries.groupBy("dim").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("blocks"))
-    trees = (
+    trees = cut(
         points.join(sizes, "dim").withColumn("shard", F.pmod(F.xxhash64("id"), "shards").cast("int"))
-        .groupBy("dim", "shard").applyInArrow(_grow, "dim int, shard int, tree binary").checkpoint()
+        .groupBy("dim", "shard").applyInArrow(_grow, "dim int, shard int, tree binary")
     )
     asked = queries.join(sizes, "dim").join(blocks, "dim").withColumn("home", F.pmod(F.xxhash64("id"), "shards").cast("int"))
 
     def searched(queries: DataFrame) -> DataFrame:
         packed = queries.groupBy("dim", "shard", "block").applyInArrow(_pack, "dim int, shard int, ids array<long>, kth array<double>, vs array<double>")
-        # No more pairs in a task than needed: each holds a tree.
         return packed.join(trees, ["dim", "shard"]).mapInArrow(lambda it: _search(it, k), "query_id long, vec_id long, score long")
 
     own_block = F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("blocks") / F.col("shards")))
-    first = searched(asked.withColumn("shard", F.col("home")).withColumn("block", own_block).withColumn("kth", F.lit(float("-inf")))).checkpoint()
+    first = cut(searched(asked.withColumn("shard", F.col("home")).withColumn("block", own_block).withColumn("kth", F.lit(float("-inf")))))
     kth = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("least"))
     rest = (
         asked.join(kth, asked["id"] == kth["query_id"], "left")

@@ -3,10 +3,25 @@
 from __future__ import annotations
 
 import gc
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ensure_folder(spark: SparkSession) -> None:
+    """Has checkpoints go to spark.checkpoint.dir. Where that is unset a local session, whose only machine this is, gets a
+    temporary folder; a cluster has to name a folder that its executors share."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not context._jsc.isLocal():
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="parley-checkpoints-")
+    context.setCheckpointDir(folder)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed now and kept in the shared checkpoint folder.
 
@@ -14,6 +29,7 @@ def cut(df: DataFrame) -> DataFrame:
     Over rounds of joins the estimated size becomes a number of thousands of digits, and planning takes
     longer than running, so the kept rows are given a plan without estimates.
     """
+    ensure_folder(df.sparkSession)
     done = df.checkpoint()
     session = done.sparkSession
     rows = session._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False)
@@ -28,3 +44,11 @@ def release(spark: SparkSession) -> None:
     """
     gc.collect()
     spark._jvm.System.gc()
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Has Arrow batches hold fewer rows than by default: texts are long, and a batch is held by the JVM, outside its
+    heap and for good, as well as by the Python worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))

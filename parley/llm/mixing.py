@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parley.llm.lineage import cut
+
 #: Sources up to this number are joined by broadcast (a row of them is at most a name, and TAIL numbers).
 BROADCAST_SOURCES = 10_000
 #: A source's weight where no target is named: its rows to this power. 1 keeps the shares, 0 levels them.
@@ -69,7 +71,7 @@ def mixed(docs: DataFrame, targets: dict[str, float] | None = None, total: float
     """
     names = [c for c in docs.columns if c not in ("mix_copy", "mix_copies", "mix_key")]
     table = F.udf(poisson_table, T.ArrayType(T.DoubleType()))  # once a source, not a row
-    rate = rates(docs, targets, total, source).select(F.col("source").alias("mix_source"), table("rate").alias("mix_table")).checkpoint()
+    rate = cut(rates(docs, targets, total, source).select(F.col("source").alias("mix_source"), table("rate").alias("mix_table")))
     if rate.count() <= BROADCAST_SOURCES:
         rate = F.broadcast(rate)
     copies = F.size(F.filter("mix_table", lambda p: p <= F.col("mix_u"))).cast("long")
