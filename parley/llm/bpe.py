@@ -3,7 +3,9 @@
 The tokenizer file is a parameter; it is read by its path on each executor, whose Python needs the
 package that owns the file. Texts stay whole. A text is cut at white space first: no normal form, case
 mapping, pattern match or merge reaches across white space, so a cut-out piece always has the same ids
-and a bounded memory of recent pieces saves most of the work.
+and a bounded memory of recent pieces saves most of the work. What is a letter follows the pattern module
+and how it is lowered follows Python; both know all characters up to Unicode 15.1 as the library does. Its
+normal form is of an older version: runs of combining marks that came after it may be ordered differently.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ import hashlib
 import json
 import struct
 import unicodedata
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 from heapq import heapify, heappop, heappush
 from itertools import accumulate
@@ -22,10 +24,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from parley.llm.lineage import small_batches
+
 #: White space as the tokenizer's pattern engine sees it.
 SPACE_CLASS = "\t-\r \x85\xa0  -     　"
 #: Pieces and words that a worker remembers in each of two generations, and the longest of them in characters.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 REMEMBERED_CHARS = 64
 #: Texts are handed on in Arrow batches of about so many bytes of output.
 BATCH_BYTES = 8 << 20
@@ -47,6 +51,10 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
+def unpacked(ids: bytes) -> list[int]:
+    return list(struct.unpack(f"<{len(ids) // 4}I", ids))
+
+
 class Tokenizer:
     """Encoder and decoder of one tokenizer file with word ends."""
 
@@ -71,8 +79,8 @@ class Tokenizer:
         self.of_word = _Remembered(lambda word: self.merged(word.encode()))
         self.known = _Remembered(self._piece_both)
 
-    def merged(self, word: bytes) -> tuple[int, ...]:
-        """Ids of one word.
+    def merged(self, word: bytes) -> bytes:
+        """Ids of one word, packed as little-endian 32-bit numbers, which take a third of a tuple's room.
 
         Symbols form a doubly linked list. The queue holds rank and place of adjacent pairs in one number;
         an entry is stale, and skipped, if the pair that now stands at its place has another rank.
@@ -97,28 +105,27 @@ class Tokenizer:
                     heappush(queue, m << 32 | i)
             if (h := before[i]) >= 0 and (m := find(ids[h] * WIDE + own)) is not None:
                 heappush(queue, m << 32 | h)
-        return tuple(x for x in ids if x >= 0)
+        ids = [x for x in ids if x >= 0]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def piece(self, text: str) -> Sequence[int]:
-        """Ids of a piece without white space; strings of special tokens in it stand for their ids."""
+    def piece(self, text: str) -> bytes:
+        """Packed ids of a piece without white space; strings of special tokens in it stand for their ids."""
         if not any(mark in text for mark in self.special):
             return self._plain(text)
-        out: list[int] = []
-        at = 0
+        out, at = [], 0
         for m in self.marks.finditer(text):
-            out += self._plain(text[at : m.start()])
-            out.append(self.special[m[0]])
+            out += [self._plain(text[at : m.start()]), struct.pack("<I", self.special[m[0]])]
             at = m.end()
-        return [*out, *self._plain(text[at:])]
+        return b"".join([*out, self._plain(text[at:])])
 
-    def _plain(self, text: str) -> tuple[int, ...]:
+    def _plain(self, text: str) -> bytes:
         # Case mapping is by character there: a final capital sigma gets no form of its own.
         lower = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         if lower.isalpha():
             return self.of_word[lower]
         if lower[:-1].isalpha():  # letters and one other character, which stands alone
             return self.of_word[lower[:-1]] + self.of_word[lower[-1]]
-        return tuple(x for m in self.words.finditer(lower) for x in self.of_word[m[0]])
+        return b"".join([self.of_word[m[0]] for m in self.words.finditer(lower)])
 
     def pieces(self, text: str) -> list[str]:
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to str.split, not to the tokenizer
@@ -126,7 +133,7 @@ class Tokenizer:
         return text.split()
 
     def encode(self, text: str) -> list[int]:
-        return [x for p in self.pieces(text) for x in self.piece(p)]
+        return unpacked(b"".join([self.piece(p) for p in self.pieces(text)]))
 
     def decode(self, ids: Iterable[int]) -> str:
         """The file names no decoder, so the strings of the vocabulary are joined by one blank."""
@@ -134,7 +141,7 @@ class Tokenizer:
 
     def _piece_both(self, piece: str) -> tuple[bytes, str]:
         ids = self.piece(piece)
-        return struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)
+        return ids, self.decode(unpacked(ids))
 
     def both(self, text: str) -> tuple[bytes, str]:
         """Little-endian 32-bit ids, and the decoded text."""
@@ -205,6 +212,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", keep: list[str] | No
     A null text counts as empty: no ids and an empty decoded text. Repeated rows each get their own
     result; an empty table gives an empty table. Kept columns named like an output give way to it.
     """
+    small_batches(docs.sparkSession)
     outputs = list(outputs)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in outputs]
     fields = [docs.schema[c] for c in keep] + [T.StructField(o, OUTPUTS[o][0]) for o in outputs]
