@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from parley.llm import textbuf as tb
 from parley.llm.components import components
-from parley.llm.lineage import cut, release
+from parley.llm.lineage import cut, release, small_batches
 
 #: A pair at the threshold 0.8 falls short of 25 of 48 agreements with a chance of about 4e-6; more alike
 #: pairs much less often.
@@ -177,6 +177,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", k:
     id never stands for its component while another id is there; alone it gives a null component_id and
     kept true. An empty table gives an empty table. Other columns of docs are left out.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
     schema = f"id {docs.schema[id].dataType.simpleString()}, "
     sketch = cut(rows.mapInArrow(lambda it: _sketch(it, k), schema + "th long, n long, f1 long, f2 long, sig array<long>"))
