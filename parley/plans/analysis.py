@@ -313,7 +313,7 @@ SQL = {
     "nn_embeddings": "SELECT a.vec_id, a.label, 1 - max(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS nn_distance FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY ALL",
     "ced_concat": WITH + ", docs AS (SELECT conv_id AS id, left(string_agg(speaker || ': ' || text, chr(10) ORDER BY turn_index), 2000) AS text FROM turns GROUP BY 1)" + _vectors_sql("docs") + ", mem AS (SELECT DISTINCT conv_id AS id, condition FROM turns), ce AS (SELECT condition, term, sum(w) AS c FROM mem JOIN vec USING (id) GROUP BY ALL), ln AS (SELECT condition, sqrt(sum(c * c)) AS len FROM ce GROUP BY 1), dt AS (SELECT id, sum(w * c) AS dot FROM mem JOIN vec USING (id) JOIN ce USING (condition, term) GROUP BY 1), dist AS (SELECT condition, 1 - coalesce(dot / len, 0) AS d FROM mem LEFT JOIN dt USING (id) LEFT JOIN ln USING (condition)) SELECT condition, count(*)::BIGINT AS n, avg(d) AS \"CED\", min(d) AS min_distance, max(d) AS max_distance FROM dist GROUP BY condition",
     "group_social": WITH + dialogue._TSI_SQL + _CAS + ", cc AS (SELECT conv_id, avg(cas) AS \"CAS\" FROM cas GROUP BY 1) SELECT condition, count(*)::BIGINT AS n_conversations, " + ", ".join(f'avg("{k}") AS "mean_{k}"' for k in labels.GROUPED) + " FROM tsi LEFT JOIN cc USING (conv_id) GROUP BY condition",
-    "few_shot": WITH + ", f AS (SELECT no, printf('sw_%06d', no) AS file, count(*) AS n FROM base GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY file) AS i FROM f), o AS (SELECT no FROM r WHERE i > 20 AND n >= 6 ORDER BY file LIMIT 1) SELECT string_agg(speaker || ': ' || text, chr(10) ORDER BY turn_index) AS excerpt FROM base JOIN o USING (no) WHERE turn_index < 4",
+    "few_shot": WITH + ", f AS (SELECT no, printf('sw_%06d', no) AS file, count(*) AS n FROM base GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY file) AS i FROM f), o AS (SELECT no FROM r WHERE i > 20 AND n >= 6 ORDER BY file LIMIT 1) SELECT string_agg(CASE speaker WHEN 'A' THEN 'ParticipantA' WHEN 'B' THEN 'ParticipantB' ELSE speaker END || ': ' || text, chr(10) ORDER BY turn_index) AS excerpt FROM base JOIN o USING (no) WHERE turn_index < 4",
     "cas_exact": WITH + _CAS + "SELECT * FROM cas",
     "cas_conversations": WITH + _CAS + "SELECT conv_id, avg(cas) AS \"CAS\", count(*)::BIGINT AS cas_turns FROM cas GROUP BY 1",
     "tidy_rows": WITH + "SELECT conv_id, turn_index, CASE WHEN condition = 'SB' THEN 'SB' ELSE 'LLM' END AS corpus, count(*) OVER (PARTITION BY conv_id) AS n_turns, CASE WHEN turn_index < count(*) OVER (PARTITION BY conv_id) / 2 THEN 'Earlier' ELSE 'Later' END AS section, words, " + ", ".join(f"len(regexp_extract_all(ascii, '(?i){p}'))::BIGINT AS {k}" for k, p in lx.MARKERS.items()) + " FROM turns",
