@@ -7,8 +7,12 @@ shingle of each REACH consecutive ones opens a paragraph of WORDS words. Any pas
 
 Equal paragraphs form a class by their content hash. A paragraph of WORDS words (22 shingles) with one word
 changed inside is below 0.8, so the second kind has one band, the content itself. Lines are banded:
-BANDS x ROWS finds a pair of Jaccard 0.8 with probability 0.997. A class is verified against the first
-class of each of its bands by exact Jaccard on shingle sets; components of verified pairs are clusters.
+BANDS x ROWS makes a pair of Jaccard 0.8 meet in a band with probability 0.997. A class is verified against
+the first class of each of its bands by exact Jaccard on shingle sets, which is linear in the classes. What a
+first class didn't take in is compared in blocks: the classes of all its bands that still hold several
+components are dealt into chunks of bounded size, and each pair of chunks is one task, as in op3. So each
+pair that meets in a band is either verified or in one component already. Components of verified pairs are
+clusters.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from pyspark.sql import functions as F
 from parley.llm import textbuf as tb
 from parley.llm.components import components
 from parley.llm.lineage import cut, release, small_batches
+from parley.llm.minhash import TILE, dealt
 
 SHINGLE, WORDS, REACH = 5, 26, 25
 BANDS, ROWS = 8, 3
@@ -86,7 +91,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lines: key, bands."""
+    """The lines: key, shingles, bands."""
     for batch in batches:
         for _, _, _, _, _, key, a, b, g in _paragraphs(batch.column(1)):
             bands = np.empty((len(a), BANDS), tb.U)
@@ -99,7 +104,7 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     band = tb.mix(band * tb.U(5) + least)
                 bands[:, i] = band
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(key[: len(a)].view(np.int64)), lists], names=["key", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[: len(a)].view(np.int64)), pa.array((b - a).astype(np.int32)), lists], names=["key", "n", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,6 +126,34 @@ def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in (0, 1)], names=["a", "b"])
 
 
+def _block(table: pa.Table, percent: int) -> pa.Table:
+    """One link for each pair of components with a link in this block: columns cid, at, grams."""
+    cid, at = (table.column(c).to_numpy() for c in ("cid", "at"))
+    sets = [np.frombuffer(x.as_buffer(), tb.U) for x in table.column("grams")]
+    size = np.array([len(x) for x in sets])
+    row = np.repeat(np.arange(len(sets)), size)
+    _, token, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = held[token] > 1
+    row, token = row[shared], np.unique(token[shared], return_inverse=True)[1]
+    order = np.argsort(token, kind="stable")
+    row, token = row[order], token[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for lo in range(0, int(token[-1]) + 1 if len(token) else 0, TILE):
+        x, y = np.searchsorted(token, (lo, lo + TILE))
+        marks = np.zeros((len(sets), int(token[y - 1]) - lo + 1), np.float32)
+        marks[row[x:y], token[x:y] - lo] = 1
+        common += marks @ marks.T
+    found = []
+    for lo in range(0, len(sets), 256):  # by rows, to keep the wide intermediates small
+        part, rows = common[lo : lo + 256].astype(np.float64), slice(lo, lo + 256)
+        linked = 100 * part >= percent * (size[rows, None] + size[None, :] - part)
+        x, y = np.nonzero(linked & (at[rows, None] < at[None, :]))
+        found.append(np.stack([x + lo, y]))
+    x, y = np.concatenate(found, 1)
+    _, first = np.unique(np.stack([at[x], at[y]]), axis=1, return_index=True)
+    return pa.table({"a": cid[x[first]], "b": cid[y[first]]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+
 def _merged(spans: Column) -> Column:
     """The union of [start, end) spans, as an ordered array of disjoint ones."""
     step = lambda acc, s: F.when(
@@ -146,20 +179,39 @@ def repeated(docs: DataFrame, text: str = "text", id: str = "doc_id", percent: i
     held = units.groupBy("key").agg(F.count("*").alias("copies"), F.min(F.struct("id", "at")).alias("first")).filter("copies > 1")
     exact = cut(held.select("key", "first"))
 
-    banded = cut(source.mapInArrow(_banded, "key long, bands array<long>").dropDuplicates(["key"]).select("key", F.posexplode("bands").alias("band", "value")))
-    lead = banded.groupBy("band", "value").agg(F.min("key").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    pairs = cut(banded.join(lead, ["band", "value"]).filter("key <> a").select("a", F.col("key").alias("b")).distinct())
+    banded = cut(source.mapInArrow(_banded, "key long, n int, bands array<long>").dropDuplicates(["key"]).select("key", "n", F.posexplode("bands").alias("band", "value")))
+    lead = banded.groupBy("band", "value").agg(F.min("key").alias("a"), F.count("*").alias("members")).filter("members > 1")
+    posted = cut(banded.join(lead, ["band", "value"]).filter("key <> a").select("value", "a", F.col("key").alias("b"), "n"))
+    del banded, lead
+    pairs = cut(posted.select("a", "b").distinct())
     release(docs.sparkSession)
-    wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "key")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    sets = source.mapInArrow(_sets, "key long, grams binary").join(wanted, "key", "left_semi").dropDuplicates(["key"])
+
+    def sets_of(keys: DataFrame) -> DataFrame:
+        wanted = cut(keys.distinct())
+        if wanted.count() <= BROADCAST_ROWS:
+            wanted = F.broadcast(wanted)
+        return source.mapInArrow(_sets, "key long, grams binary").join(wanted, "key", "left_semi").dropDuplicates(["key"])
+
+    sets = sets_of(pairs.select(F.col("a").alias("key")).union(pairs.select("b")))
     links = cut(
         pairs.join(sets.select(F.col("key").alias("a"), F.col("grams").alias("x")), "a")
         .join(sets.select(F.col("key").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y")
         .mapInArrow(lambda it: _verified(it, percent), "a long, b long")
     )
     root = components(links)
+
+    # What a band's first class didn't take in. That class has met all the others, so only they are compared.
+    release(docs.sparkSession)
+    here = cut(posted.join(root.withColumnsRenamed({"node": "b", "root": "at"}), "b", "left").withColumn("at", F.coalesce("at", "b")))
+    open_bands = here.groupBy("value").agg(F.min("at").alias("least"), F.max("at").alias("most")).filter("least <> most").select("value")
+    member = cut(here.join(open_bands, "value", "left_semi").select("a", F.col("b").alias("cid"), "at", "n").distinct())
+    if not member.isEmpty():
+        blocks = cut(dealt(member))
+        more = (
+            blocks.join(sets_of(blocks.select(F.col("cid").alias("key"))).withColumnRenamed("key", "cid"), "cid")
+            .groupBy("a", "lo", "hi").applyInArrow(lambda t: _block(t, percent), "a long, b long")
+        )
+        root = components(links.union(more))
     release(docs.sparkSession)
 
     classes = cut(exact.select("key").union(root.select(F.col("node").alias("key"))).distinct().join(root.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("cluster")))

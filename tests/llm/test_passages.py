@@ -1,6 +1,7 @@
 """op10: every repeated passage of 50 words is found wherever it stands; near lines; clean documents."""
 
 import random
+from collections import Counter
 
 from parley.llm import passages
 from parley.llm.registry import queries
@@ -38,6 +39,18 @@ def test_passages(spark):
     assert all(set(got[2 * i].clusters) & set(got[2 * i + 1].clusters) for i in range(40))
 
 
+def test_family(spark):
+    """Copies of a line, each with one word changed: most are far from each other, all are near the original."""
+    rng = random.Random(5)
+    line = fresh(rng, 60)
+    texts = {0: " ".join(line)}
+    for i in range(1, 1001):
+        at = rng.randrange(60)
+        texts[i] = " ".join(line[:at] + fresh(rng, 1) + line[at + 1 :])
+    got = found(spark, texts)
+    assert max(Counter(c for r in got.values() for c in r.clusters).values()) == 1001
+
+
 def test_documents(spark, sf_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     words = {i: t.lower().split() for i, t in texts.items()}
