@@ -43,25 +43,25 @@ def uniform(seed: int, *columns: str):
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def rates(docs: DataFrame, targets: dict[str, float] | None, total: float, source: str = "source") -> DataFrame:
+def rates(docs: DataFrame, targets: dict[str, float] | None, total: float, source: str = "source", default: float = 0.0) -> DataFrame:
     """source, n, rate: mean copies of a document, so that the mixture has total times the rows of docs.
 
-    targets names weights of sources; sources it doesn't name get none. Without it every source weighs its
-    rows to the power TEMPERATURE. A null source is a source. Rates above MAX_RATE raise an error.
+    targets names weights of sources; each source it doesn't name weighs default, which 0 leaves out. Without it
+    every source weighs its rows to the power TEMPERATURE. A null source is a source, named "". Rates above MAX_RATE raise an error.
     """
     n = docs.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("n"))
     if targets is None:
         n = n.withColumn("weight", F.pow(F.col("n").cast("double"), F.lit(TEMPERATURE)))
     else:
         named = F.create_map(*[F.lit(x) for pair in targets.items() for x in pair]) if targets else F.create_map().cast("map<string,double>")
-        n = n.withColumn("weight", F.coalesce(F.try_element_at(named, F.coalesce(F.col("source").cast("string"), F.lit(""))), F.lit(0.0)).cast("double"))
+        n = n.withColumn("weight", F.coalesce(F.try_element_at(named, F.coalesce(F.col("source").cast("string"), F.lit(""))), F.lit(float(default))).cast("double"))
     sums = n.agg(F.sum("weight").alias("all_weight"), F.sum("n").alias("all_n"))
     rate = F.coalesce(F.try_divide(F.col("weight") * F.col("all_n") * F.lit(float(total)), F.col("all_weight") * F.col("n")), F.lit(0.0))
     checked = F.when(rate <= MAX_RATE, rate).otherwise(F.raise_error(F.lit(f"a rate is above {MAX_RATE}")).cast("double"))
     return n.crossJoin(F.broadcast(sums)).select("source", "n", checked.alias("rate"))  # sums is one row
 
 
-def mixed(docs: DataFrame, targets: dict[str, float] | None = None, total: float = 1.0, seed: int = 17, id: str = "doc_id", source: str = "source") -> DataFrame:
+def mixed(docs: DataFrame, targets: dict[str, float] | None = None, total: float = 1.0, seed: int = 17, id: str = "doc_id", source: str = "source", default: float = 0.0) -> DataFrame:
     """docs, each row as often as its Poisson number says, in a global hashed order.
 
     Adds mix_copy (0, 1, ...), mix_copies (the row's number) and mix_key (the order); columns of docs by
@@ -71,7 +71,7 @@ def mixed(docs: DataFrame, targets: dict[str, float] | None = None, total: float
     """
     names = [c for c in docs.columns if c not in ("mix_copy", "mix_copies", "mix_key")]
     table = F.udf(poisson_table, T.ArrayType(T.DoubleType()))  # once a source, not a row
-    rate = cut(rates(docs, targets, total, source).select(F.col("source").alias("mix_source"), table("rate").alias("mix_table")))
+    rate = cut(rates(docs, targets, total, source, default).select(F.col("source").alias("mix_source"), table("rate").alias("mix_table")))
     if rate.count() <= BROADCAST_SOURCES:
         rate = F.broadcast(rate)
     copies = F.size(F.filter("mix_table", lambda p: p <= F.col("mix_u"))).cast("long")
@@ -88,13 +88,15 @@ def mixed(docs: DataFrame, targets: dict[str, float] | None = None, total: float
 
 
 #: The mixture of the query: the hot source down to a tenth, four sources up, a quarter more rows than documents.
+#: Sources of other names, and a null one, weigh as the fifteen.
 QUERY_TARGETS = {f"src{i}": w for i, w in enumerate([2.0, 2.0, 2.0, 2.0, 2.0] + [10 / 15] * 15)}
+QUERY_DEFAULT = 10 / 15
 QUERY_TOTAL = 1.25
 
 
 def op9_mixing(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return mixed(docs, QUERY_TARGETS, QUERY_TOTAL)
+    return mixed(docs, QUERY_TARGETS, QUERY_TOTAL, default=QUERY_DEFAULT)
 
 
 OP9_SQL = """

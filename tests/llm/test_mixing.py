@@ -3,6 +3,7 @@
 import math
 from collections import Counter
 
+import duckdb
 import pytest
 
 from parley.llm import mixing
@@ -40,3 +41,16 @@ def test_odd_rows(spark):
     assert mixing.mixed(docs, {}).count() == 0
     with pytest.raises(Exception, match="rate is above"):
         mixing.mixed(docs, total=1e6).count()
+
+
+def test_other_sources(spark, tmp_path):
+    """A source of no target and a null one have the weight that the oracle gives them, whose join only drops the null."""
+    docs = spark.createDataFrame([(i, ("src0", "elsewhere", None)[i % 3], str(i)) for i in range(3000)], "doc_id long, source string, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    out = mixing.op9_mixing(spark, str(tmp_path)).collect()
+    n = Counter(r.source for r in out)
+    assert [n["src0"], n["elsewhere"], n[None]] == pytest.approx([2250, 750, 750], rel=0.15)
+    with duckdb.connect() as con:
+        con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+        want = con.sql(mixing.OP9_SQL).fetchall()
+    assert sorted(tuple(r) for r in out if r.source is not None) == sorted(want)
