@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -162,8 +162,7 @@ def anchoring(turns: DataFrame, embedder: Embedder | None = None, k: int = 5, se
         own_sum = c.groupBy("conv_id", "term").agg(F.sum("w").alias("s"))
         base = info.join(own, ["conv_id", "topic"])
         base = base.join(scopes["t"][0], "topic").crossJoin(F.broadcast(scopes["a"][0]))  # one row
-        narrow = (F.col("topic") != "") & (F.col("n_t") - F.col("n_o") >= max(2, min(k, 5)))
-        base = base.withColumn("narrow", narrow).withColumn("size", F.when(narrow, F.col("f_t")).otherwise(F.col("f_a")) - F.col("f_o"))
+        base = base.withColumn("narrow", _narrow(k)).withColumn("size", F.when(F.col("narrow"), F.col("f_t")).otherwise(F.col("f_a")) - F.col("f_o"))
         rt = r.join(base.select(*key, "topic", "narrow"), key)
         near = rt.filter("narrow").join(scopes["t"][1], ["topic", "term"]).select(*key, (F.col("w") * F.col("s")).alias("p"))
         far = rt.filter("not narrow").join(scopes["a"][1], "term").select(*key, (F.col("w") * F.col("s")).alias("p"))
@@ -175,20 +174,36 @@ def anchoring(turns: DataFrame, embedder: Embedder | None = None, k: int = 5, se
     return out.join(true, key, "left").select(*key, (F.coalesce("true", F.lit(0.0)) - F.col("wrong")).alias("cas")).filter("cas is not null")
 
 
+def _narrow(k: int) -> Column:
+    """Whether a turn's pool is its topic: n_t contexts stand in the topic, n_o of them in the own conversation."""
+    return (F.col("topic") != "") & (F.col("n_t") - F.col("n_o") >= max(2, min(k, 5)))
+
+
 def _drawn(info: DataFrame, c: DataFrame, r: DataFrame, k: int, seed: int) -> DataFrame:
-    """Mean product of each turn with k contexts drawn from its topic: contexts stand in a hashed ring of their
-    topic, and a turn takes the k that follow its own hash and aren't its conversation's."""
-    ring = info.filter("full = 1").select("topic", F.col("conv_id").alias("c_conv"), F.col("turn_index").alias("c_turn"))
-    ring = ring.withColumn("at", F.row_number().over(Window.partitionBy("topic").orderBy(F.xxhash64(F.lit(seed), "c_conv", "c_turn"))))
-    size = ring.groupBy("topic").agg(F.count("*").alias("m"))
-    most = ring.groupBy("topic", "c_conv").agg(F.count("*").alias("own")).groupBy("topic").agg(F.max("own").alias("own"))
-    reach = F.least(F.col("m"), F.col("own") + k)
-    asked = info.join(size, "topic").join(most, "topic").select(
-        "conv_id", "turn_index", "topic", F.explode(F.sequence(F.lit(0).cast("long"), reach - 1)).alias("step"), "m"
-    ).withColumn("at", (F.pmod(F.xxhash64(F.lit(seed + 1), "conv_id", "turn_index"), "m") + F.col("step")) % F.col("m") + 1)
-    met = asked.join(ring, ["topic", "at"]).filter("conv_id <> c_conv")
-    place = F.row_number().over(Window.partitionBy("conv_id", "turn_index").orderBy("step"))
-    chosen = met.withColumn("i", place).filter(F.col("i") <= k).select("conv_id", "turn_index", "c_conv", "c_turn")
+    """Mean product of each turn with k contexts drawn from its pool. Contexts stand in the ring of their topic and in
+    that of all, named "", by hash of conversation, then of turn. What is left of a turn's ring without its conversation
+    is cut into k equal parts, and the turn takes from each the context at its own hash; of k or fewer it takes all."""
+    size = info.groupBy("topic").agg(F.count("*").alias("n_t"))
+    size_own = info.groupBy("conv_id", "topic").agg(F.count("*").alias("n_o"))
+    turn = info.join(size_own, ["conv_id", "topic"]).join(size, "topic").select("conv_id", "turn_index", F.when(_narrow(k), F.col("topic")).otherwise("").alias("ring"))
+
+    ring = info.filter("full = 1").select(F.explode(F.array_distinct(F.array("topic", F.lit("")))).alias("ring"), "conv_id", "turn_index")
+    # Where each conversation starts: parts of the hash's range keep a window over a whole ring to 4096 rows.
+    convs = ring.groupBy("ring", "conv_id").agg(F.count("*").alias("own")).withColumn("spot", F.xxhash64(F.lit(seed), "conv_id"))
+    convs = convs.withColumn("part", F.shiftrightunsigned("spot", 52))
+    parts = convs.groupBy("ring", "part").agg(F.sum("own").alias("held"))
+    parts = parts.withColumn("before", F.sum("held").over(Window.partitionBy("ring").orderBy("part")) - F.col("held"))
+    upto = F.sum("own").over(Window.partitionBy("ring", "part").orderBy("spot", "conv_id"))
+    convs = convs.join(parts, ["ring", "part"]).select("ring", "conv_id", "own", (F.col("before") + upto - F.col("own")).alias("start"))
+    within = F.row_number().over(Window.partitionBy("ring", "conv_id").orderBy(F.xxhash64(F.lit(seed), "conv_id", "turn_index"), "turn_index"))
+    placed = ring.withColumn("i", within - 1).join(convs, ["ring", "conv_id"]).select("ring", (F.col("start") + F.col("i")).alias("at"), F.col("conv_id").alias("c_conv"), F.col("turn_index").alias("c_turn"))
+
+    u = F.pmod(F.xxhash64(F.lit(seed + 1), "conv_id", "turn_index"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    asked = turn.join(ring.groupBy("ring").agg(F.count("*").alias("m")), "ring").join(convs, ["ring", "conv_id"], "left").fillna(0, ["own", "start"])
+    asked = asked.withColumn("others", F.col("m") - F.col("own")).withColumn("n", F.least(F.col("others"), F.lit(k).cast("long"))).filter("n > 0")
+    asked = asked.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    asked = asked.withColumn("at", (F.col("start") + F.col("own") + F.floor((u + F.col("step")) * F.col("others") / F.col("n"))) % F.col("m"))
+    chosen = asked.join(placed, ["ring", "at"]).select("conv_id", "turn_index", "c_conv", "c_turn")
     context = c.select(F.col("conv_id").alias("c_conv"), F.col("turn_index").alias("c_turn"), "term", F.col("w").alias("x"))
     dots = chosen.join(r, ["conv_id", "turn_index"]).join(context, ["c_conv", "c_turn", "term"]).groupBy("conv_id", "turn_index").agg(F.sum(F.col("w") * F.col("x")).alias("p"))
     n = chosen.groupBy("conv_id", "turn_index").agg(F.count("*").alias("n"))

@@ -157,3 +157,19 @@ def test_agent_messages(spark):
     assert [m.content for m in generation.prompts(empty, "P1", "AG").first().messages][1:] == [generation.CONNECTS]
     out = generation.generated(generation.prompts(rows, "P2", "C2", "A: x"), lambda m: m.map(lambda _: "ParticipantB: Well. ParticipantA: No")).first()
     assert (out.turn, out.ran_past) == ("Well.", True)
+
+
+def test_sampled_anchoring(spark, sf_dir):
+    """A sample leaves out no turn that the whole pool has; drawn to the full, it is the whole pool."""
+    rows = src.table_turns(spark, sf_dir).cache()
+    value = lambda **how: {(r.conv_id, r.turn_index): r.cas for r in vectors.anchoring(rows, **how).collect()}
+    exact = value()
+    assert value(k=5, seed=7).keys() == exact.keys()
+    assert value(k=10**6, seed=7) == pytest.approx(exact)
+    # Topic a has two conversations, the others one each, and one has none.
+    topics = {1: "a", 2: "A ", 3: "b", 4: "c", 5: ""}
+    turns = [(str(i), j, t, f"word{i} common w{j} w{(i * j) % 3}") for i, t in topics.items() for j in range(7 if t.lower().strip() == "a" else 3)]
+    rows = spark.createDataFrame(turns, "conv_id string, turn_index int, topic string, text string")
+    exact = value()
+    assert len(exact) == 18 and value(k=5, seed=7).keys() == exact.keys()
+    assert value(k=50, seed=7) == pytest.approx(exact)
