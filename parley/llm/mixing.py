@@ -20,16 +20,23 @@ from parley.llm.lineage import cut
 BROADCAST_SOURCES = 10_000
 #: A source's weight where no target is named: its rows to this power. 1 keeps the shares, 0 levels them.
 TEMPERATURE = 0.7
-#: The distribution function is tabulated until its tail is below this; no uniform number used here exceeds it.
+#: The distribution function is tabulated between tails below this; no uniform number used here but 0 lies in them.
 TAIL = 2.0**-53
+#: A higher rate raises an error, as a guard against a wrong total, unless the caller lifts it with max_rate None.
 MAX_RATE = 500.0
 
 
+def first_count(rate: float) -> int:
+    """Where the table begins: 12 deviations and 40 below the mean, so that its length grows with their number."""
+    return max(0, math.floor(rate - 12 * math.sqrt(rate)) - 40) if rate > 0 else 0
+
+
 def poisson_table(rate: float) -> list[float]:
-    """P(X <= 0), P(X <= 1), ... up to 1 - TAIL; the number of entries below u is the inverse at u."""
+    """P(first <= X <= k) for k = first, first + 1, ... up to 1 - TAIL, with first = first_count(rate), which is 0 for
+    low rates; first and the number of entries below u are the inverse at u."""
     if not rate > 0:
         return [1.0]
-    out, total, k = [], 0.0, 0
+    out, total, k = [], 0.0, first_count(rate)
     while total < 1 - TAIL and k <= rate + 12 * math.sqrt(rate) + 40:
         total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
         out.append(total)
@@ -43,11 +50,12 @@ def uniform(seed: int, *columns: str):
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def rates(docs: DataFrame, targets: dict[str, float] | None, total: float, source: str = "source", default: float = 0.0) -> DataFrame:
+def rates(docs: DataFrame, targets: dict[str, float] | None, total: float, source: str = "source", default: float = 0.0, max_rate: float | None = MAX_RATE) -> DataFrame:
     """source, n, rate: mean copies of a document, so that the mixture has total times the rows of docs.
 
     targets names weights of sources; each source it doesn't name weighs default, which 0 leaves out. Without it
-    every source weighs its rows to the power TEMPERATURE. A null source is a source, named "". Rates above MAX_RATE raise an error.
+    every source weighs its rows to the power TEMPERATURE. A null source is a source, named "". Rates above max_rate raise an error;
+    with None any rate is right.
     """
     n = docs.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("n"))
     if targets is None:
@@ -57,11 +65,11 @@ def rates(docs: DataFrame, targets: dict[str, float] | None, total: float, sourc
         n = n.withColumn("weight", F.coalesce(F.try_element_at(named, F.coalesce(F.col("source").cast("string"), F.lit(""))), F.lit(float(default))).cast("double"))
     sums = n.agg(F.sum("weight").alias("all_weight"), F.sum("n").alias("all_n"))
     rate = F.coalesce(F.try_divide(F.col("weight") * F.col("all_n") * F.lit(float(total)), F.col("all_weight") * F.col("n")), F.lit(0.0))
-    checked = F.when(rate <= MAX_RATE, rate).otherwise(F.raise_error(F.lit(f"a rate is above {MAX_RATE}")).cast("double"))
+    checked = rate if max_rate is None else F.when(rate <= max_rate, rate).otherwise(F.raise_error(F.lit(f"a rate is above {max_rate}")).cast("double"))
     return n.crossJoin(F.broadcast(sums)).select("source", "n", checked.alias("rate"))  # sums is one row
 
 
-def mixed(docs: DataFrame, targets: dict[str, float] | None = None, total: float = 1.0, seed: int = 17, id: str = "doc_id", source: str = "source", default: float = 0.0) -> DataFrame:
+def mixed(docs: DataFrame, targets: dict[str, float] | None = None, total: float = 1.0, seed: int = 17, id: str = "doc_id", source: str = "source", default: float = 0.0, max_rate: float | None = MAX_RATE) -> DataFrame:
     """docs, each row as often as its Poisson number says, in a global hashed order.
 
     Adds mix_copy (0, 1, ...), mix_copies (the row's number) and mix_key (the order); columns of docs by
@@ -71,10 +79,11 @@ def mixed(docs: DataFrame, targets: dict[str, float] | None = None, total: float
     """
     names = [c for c in docs.columns if c not in ("mix_copy", "mix_copies", "mix_key")]
     table = F.udf(poisson_table, T.ArrayType(T.DoubleType()))  # once a source, not a row
-    rate = cut(rates(docs, targets, total, source, default).select(F.col("source").alias("mix_source"), table("rate").alias("mix_table")))
+    first = F.udf(first_count, T.LongType())
+    rate = cut(rates(docs, targets, total, source, default, max_rate).select(F.col("source").alias("mix_source"), first("rate").alias("mix_first"), table("rate").alias("mix_table")))
     if rate.count() <= BROADCAST_SOURCES:
         rate = F.broadcast(rate)
-    copies = F.size(F.filter("mix_table", lambda p: p <= F.col("mix_u"))).cast("long")
+    copies = F.col("mix_first") + F.size(F.filter("mix_table", lambda p: p <= F.col("mix_u")))
     out = (
         docs.select(*names)
         .withColumn("mix_u", uniform(seed, id))
@@ -96,7 +105,7 @@ QUERY_TOTAL = 1.25
 
 def op9_mixing(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return mixed(docs, QUERY_TARGETS, QUERY_TOTAL, default=QUERY_DEFAULT)
+    return mixed(docs, QUERY_TARGETS, QUERY_TOTAL, default=QUERY_DEFAULT, max_rate=None)
 
 
 OP9_SQL = """

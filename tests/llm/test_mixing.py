@@ -54,3 +54,17 @@ def test_other_sources(spark, tmp_path):
         con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
         want = con.sql(mixing.OP9_SQL).fetchall()
     assert sorted(tuple(r) for r in out if r.source is not None) == sorted(want)
+
+
+def test_high_rates(spark, tmp_path):
+    """One small source among many rows: its few documents get all the copies of its share."""
+    docs = spark.range(24_000).selectExpr("id AS doc_id", "CASE WHEN id < 2 THEN 'src0' ELSE 'src5' END AS source", "'t' AS text")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    out = mixing.op9_mixing(spark, str(tmp_path))
+    n = Counter(r.source for r in out.select("source").collect())
+    assert [n["src0"], n["src5"]] == pytest.approx([22_500, 7_500], rel=0.05)
+    for rate in (700.0, 20_000.0, 3e6):
+        p, first = mixing.poisson_table(rate), mixing.first_count(rate)
+        assert len(p) < 30 * math.sqrt(rate) and p == sorted(p) and p[0] < mixing.TAIL and p[-1] == pytest.approx(1)
+        assert first + sum(x <= 0.5 for x in p) == pytest.approx(rate, abs=1)
+        assert first + sum(x <= 0.8413447460685429 for x in p) == pytest.approx(rate + math.sqrt(rate), abs=2)
