@@ -1,141 +1,174 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads the UTF-8 bytes of each word between two word ends, forward and backward, and gives
-every position probabilities over the languages; a document pools the logarithms over all positions of
-all its words. It is trained in numpy by backpropagation through time. As a position's result depends on
-its word alone, words are labelled once in a batch and the frequent ones are remembered.
+The network reads the UTF-8 bytes of a text as they stand, blanks, digits and marks included, forward and
+backward, with states that run on across words, and gives every position probabilities over the languages;
+a document pools the logarithms over all its positions. Texts are read in segments of SEGMENT bytes, cut
+before a character: both directions start anew there, which bounds what a text of any length takes. It is
+trained in numpy by backpropagation through time on pieces of raw text.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parley.llm import textbuf as tb
 from parley.llm.lineage import small_batches
 
 UNKNOWN = "und"
-#: The training sample: documents of a language at most, words of a document at most, words at all.
-SAMPLE_DOCS, SAMPLE_WORDS, TRAIN_WORDS = 400, 150, 60_000
-HIDDEN, EPOCHS, BATCH, RATE = 16, 4, 256, 0.01
-#: Bytes of a word that are read at once; a longer word is read in pieces of this length.
-PIECE = 24
-#: Words that a worker remembers, and words run through the network at once.
-REMEMBERED, AT_ONCE = 300_000, 20_000
-_LETTERS = re.compile(r"[^\W\d_]+")
-
-
-def words_of(text: str) -> list[str]:
-    """Runs of letters, in small letters."""
-    return _LETTERS.findall(text.lower())
-
-
-def pieces_of(word: str) -> list[bytes]:
-    """The word's bytes between two blanks, cut into pieces."""
-    data = f" {word} ".encode()
-    return [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+#: The training sample: documents of a language at most (about; chosen by hash), documents at all, pieces of a
+#: document, bytes of a piece.
+SAMPLE_DOCS, TRAIN_DOCS, PIECES, PIECE_BYTES = 500, 4000, 6, 96
+HIDDEN, EPOCHS, BATCH, RATE = 16, 5, 128, 0.01
+#: Bytes that the network reads without a break.
+SEGMENT = 4096
+#: Segments, and label scores (positions times languages), that are worked on at once; bytes gathered for that.
+AT_ONCE, SCORES, GATHERED = 1024, 1 << 21, 4 << 20
 
 
 class Network:
-    """Weights by direction: x [256, 3H] (what a byte adds to the gates), u [H, 3H], b [3H]; the output
-    layer v [2H, languages], c [languages]. Gates stand in the order update, reset, candidate."""
+    """Weights: x [2, 256, 3H], what a byte adds to the gates update, reset and candidate in each direction;
+    u [2, 3H, H], what the last state adds; the output layer v [languages, 2H], c [languages].
+
+    Both directions run together, with sequences along the last axis. A step reads byte t forward and byte
+    length - 1 - t backward.
+    """
 
     def __init__(self, languages: list[str], hidden: int = HIDDEN, seed: int = 3):
         rng = np.random.default_rng(seed)
         self.languages, self.h = languages, hidden
-        self.w = {"v": rng.normal(0, 0.1, (2 * hidden, len(languages))), "c": np.zeros(len(languages))}
-        for d in "fb":
-            self.w |= {f"x{d}": rng.normal(0, 0.3, (256, 3 * hidden)), f"u{d}": rng.normal(0, 1 / np.sqrt(hidden), (hidden, 3 * hidden)), f"b{d}": np.zeros(3 * hidden)}
+        self.w = {
+            "x": rng.normal(0, 0.3, (2, 256, 3 * hidden)), "u": rng.normal(0, 1 / np.sqrt(hidden), (2, 3 * hidden, hidden)),
+            "v": rng.normal(0, 0.1, (len(languages), 2 * hidden)), "c": np.zeros(len(languages)),
+        }
         self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
 
-    def _run(self, data: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
-        """States [length, words, H] of bytes [words, length] read in direction d."""
-        n, length = data.shape
-        h, k = np.zeros((n, self.h), np.float32), self.h
-        out = np.empty((length, n, k), np.float32)
-        table, u = self.w["x" + d] + self.w["b" + d], self.w["u" + d]
-        for t in range(length) if d == "f" else range(length - 1, -1, -1):
-            a = table[data[:, t]]
-            g = h @ u
-            zr = _sigmoid(a[:, : 2 * k] + g[:, : 2 * k])
-            z, r = zr[:, :k], zr[:, k:]
-            m = np.tanh(a[:, 2 * k :] + r * g[:, 2 * k :])
-            new = m + z * (h - m)
+    def _joint(self) -> np.ndarray:
+        """u of both directions in one matrix [3 gates x 2 directions x H, 2H]."""
+        k = self.h
+        joint = np.zeros((3, 2, k, 2, k), self.w["u"].dtype)
+        for d in range(2):
+            joint[:, d, :, d] = self.w["u"][d].reshape(3, k, k)
+        return joint.reshape(6 * k, 2 * k)
+
+    def _steps(self, ahead: np.ndarray, back: np.ndarray, keep: list | None = None) -> Iterator[np.ndarray]:
+        """The states [2H, n] after each step; ahead, back: the bytes [steps, n] as each direction reads them.
+        A state is only valid until the next step, unless what gradients need is kept."""
+        k, n = self.h, ahead.shape[1]
+        stay = np.zeros((2, 1, 3 * k), self.w["x"].dtype)
+        stay[..., :k] = 100  # the update gate is exactly 1
+        u, x = self._joint(), np.concatenate([self.w["x"], stay], 1)
+        h, a = np.zeros((2 * k, n), x.dtype), np.empty((3, 2, k, n), x.dtype)
+        for f, b in zip(ahead, back):
+            a[:, 0], a[:, 1] = x[0].take(f, 0).T.reshape(3, k, n), x[1].take(b, 0).T.reshape(3, k, n)
+            g = u @ h
+            zr, own = a[:2].reshape(4 * k, n), a[2].reshape(2 * k, n)
+            zr += g[: 4 * k]
+            zr *= 0.5  # the logistic function by tanh
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            z, r, m = zr[: 2 * k], zr[2 * k :], g[4 * k :]
+            if keep is not None:
+                keep.append((h.copy(), z.copy(), r.copy(), m.copy()))
+            m = m * r
+            m += own
+            np.tanh(m, out=m)
             if keep is not None:
-                keep.append((t, h, z, r, m, g[:, 2 * k :]))
-            h = out[t] = new
+                keep[-1] += (m.copy(),)
+            h -= m
+            h *= z
+            h += m
+            yield h
+
+    def pooled(self, segments: list[np.ndarray]) -> np.ndarray:
+        """[segments, languages]: sums over all positions of the logarithms of the labels' probabilities. The
+        segments' lengths should be alike: what shorter ones are filled up with is not read."""
+        sizes = np.array([len(s) for s in segments])
+        n, length, many = len(segments), int(sizes.max()), len(self.languages)
+        ahead, back = (np.full((n, length), 256, np.intp) for _ in range(2))  # 256: nothing, where a state stays
+        for i, s in enumerate(segments):
+            ahead[i, : len(s)], back[i, length - len(s) :] = s, s[::-1]
+        v, k = self.w["v"], self.h
+        both = np.zeros((2 * many, 2 * k), v.dtype)  # what each direction adds to the labels, apart
+        both[:many, :k], both[many:, k:] = v[:, :k], v[:, k:]
+        scores = np.empty((length, 2 * many, n), v.dtype)
+        for t, h in enumerate(self._steps(ahead.T.copy(), back.T.copy())):
+            np.dot(both, h, out=scores[t])
+        out = np.zeros((n, many))
+        for lo in range(0, length, 64):
+            hi = min(length, lo + 64)
+            s = scores[lo:hi, :many] + scores[length - hi : length - lo, many:][::-1] + self.w["c"][:, None]
+            s -= s.max(1, keepdims=True)
+            s -= np.log(np.exp(s).sum(1, keepdims=True))
+            s *= (np.arange(lo, hi)[:, None] < sizes)[:, None]
+            out += s.sum(0, dtype=np.float64).T
         return out
 
-    def log_probs(self, data: np.ndarray) -> np.ndarray:
-        """[length, words, languages] for words of one length."""
-        s = np.concatenate([self._run(data, "f"), self._run(data, "b")], 2) @ self.w["v"] + self.w["c"]
-        s -= s.max(2, keepdims=True)
-        return s - np.log(np.exp(s).sum(2, keepdims=True))
-
     def gradients(self, data: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss over positions, and its gradients by backpropagation through time."""
-        n, length = data.shape
-        kept: dict[str, list] = {"f": [], "b": []}
-        states = np.concatenate([self._run(data, d, kept[d]) for d in "fb"], 2)
-        s = states @ self.w["v"] + self.w["c"]
-        s -= s.max(2, keepdims=True)
+        """Mean loss over positions of bytes [length, n], and its gradients by backpropagation through time."""
+        length, n = data.shape
+        k, keep = self.h, []
+        states = np.stack([h.copy() for h in self._steps(data, data[::-1], keep)])
+        at = np.concatenate([states[:, :k], states[::-1, k:]], 1)  # both directions' states at each position
+        s = np.matmul(self.w["v"], at) + self.w["c"][:, None]
+        s -= s.max(1, keepdims=True)
         p = np.exp(s)
-        p /= p.sum(2, keepdims=True)
-        scale = (weight / (weight.sum() * length)).astype(np.float32)
-        loss = float(-(np.log(p[:, np.arange(n), label] + 1e-12) * scale).sum())
-        p[:, np.arange(n), label] -= 1
-        p *= scale[:, None]
-        g = {"v": np.einsum("tnh,tnl->hl", states, p), "c": p.sum((0, 1))}
-        ahead, k = p @ self.w["v"].T, self.h
-        for i, d in enumerate("fb"):
-            u = self.w["u" + d]
-            gx, gu, gb, dh = np.zeros_like(self.w["x" + d]), np.zeros_like(u), np.zeros(3 * k, np.float32), np.zeros((n, k), np.float32)
-            for t, h, z, r, m, gm in reversed(kept[d]):
-                dh = dh + ahead[t, :, i * k : (i + 1) * k]
-                dm = dh * (1 - z) * (1 - m * m)
-                dz = dh * (h - m) * z * (1 - z)
-                dr = dm * gm * r * (1 - r)
-                da = np.concatenate([dz, dr, dm], 1)
-                dg = np.concatenate([dz, dr, dm * r], 1)
-                np.add.at(gx, data[:, t], da)
-                gb += da.sum(0)
-                gu += h.T @ dg
-                dh = dh * z + dg @ u.T
-            g |= {"x" + d: gx, "u" + d: gu, "b" + d: gb}
+        p /= p.sum(1, keepdims=True)
+        scale = (weight / (weight.sum() * length)).astype(p.dtype)
+        loss = float(-(np.log(p[:, label, np.arange(n)] + 1e-12) * scale).sum())
+        p[:, label, np.arange(n)] -= 1
+        p *= scale
+        g = {"v": np.einsum("tln,thn->lh", p, at, optimize=True), "c": p.sum((0, 2))}
+        onto = np.matmul(self.w["v"].T, p)
+        onto = np.concatenate([onto[:, :k], onto[::-1, k:]], 1)  # by step again
+        u, dh = self._joint(), np.zeros((2 * k, n), p.dtype)
+        gu, gates = np.zeros_like(u), np.empty((length, 6 * k, n), p.dtype)
+        for t in range(length - 1, -1, -1):
+            h, z, r, gm, m = keep[t]
+            dh += onto[t]
+            dm = dh * (1 - z) * (1 - m * m)
+            dz, dr = dh * (h - m) * z * (1 - z), dm * gm * r * (1 - r)
+            gates[t] = np.concatenate([dz, dr, dm])
+            dg = np.concatenate([dz, dr, dm * r])
+            gu += dg @ h.T
+            dh = dh * z + u.T @ dg
+        gu, gates = gu.reshape(3, 2, k, 2, k), gates.reshape(length, 3, 2, k, n)
+        g["u"] = np.stack([gu[:, d, :, d].reshape(3 * k, k) for d in range(2)])
+        g["x"] = np.zeros_like(self.w["x"])
+        for d, read in enumerate((data, data[::-1])):
+            order = np.argsort(read, axis=None, kind="stable")
+            flat = gates[:, :, d].reshape(length, 3 * k, n).transpose(0, 2, 1).reshape(length * n, 3 * k)[order]
+            seen, first = np.unique(read.reshape(-1)[order], return_index=True)
+            g["x"][d, seen] = np.add.reduceat(flat, first, 0)
         return loss, g
 
 
-def train(words: list[tuple[str, str]], seed: int = 5, epochs: int = EPOCHS) -> Network | None:
-    """A network trained on (word, language) samples, each language with the same weight; None without any."""
-    if not words:
+def train(pieces: list[tuple[bytes, str]], seed: int = 5, epochs: int = EPOCHS) -> Network | None:
+    """A network trained on (bytes, language) pieces, each language with the same weight (Adam); None without any."""
+    pieces = [p for p in pieces if p[0]]
+    if not pieces:
         return None
-    languages = sorted({lang for _, lang in words})
+    languages = sorted({lang for _, lang in pieces})
     net, rng = Network(languages), np.random.default_rng(seed)
     by_length: dict[int, list[tuple[bytes, int]]] = {}
-    for word, lang in words:
-        for piece in pieces_of(word):
-            by_length.setdefault(len(piece), []).append((piece, languages.index(lang)))
+    for piece, lang in pieces:
+        by_length.setdefault(len(piece), []).append((piece, languages.index(lang)))
     count = np.bincount([i for own in by_length.values() for _, i in own], minlength=len(languages))
     weight = count.sum() / (len(languages) * np.maximum(count, 1))
     sets = {k: (np.frombuffer(b"".join(p for p, _ in own), np.uint8).reshape(-1, k), np.array([i for _, i in own])) for k, own in by_length.items()}
     m, v = ({k: np.zeros_like(x) for k, x in net.w.items()} for _ in range(2))
-    step = 0
-    total = epochs * sum(-(-len(y) // BATCH) for _, y in sets.values())
+    step, total = 0, epochs * sum(-(-len(y) // BATCH) for _, y in sets.values())
     for _ in range(epochs):
         batches = [(k, part) for k, (_, y) in sets.items() for part in np.array_split(rng.permutation(len(y)), -(-len(y) // BATCH))]
         for j in rng.permutation(len(batches)):
             k, part = batches[j]
             x, y = sets[k]
-            _, g = net.gradients(x[part], y[part], weight[y[part]])
+            _, g = net.gradients(x[part].T.astype(np.intp), y[part], weight[y[part]])
             step += 1
             rate = RATE * (1 - 0.9 * step / total)
             for name, grad in g.items():
@@ -152,101 +185,91 @@ def _remainder(id: str) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id).cast("string")), F.lit(4)), F.lit(-1))
 
 
-def _sampled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        rows = []
-        for text, lang, key in zip(frame["text"], frame["lang"], frame["key"]):
-            words = words_of(text)
-            if len(words) > SAMPLE_WORDS:
-                words = [words[i] for i in np.sort(np.random.default_rng(key & 0x7FFFFFFF).choice(len(words), SAMPLE_WORDS, replace=False))]
-            rows += [(w[:200], lang) for w in words]
-        yield pd.DataFrame(rows, columns=["word", "lang"])
-
-
 def learn(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang") -> Network | None:
     """A network fitted on a bounded sample of the labelled rows: about SAMPLE_DOCS documents of each
-    language, chosen by hash, with SAMPLE_WORDS words of each, from anywhere in its text. Rows whose
-    crc32(id) mod 4 is 2, or whose id, text or language is null, aren't learned from."""
-    open_rows = docs.filter((_remainder(id) != 2) & F.col(id).isNotNull() & F.col(text).isNotNull() & F.col(lang).isNotNull())
-    open_rows = open_rows.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.lit(23), F.col(id)).alias("key"))
+    language and TRAIN_DOCS at all, chosen by hash, of each PIECES pieces of PIECE_BYTES bytes from hashed
+    places anywhere in its text (a shorter text whole, once). Rows whose crc32(id) mod 4 is 2, or whose id,
+    text or language is null, aren't learned from."""
+    open_rows = docs.filter((_remainder(id) != 2) & F.col(id).isNotNull() & (F.length(text) > 0) & F.col(lang).isNotNull())
+    open_rows = open_rows.select(F.encode(text, "UTF-8").alias("data"), F.col(lang).alias("lang"), F.xxhash64(F.lit(23), id, text).alias("key"))
     counts = {r["lang"]: r["n"] for r in open_rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
     if not counts:
         return None
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, SAMPLE_DOCS / n))])
-    chosen = open_rows.filter(F.pmod("key", F.lit(1 << 20)) < F.try_element_at(share, F.col("lang")) * (1 << 20))
-    rows = chosen.mapInPandas(_sampled, "word string, lang string").toPandas()
-    words = sorted(zip(rows["word"], rows["lang"]))  # in an order that doesn't depend on partitions
-    if len(words) > TRAIN_WORDS:
-        words = [words[i] for i in np.random.default_rng(1).choice(len(words), TRAIN_WORDS, replace=False)]
-    return train(words)
-
-
-class Labeller:
-    """Of words the sums of log probabilities over their positions, and their positions; remembered."""
-
-    def __init__(self, net: Network):
-        self.net, self.place = net, {}
-        self.sums = np.zeros((0, len(net.languages) + 1))
-
-    def prepare(self, words: set[str]) -> None:
-        """Runs the words that aren't known through the network; forgets the others first if they are too many."""
-        if len(self.place) + len(words) > REMEMBERED:
-            self.place, self.sums = {}, self.sums[:0]
-        fresh = [w for w in words if w not in self.place]
-        totals = np.zeros((len(fresh), self.sums.shape[1]))
-        by_length: dict[int, tuple[list[int], list[bytes]]] = {}
-        for i, word in enumerate(fresh):
-            for piece in pieces_of(word):
-                own = by_length.setdefault(len(piece), ([], []))
-                own[0].append(i)
-                own[1].append(piece)
-        for length, (owners, parts) in by_length.items():
-            for lo in range(0, len(parts), AT_ONCE):
-                data = np.frombuffer(b"".join(parts[lo : lo + AT_ONCE]), np.uint8).reshape(-1, length)
-                at = np.array(owners[lo : lo + AT_ONCE])
-                np.add.at(totals, at, np.column_stack([self.net.log_probs(data).sum(0, dtype=np.float64), np.full(len(at), length)]))
-        self.place.update(zip(fresh, range(len(self.sums), len(self.sums) + len(fresh))))
-        self.sums = np.concatenate([self.sums, totals])
-
-    def pooled(self, words: list[str]) -> np.ndarray:
-        """Sums over words of log probabilities, and the number of positions."""
-        return self.sums[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))].sum(0)
+    most = min(SAMPLE_DOCS, max(1, TRAIN_DOCS // len(counts)))
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, most / n))])
+    chosen = open_rows.filter(F.pmod("key", F.lit(1 << 30)) < F.try_element_at(share, F.col("lang")) * (1 << 30))
+    room = F.greatest(F.octet_length("data") - PIECE_BYTES, F.lit(0)).cast("long")
+    place = F.explode(F.when(room > 0, F.sequence(F.lit(1), F.lit(PIECES))).otherwise(F.array(F.lit(1))))
+    pieces = chosen.select("lang", "data", "key", room.alias("room"), place.alias("i"))
+    start = (F.pmod(F.xxhash64("key", "i"), F.col("room") + 1) + 1).cast("int")
+    rows = pieces.select("lang", F.substring("data", start, F.lit(PIECE_BYTES)).alias("piece")).collect()  # TRAIN_DOCS * PIECES, about
+    return train(sorted((bytes(r["piece"]), r["lang"]) for r in rows))  # in an order that doesn't depend on partitions
+
+
+def segments_of(data: np.ndarray) -> Iterator[np.ndarray]:
+    """The bytes of a text in runs of SEGMENT at most, each cut before a character."""
+    lo = 0
+    while lo < len(data):
+        hi = min(len(data), lo + SEGMENT)
+        while hi < len(data) and hi > lo + SEGMENT - 4 and (data[hi] & 0xC0) == 0x80:
+            hi -= 1
+        yield data[lo:hi]
+        lo = hi
+
+
+class Reader:
+    """Pools texts' segments, many texts' together and in groups of like length."""
+
+    def __init__(self, net: Network, texts: int):
+        self.net, self.totals = net, np.zeros((texts, len(net.languages)))
+        self.held: list[tuple[int, np.ndarray]] = []
+        self.bytes = 0
+
+    def add(self, i: int, data: np.ndarray) -> None:
+        for segment in segments_of(data):
+            self.held.append((i, segment))
+            self.bytes += len(segment)
+            if self.bytes >= GATHERED:
+                self.flush()
+
+    def flush(self) -> None:
+        held, lo = sorted(self.held, key=lambda x: len(x[1])), 0
+        while lo < len(held):
+            hi = min(len(held), lo + AT_ONCE)
+            while hi > lo + 1 and (hi - lo) * len(held[hi - 1][1]) * len(self.net.languages) > SCORES:
+                hi = lo + (hi - lo + 1) // 2
+            np.add.at(self.totals, [i for i, _ in held[lo:hi]], self.net.pooled([s for _, s in held[lo:hi]]))
+            lo = hi
+        self.held, self.bytes = [], 0
 
 
 def _predicted(batches: Iterator[pa.RecordBatch], net: Network | None) -> Iterator[pa.RecordBatch]:
-    labeller = Labeller(net) if net else None
     for batch in batches:
-        langs, scores = [], []
-        i = 0
-        while i < batch.num_rows:  # as many texts at once as hold about a million letters
-            texts, held = [], 0
-            while i < batch.num_rows and (held < 1 << 20 or not texts):
-                texts.append(words_of(batch.column(1)[i].as_py() or ""))
-                held += sum(map(len, texts[-1]))
-                i += 1
-            if labeller:
-                labeller.prepare({w for words in texts for w in words})
-            for words in texts:
-                if not labeller or not any(c.isalpha() for w in words for c in w):
-                    langs.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                total = labeller.pooled(words)
-                mean = total[:-1] / total[-1]
-                p = np.exp(mean - mean.max())
-                best = int(p.argmax())
-                langs.append(net.languages[best])
-                scores.append(float(p[best] / p.sum()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["id", "lang_pred", "score"])
+        column = batch.column(1)
+        data, offsets = tb.column(column)
+        lettered = [net is not None and any(map(str.isalpha, column[i].as_py() or "")) for i in range(len(column))]
+        langs, scores = [UNKNOWN] * len(column), np.zeros(len(column))
+        if any(lettered):
+            reader = Reader(net, len(column))
+            for i in np.flatnonzero(lettered).tolist():
+                reader.add(i, data[offsets[i] : offsets[i + 1]])
+            reader.flush()
+            mean = reader.totals / np.maximum(np.diff(offsets), 1)[:, None]
+            p = np.exp(mean - mean.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            for i in np.flatnonzero(lettered).tolist():
+                best = int(p[i].argmax())
+                langs[i], scores[i] = net.languages[best], p[i, best]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(np.round(scores, 5))], names=["id", "lang_pred", "score"])
 
 
 def predicted(docs: DataFrame, net: Network | None, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, lang_pred, score of every row, from the whole text alone.
+    """id, lang_pred, score of every row, from the bytes of the whole text alone.
 
     A null text, and a text without a letter, is "und" with score 0; so is every text where nothing was
-    learned. The score is the pooled probability of the language named: the geometric mean over positions,
-    normed over the languages. Ties go to the first language by name. Repeated rows get equal results; an
-    empty table gives an empty table. Other columns are left out.
+    learned. The score, to 5 digits, is the pooled probability of the language named: the geometric mean
+    over positions, normed over the languages. Ties go to the first language by name. Repeated rows get
+    equal results; an empty table gives an empty table. Other columns are left out.
     """
     small_batches(docs.sparkSession)
     schema = f"id {docs.schema[id].dataType.simpleString()}, lang_pred string, score double"
