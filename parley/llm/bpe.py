@@ -3,9 +3,9 @@
 The tokenizer file is a parameter; it is read by its path on each executor, whose Python needs the
 package that owns the file. Texts stay whole. A text is cut at white space first: no normal form, case
 mapping, pattern match or merge reaches across white space, so a cut-out piece always has the same ids
-and a bounded memory of recent pieces saves most of the work. What is a letter follows the pattern module
-and how it is lowered follows Python; both know all characters up to Unicode 15.1 as the library does. Its
-normal form is of an older version: runs of combining marks that came after it may be ordered differently.
+and a bounded memory of recent pieces saves most of the work. The library's tables are of several ages, and
+those of Python and its pattern module of others; the fixed values below make up for the difference, so that
+every character of every plane is treated as there.
 """
 
 from __future__ import annotations
@@ -28,6 +28,27 @@ from parley.llm.lineage import small_batches
 
 #: White space as the tokenizer's pattern engine sees it.
 SPACE_CLASS = "\t-\r \x85\xa0  -     　"
+# Code points, hexadecimal, of the combining marks that came with Unicode 10 to 15.1, and of the one
+# vowel sign that a pair composed since then ends with. To the tables of Unicode 9 they are characters that stay
+# where they are, join with nothing and end a run of marks.
+NEWER_MARKS = (
+    "7FD 898-89F 8CA-8D3 9FE C3C D3B-D3C EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27 10EAB-10EAC 10EFD-10EFF "
+    "10F46-10F50 10F82-10F85 11070 1133B 1145E 11839-1183A 1193D-1193E 11943 119E0 11A34 11A47 11A99 11D42 "
+    "11D44-11D45 11D97 11F41-11F42 16FF0-16FF1 1E08F 1E130-1E136 1E2AE 1E2EC-1E2EF 1E4EC-1E4EF 11930"
+)
+# Code points of letters and numbers since Unicode 17, which are neither to its pattern engine.
+NEWER_LETTERS = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 "
+    "10ED9-10EEE 11B0A 11DB0-11DDB 11DF1 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 "
+    "18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE "
+    "1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
+NEWER_NUMBERS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
+# Capital letters since Unicode 16, and how far from each, hexadecimal, its small letter lies.
+NEWER_CAPITALS = {
+    "1C89": 0x1, "A7CB": -0xA567, "A7CC": 0x1, "A7CE": 0x1, "A7D2": 0x1, "A7D4": 0x1, "A7DA": 0x1, "A7DC": -0xA641,
+    "10D50-10D65": 0x20, "16EA0-16EB8": 0x1B,
+}
 #: Pieces and words that a worker remembers in each of two generations, and the longest of them in characters.
 REMEMBERED = 120_000
 REMEMBERED_CHARS = 64
@@ -51,6 +72,35 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
+def _class_of(ranges: str) -> str:
+    ends = [[chr(int(x, 16)) for x in r.split("-")] for r in ranges.split()]
+    return "[" + "".join("-".join(map(regex.escape, e)) for e in ends) + "]"
+
+
+def _shifts(capitals: dict[str, int]) -> dict[int, int]:
+    ends = [([int(x, 16) for x in r.split("-")], step) for r, step in capitals.items()]
+    return {c: c + step for e, step in ends for c in range(e[0], e[-1] + 1)}
+
+
+_NEWER = regex.compile(f"({_class_of(NEWER_MARKS)}+)")
+_NEWER_LETTER = regex.compile(_class_of(f"{NEWER_LETTERS} {NEWER_NUMBERS}"))
+_SMALL = _shifts(NEWER_CAPITALS) | {ord("Σ"): ord("σ")}  # case mapping is by character: no form of its own at a word's end
+_CAPITAL = regex.compile(_class_of(" ".join(NEWER_CAPITALS)) + "|Σ")
+
+
+def lowered(text: str) -> str:
+    return (text.translate(_SMALL) if _CAPITAL.search(text) else text).lower()
+
+
+def composed(text: str) -> str:
+    """The normal form NFC of Unicode 9."""
+    if not _NEWER.search(text):
+        return unicodedata.normalize("NFC", text)
+    parts = _NEWER.split(text)  # those marks stand at odd places
+    parts[::2] = [unicodedata.normalize("NFC", x) for x in parts[::2]]
+    return "".join(parts)
+
+
 def unpacked(ids: bytes) -> list[int]:
     return list(struct.unpack(f"<{len(ids) // 4}I", ids))
 
@@ -73,7 +123,11 @@ class Tokenizer:
         self.inner = [self.vocab[s] for s in symbols]
         self.final = [self.vocab[s + self.suffix] for s in symbols]
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(split["pattern"]["Regex"].replace(r"\s", SPACE_CLASS))
+        words = split["pattern"]["Regex"].replace(r"\s", SPACE_CLASS)
+        self.words = regex.compile(words)
+        for name, newer in ((r"\p{L}", NEWER_LETTERS), (r"\p{N}", NEWER_NUMBERS)):
+            words = words.replace(name, f"[{name}--{_class_of(newer)}]")
+        self.words_older = regex.compile(words, regex.V1)
         self.gaps = regex.compile(f"[{SPACE_CLASS}]+")
         self.marks = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.of_word = _Remembered(lambda word: self.merged(word.encode()))
@@ -119,13 +173,13 @@ class Tokenizer:
         return b"".join([*out, self._plain(text[at:])])
 
     def _plain(self, text: str) -> bytes:
-        # Case mapping is by character there: a final capital sigma gets no form of its own.
-        lower = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        lower = text.lower() if text.isascii() else lowered(composed(text))
         if lower.isalpha():
             return self.of_word[lower]
         if lower[:-1].isalpha():  # letters and one other character, which stands alone
             return self.of_word[lower[:-1]] + self.of_word[lower[-1]]
-        return b"".join([self.of_word[m[0]] for m in self.words.finditer(lower)])
+        words = self.words_older if not lower.isascii() and _NEWER_LETTER.search(lower) else self.words
+        return b"".join([self.of_word[m[0]] for m in words.finditer(lower)])
 
     def pieces(self, text: str) -> list[str]:
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to str.split, not to the tokenizer

@@ -36,12 +36,36 @@ def test_odd_texts(pair, text):
     same(pair, text)
 
 
-@settings(max_examples=200, deadline=None)
-@given(text=st.text(alphabet=st.characters(codec="utf-8", max_codepoint=0x2FFF, exclude_categories=["Cn", "Cs", "Mn", "Me"]), max_size=60))
+@settings(max_examples=400, deadline=None)
+@given(text=st.text(alphabet=st.characters(codec="utf-8"), max_size=60))
 def test_any_text(pair, text):
     same(pair, text)
 
 
+@settings(max_examples=400, deadline=None)
+@given(text=st.text(alphabet=st.characters(categories=["Mn", "Mc", "Me"]) | st.sampled_from("aeiouAÉ 가ᄀ\U00011935"), max_size=30))
+def test_marks(pair, text):
+    same(pair, text)
+
+
+def test_every_character(pair):
+    own, library = pair
+    every = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    for around in ("", "a", "!", "1"):
+        texts = [around + c + around for c in every]
+        for lo in range(0, len(texts), 100_000):
+            part = texts[lo : lo + 100_000]
+            for t, e in zip(part, library.encode_batch(part, add_special_tokens=False)):
+                assert own.encode(t) == e.ids, t
+
+
+def test_very_long_text(spark, pair):
+    text = "Some words, 12 numbers and É ɐ " * 60_000 + "x" * 20_000
+    row = bpe.encoded(spark.createDataFrame([(1, text)], "doc_id long, text string"), bpe.production_path(), keep=["doc_id"], outputs=("n_tokens", "ids_sha256")).first()
+    ids = pair[1].encode(text, add_special_tokens=False).ids
+    assert (row.n_tokens, row.ids_sha256) == (len(ids), hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest())
+
+
 def test_documents(spark, sf_dir, pair):
     from parley.llm.registry import queries
 
