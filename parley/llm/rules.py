@@ -22,7 +22,8 @@ MARKED_SHARE = 0.3
 #: Shouting: runs of exclamation marks, one for this share of the words.
 SHOUT = r"!!"
 SHOUT_SHARE = 0.3
-#: Lines about the page, the site or the licence, not the subject.
+#: Lines about the page, the site or the licence, not the subject: one mention for this share of the words.
+BOILERPLATE_SHARE = 0.05
 BOILERPLATE = (
     r"(?i)all rights reserved|cookie policy|privacy policy|terms of (?:use|service)|click here|subscribe to our|"
     r"sign up for|log ?in to|enable javascript|lorem ipsum|copyright \(c\)|©|licensed under|is licensed|"
@@ -81,14 +82,15 @@ def repeated_words(words: Column) -> Column:
 
 
 def line_passes(line: Column) -> Column:
-    """The line rules: sentence ends on short lines, marks (navigation), shouting, boilerplate."""
+    """The line rules: sentence ends on short lines, marks (navigation), shouting, boilerplate. The last three are by
+    share of the words, so that a long line isn't lost for one mention."""
 
     def by_size(n: Column) -> Column:
         return (
             ((n >= SHORT_LINE_WORDS) | line.rlike(SENTENCE_END))
             & (F.regexp_count(line, F.lit(MARKED_WORD)) < F.greatest(F.lit(1), n * MARKED_SHARE))
             & (F.regexp_count(line, F.lit(SHOUT)) < F.greatest(F.lit(1), n * SHOUT_SHARE))
-            & ~line.rlike(BOILERPLATE)
+            & (~line.rlike(BOILERPLATE) | (F.regexp_count(line, F.lit(BOILERPLATE)) < n * BOILERPLATE_SHARE))
         )
 
     return let(F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+")), by_size)
@@ -134,7 +136,11 @@ def quality(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
-    """Kept documents with their failed lines removed, in the columns of docs; n_chars follows the text."""
+    """Kept documents with their failed lines removed, in the columns of docs; n_chars follows the text.
+
+    A null or empty text goes, as it has no words; repeated rows each stay or go; an empty table gives an empty
+    table; all other columns, whatever their names, stay as they are.
+    """
     names = docs.columns
     out = quality(docs, prefix="__q_").filter(F.col("__q_kept")).withColumn("text", F.col("__q_clean_text"))
     if "n_chars" in names:
@@ -160,7 +166,7 @@ y AS (SELECT *, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n FROM x),
 z AS (SELECT *, (n >= 10 OR regexp_matches(l, '[.!?…:;"''”’»)\]][\x20\x09-\x0D]*$'))
         AND len(regexp_extract_all(l, '[^\x20\x09-\x0D]*[#*$%&|<>][^\x20\x09-\x0D]*')) < greatest(1, n * 0.3::DOUBLE)
         AND len(regexp_extract_all(l, '!!')) < greatest(1, n * 0.3::DOUBLE)
-        AND NOT regexp_matches(l, '(?i)all rights reserved|cookie policy|privacy policy|terms of (?:use|service)|click here|subscribe to our|sign up for|log ?in to|enable javascript|lorem ipsum|copyright \(c\)|©|licensed under|is licensed|public license|apache license|creative commons') AS ok FROM y),
+        AND len(regexp_extract_all(l, '(?i)all rights reserved|cookie policy|privacy policy|terms of (?:use|service)|click here|subscribe to our|sign up for|log ?in to|enable javascript|lorem ipsum|copyright \(c\)|©|licensed under|is licensed|public license|apache license|creative commons')) < greatest(1, n * 0.05::DOUBLE) AS ok FROM y),
 k AS (SELECT doc_id, count(*) AS n_distinct, count(*) FILTER (ok) AS n_lines_kept, coalesce(sum(length(l)) FILTER (ok), 0) AS kept_chars FROM z GROUP BY doc_id),
 f AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
         len(regexp_extract_all(body, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(ls) - coalesce(n_distinct, 0))::BIGINT AS n_dup_lines,

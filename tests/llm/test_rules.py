@@ -34,6 +34,17 @@ def test_lines(spark):
     assert (got[3].n_dup_lines, got[1].n_symbols, got[6].n_lines) == (1, 3, 3)
 
 
+def test_one_mention_in_a_long_line(spark):
+    """A long line that names a phrase stays; a short one, or one full of them, goes."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    long = " ".join(word() for _ in range(150)) + " click here " + " ".join(word() for _ in range(150)) + "."
+    short = " ".join(word() for _ in range(10)) + " click here."
+    full = " ".join(f"{word()} {word()} click here and log in to" for _ in range(20)) + "."
+    got = judged(spark, [long, short, full])
+    assert [got[i].kept for i in range(3)] == [True, False, False] and got[0].clean_text == long
+
+
 def test_odd_rows(spark):
     long = "Word number one of this long text follows here now. " * 40_000
     got = judged(spark, [None, "", " \n\t\n", long, "x" * 2_000_000, "\x0ba\x0cb"])
