@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -76,10 +78,29 @@ def is_fragment(text: Column) -> Column:
     return (n >= 1) & (n <= 3) & ~has(text, r"[.?!]\s*$", "U")
 
 
+@cache
+def latin_letters() -> tuple[tuple[int, int], ...]:
+    """Ranges of the letters that have LATIN in their names. Ordinal signs and modifier letters have not, though they
+    are of the Latin script; full-width and mathematical letters differ from it too."""
+    out: list[list[int]] = []
+    for c in range(0x41, 0x1E000):
+        if chr(c).isalpha() and "LATIN" in unicodedata.name(chr(c), "LATIN"):
+            if out and out[-1][1] == c - 1:
+                out[-1][1] = c
+            else:
+                out.append([c, c])
+    return tuple(map(tuple, out))
+
+
+def latin_class() -> str:
+    """latin_letters inside the brackets of a pattern."""
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in latin_letters())
+
+
 def is_drift(text: Column, spanish=lx.DRIFT_WORDS, foreign_script: bool = True) -> Column:
-    """Spanish function words or, unless switched off, any letter outside the Latin script."""
+    """Spanish function words or, unless switched off, any letter without LATIN in its name."""
     few = count(text, lx.words(spanish)) >= lx.DRIFT_HITS
-    return few | text.rlike(r"[\p{L}&&[^\p{IsLatin}]]") if foreign_script else few
+    return few | text.rlike(rf"[\p{{L}}&&[^{latin_class()}]]") if foreign_script else few
 
 
 def strip_residue(text: Column) -> Column:
@@ -121,10 +142,12 @@ def section(turn_index: Column, n_turns: Column) -> Column:
 
 
 def title_case(text: Column) -> Column:
-    return F.initcap(strip(text))
+    """Each run of letters with a capital first and small letters after it, also behind hyphens and apostrophes."""
+    return F.array_join(F.transform(F.regexp_extract_all(strip(text), F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1)), lambda p: F.initcap(p)), "")
 
 
 def to_float(text: Column) -> Column:
+    """Empty texts, NaN and what isn't a number become null."""
     return F.nanvl(text.try_cast("double"), F.lit(None).cast("double"))
 
 
@@ -135,7 +158,3 @@ def dot(a: Column, b: Column) -> Column:
 def l2_normal(v: Column) -> Column:
     """Length 1; a zero vector stays zero."""
     return let(F.sqrt(dot(v, v)), lambda n: F.transform(v, lambda x: x / F.when(n > 0, n).otherwise(1.0)))
-
-
-def cosine(a: Column, b: Column) -> Column:
-    return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))

@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from parley.functions import lexicon as lx
 from parley.functions import text as tx
@@ -55,9 +54,10 @@ def personas(metadata: DataFrame) -> DataFrame:
 
 def few_shot(turns: DataFrame, files: DataFrame, skip: int = 80, n_turns: int = 10) -> DataFrame:
     """One row, excerpt: the first n_turns of the first conversation, after skip files, with n_turns + 2 or more."""
-    later = files.orderBy("file").limit(1 << 30).withColumn("row", F.row_number().over(Window.orderBy("file"))).filter(F.col("row") > skip)
+    last = files.orderBy("file").limit(skip).agg(F.max("file").alias("last"), F.count("*").alias("skipped"))  # one row
+    later = files.crossJoin(F.broadcast(last)).filter((F.col("skipped") == skip) & ((F.col("file") > F.col("last")) | F.lit(skip == 0)))
     long = turns.groupBy("conversation_no").agg(F.count("*").alias("n")).filter(F.col("n") >= n_turns + 2)
-    first = later.join(long, "conversation_no").orderBy("file").limit(1).select("conversation_no")
+    first = later.join(long, "conversation_no").agg(F.min_by("conversation_no", "file").alias("conversation_no"))
     label = F.coalesce(F.try_element_at(F.create_map(F.lit("A"), F.lit("ParticipantA"), F.lit("B"), F.lit("ParticipantB")), F.col("speaker")), F.col("speaker"))
     rows = turns.join(F.broadcast(first), "conversation_no", "left_semi").filter(F.col("turn_index") < n_turns)
     lines = F.array_sort(F.collect_list(F.struct("turn_index", F.concat_ws(": ", label, "text").alias("line"))))

@@ -125,23 +125,44 @@ def vif(rows: DataFrame, columns: list[str]) -> list[tuple[str, float]]:
 
 
 def mixed_model(rows: DataFrame, y: str, group: str, factors: list[str]) -> list[dict]:
-    """y ~ product of two-level 0/1 factors + (1 | group) by REML, with Wald p.
+    """y ~ product of two-level 0/1 factors + (1 | group) by REML, with Wald p."""
+    return _reml(_folded(rows, y, group, factors, []).collect(), factors)  # one row a pattern of counts
 
-    All that REML needs are, for each group and cell of the factors, count, sum and sum of squares. Those
-    are folded to moment matrices for each distinct pattern of cell counts, and the likelihood is
-    profiled over the ratio of the variances.
-    """
+
+def mixed_models(rows: DataFrame, y: str, group: str, factor: str, factors: list[str], by: str, baseline: str, first: int = 0) -> list[dict]:
+    """For each value of by other than the baseline, with its name: the model over its rows and the baseline's, in which
+    factor is 1 - first for that value and first for the baseline. Groups must not reach across values of by."""
+    marked = rows.withColumn(factor, F.when(F.col(by) == baseline, first).otherwise(1 - first))
+    folded: dict[str, list] = {}
+    for r in _folded(marked, y, group, [factor, *factors], [by]).collect():  # one row a value and pattern of counts
+        folded.setdefault(r[by], []).append(r)
+    base = folded.pop(baseline, [])
+    return [{by: name, **term} for name, own in sorted(folded.items()) if base for term in _reml([*base, *own], [factor, *factors])]
+
+
+def _products(k: int) -> list[tuple[int, int]]:
+    return [(a, b) for a in range(k) for b in range(a, k)]
+
+
+def _folded(rows: DataFrame, y: str, group: str, factors: list[str], by: list[str]) -> DataFrame:
+    """What REML needs: for each group and cell of the factors count, sum and sum of squares, folded to moments for
+    each distinct pattern of cell counts."""
     own = rows.filter(F.col(y).isNotNull()).withColumn("cell", sum(((F.col(f).cast("long") * (1 << i)) for i, f in enumerate(factors)), F.lit(0)))
     k = 1 << len(factors)
-    cells = own.groupBy(group).agg(
+    cells = own.groupBy(*by, group).agg(
         *[F.count_if(F.col("cell") == c).alias(f"n{c}") for c in range(k)], *[F.coalesce(F.sum(F.when(F.col("cell") == c, F.col(y))), F.lit(0.0)).cast("double").alias(f"s{c}") for c in range(k)],
         F.sum(F.col(y) * F.col(y)).cast("double").alias("yy"),
     )
+    return cells.groupBy(*by, *[f"n{c}" for c in range(k)]).agg(
+        F.count("*").alias("m"), *[F.sum(f"s{c}").alias(f"S{c}") for c in range(k)], *[F.sum(F.col(f"s{a}") * F.col(f"s{b}")).alias(f"P{a}_{b}") for a, b in _products(k)], F.sum("yy").alias("yy"),
+    )
+
+
+def _reml(folded: list, factors: list[str]) -> list[dict]:
+    """The likelihood, profiled over the ratio of the variances. Terms that the cells don't tell apart share by the
+    pseudo-inverse."""
+    k = 1 << len(factors)
     pattern = [f"n{c}" for c in range(k)]
-    products = [(a, b) for a in range(k) for b in range(a, k)]
-    folded = cells.groupBy(*pattern).agg(
-        F.count("*").alias("m"), *[F.sum(f"s{c}").alias(f"S{c}") for c in range(k)], *[F.sum(F.col(f"s{a}") * F.col(f"s{b}")).alias(f"P{a}_{b}") for a, b in products], F.sum("yy").alias("yy"),
-    ).collect()  # one row a pattern of counts
     design = np.array([[float((c & t) == t) for t in range(k)] for c in range(k)])  # cell -> intercept, main effects, interactions
     n = np.array([[r[p] for p in pattern] for r in folded], float)
     m = np.array([r["m"] for r in folded], float)

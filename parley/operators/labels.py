@@ -69,9 +69,13 @@ def conversation_indices(rows: DataFrame) -> DataFrame:
     return out.withColumn("TSI_proxy", 100 * tsi)
 
 
+def source_of(condition: Column) -> Column:
+    return F.when(condition == "SB", "SB").otherwise("LLM")
+
+
 GROUPED = ("ADI", "social_rate", "topic_health", "reciprocity", "TSI_proxy", "CAS")
 
 
 def group_indices(conversations: DataFrame) -> DataFrame:
-    """Means by condition of the indices that are there, nulls skipped."""
-    return conversations.groupBy("condition").agg(F.count("*").alias("n_conversations"), *[F.avg(k).alias(f"mean_{k}") for k in GROUPED if k in conversations.columns])
+    """Means by condition of the indices that are there, nulls skipped, with what the condition stands for."""
+    return conversations.groupBy("condition", source_of(F.col("condition")).alias("source"), "architecture", "prompt_level").agg(F.count("*").alias("n_conversations"), *[F.avg(k).alias(f"mean_{k}") for k in GROUPED if k in conversations.columns])

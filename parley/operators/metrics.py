@@ -48,8 +48,8 @@ def conversation_metrics(turns: DataFrame) -> DataFrame:
         F.coalesce(F.stddev_samp("words"), F.lit(0.0)).alias("sd_words"), F.sum("words").alias("sum_words"),
         *[F.sum(k).alias(f"sum_{k}") for k in lx.MARKERS],
         _share(F.col("agrees_first")).alias("opener_share"), _share(F.col("is_short")).alias("short_share"),
-        F.try_divide(F.count_if("bc_alone"), F.count_if("bc")).alias("backchannel_ratio"),
-        F.try_divide(F.count_if("oh_contingent"), F.count_if("oh_turn")).alias("oh_contingency"),
+        F.try_divide(F.count_if("bc_alone"), F.count_if("bc")).alias("backchannel_ratio"), F.count_if("bc").alias("n_backchannel_turns"),
+        F.try_divide(F.count_if("oh_contingent"), F.count_if("oh_turn")).alias("oh_contingency"), F.count_if("oh_turn").alias("n_oh"),
         _share(F.col("agrees")).alias("sycophancy_share"),
         F.when(F.avg("content") != 0, F.coalesce(F.stddev_samp("content"), F.lit(0.0)) / F.avg("content")).alias("density_cv"),
         F.array_sort(F.collect_list(own)).alias("__turns"),
@@ -68,8 +68,8 @@ def conversation_metrics(turns: DataFrame) -> DataFrame:
 
 
 SUMMARISED = (
-    "mean_words", "median_words", "sd_words", "n_turns", "oh_per_100", "okay_per_100", "uh_huh_per_100", "short_share", "backchannel_ratio",
-    "oh_contingency", "self_repair", "closing_order", "sycophancy_per_100", "sycophancy_share", "density_cv",
+    "mean_words", "median_words", "sd_words", "n_turns", "oh_per_100", "okay_per_100", "uh_huh_per_100", "short_share", "backchannel_ratio", "n_backchannel_turns",
+    "oh_contingency", "n_oh", "self_repair", "closing_order", "sycophancy_per_100", "sycophancy_share", "density_cv",
 )
 
 

@@ -25,18 +25,19 @@ def body_flags(turns: DataFrame, spanish=lx.DRIFT_WORDS, leak: str = lx.LEAK, fo
     })
 
 
-def conversation_quality(turns: DataFrame, **kinds) -> DataFrame:
-    """n_turns over all turns; the rest over the body. Conversations without a body are left out."""
+def conversation_quality(turns: DataFrame, n_body: bool = False, **kinds) -> DataFrame:
+    """n_turns over all turns; the rest over the body. Conversations without a body are left out. kinds: see body_flags."""
     body = F.col("is_body")
     n = lambda c: F.count_if(body & F.col(c))
-    return (
+    out = (
         body_flags(turns, **kinds).groupBy("conv_id", "condition").agg(
             F.count("*").alias("n_turns"), F.count_if(body).alias("n_body"), F.median(F.when(body, F.col("words"))).alias("median_words"),
             n("fragment").alias("fragments"), n("loop").alias("loops"), n("drift").alias("drift"), n("leak").alias("leaks"), n("tell").alias("tells"),
             F.max_by("closing", F.when(body, F.col("turn_index"))).alias("closed_naturally"),
         )
-        .filter("n_body > 0").drop("n_body")
+        .filter("n_body > 0")
     )
+    return out if n_body else out.drop("n_body")
 
 
 def verdicts(quality: DataFrame) -> DataFrame:
@@ -58,7 +59,20 @@ def worst(quality: DataFrame, k: int = 3) -> DataFrame:
     return quality.withColumn("score", score).filter("score > 0").withColumn("rank", rank).filter(F.col("rank") <= k).select("condition", "rank", "conv_id", "score")
 
 
-def compared(new: DataFrame, old: DataFrame) -> DataFrame:
-    """Each new conversation's body turns, median and leaks next to the old ones, where there were any."""
-    pick = lambda df, tag: df.select("conv_id", *[F.col(c).cast("double").alias(f"{c}_{tag}") for c in ("n_turns", "median_words", "leaks", "drift", "loops")])
-    return pick(new, "new").join(pick(old, "old"), "conv_id", "left")
+def compared(new: DataFrame, old: DataFrame, **kinds) -> DataFrame:
+    """Two sets of turns under the same lists and patterns (kinds): each new conversation's body turns, median words,
+    leaks, drift and loops next to the old ones', null where the old set lacks it."""
+
+    def side(turns: DataFrame, tag: str) -> DataFrame:
+        q = conversation_quality(turns, n_body=True, **kinds).withColumn("n_turns", F.col("n_body"))
+        return q.select("conv_id", *[F.col(c).cast("double").alias(f"{c}_{tag}") for c in ("n_turns", "median_words", "leaks", "drift", "loops")])
+
+    return side(new, "new").join(side(old, "old"), "conv_id", "left")
+
+
+def final_check(turns: DataFrame, cap: int = 32) -> DataFrame:
+    """Of each conversation its turns with the seeds, median words, loops, Spanish turns, leaks and fragments of the body,
+    and whether it ended before the cap."""
+    q = conversation_quality(turns, n_body=True, spanish=lx.DRIFT_WORDS_FINAL, foreign_script=False)
+    n = F.col("n_body") + SEEDS
+    return q.select("conv_id", "condition", n.alias("n"), "median_words", "loops", F.col("drift").alias("spanish"), "leaks", "fragments", (n < cap).alias("ended_early"))

@@ -93,6 +93,9 @@ def dispersion(members: DataFrame, vectors: DataFrame, groups: list[str], least:
     """
     rows = members.join(vectors, "id")
     size = members.groupBy(*groups).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    if least > 1:
+        members = members.join(size.select(*groups), groups, "left_semi")
+        rows = members.join(vectors, "id")
     centre = rows.groupBy(*groups, "term").agg(F.sum("w").alias("c"))
     length = centre.groupBy(*groups).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("len"))
     dots = rows.join(centre, [*groups, "term"]).groupBy("id", *groups).agg(F.sum(F.col("w") * F.col("c")).alias("dot"))
@@ -131,8 +134,9 @@ def matched_topics(by_topic: DataFrame, baseline: str = "SB") -> DataFrame:
 
 
 def anchoring(turns: DataFrame, embedder: Embedder | None = None, k: int = 5, seed: int | None = None) -> DataFrame:
-    """conv_id, turn_index, cas for turns after the first: the cosine with the true previous turn less the mean
-    cosine with previous turns of other conversations.
+    """conv_id, turn_index, cas_real_similarity, cas_wrong_similarity, cas, cas_negatives for turns after the first: the
+    cosine with the true previous turn, the mean cosine with cas_negatives previous turns of other conversations, and the
+    first less the second. A turn without a pool has no wrong similarity and no cas.
 
     The pool are the contexts of the same topic, if at least max(2, min(k, 5)) of those stand in other
     conversations and there is a topic, else all contexts; the own conversation's and empty ones are out.
@@ -168,10 +172,13 @@ def anchoring(turns: DataFrame, embedder: Embedder | None = None, k: int = 5, se
         far = rt.filter("not narrow").join(scopes["a"][1], "term").select(*key, (F.col("w") * F.col("s")).alias("p"))
         mine = rt.join(own_sum, ["conv_id", "term"]).select(*key, (-F.col("w") * F.col("s")).alias("p"))
         other = near.union(far).union(mine).groupBy(*key).agg(F.sum("p").alias("p"))
-        out = base.join(other, key, "left").withColumn("wrong", F.when(F.col("size") > 0, F.coalesce("p", F.lit(0.0)) / F.col("size")))
+        out = base.join(other, key, "left").withColumns({"wrong": F.when(F.col("size") > 0, F.coalesce("p", F.lit(0.0)) / F.col("size")), "negatives": F.col("size")})
     else:
         out = info.join(_drawn(info, c, r, k, seed), key, "left")
-    return out.join(true, key, "left").select(*key, (F.coalesce("true", F.lit(0.0)) - F.col("wrong")).alias("cas")).filter("cas is not null")
+    real = F.coalesce("true", F.lit(0.0))
+    return out.join(true, key, "left").select(
+        *key, real.alias("cas_real_similarity"), F.col("wrong").alias("cas_wrong_similarity"), (real - F.col("wrong")).alias("cas"), F.coalesce("negatives", F.lit(0)).cast("long").alias("cas_negatives")
+    )
 
 
 def _narrow(k: int) -> Column:
@@ -207,10 +214,11 @@ def _drawn(info: DataFrame, c: DataFrame, r: DataFrame, k: int, seed: int) -> Da
     context = c.select(F.col("conv_id").alias("c_conv"), F.col("turn_index").alias("c_turn"), "term", F.col("w").alias("x"))
     dots = chosen.join(r, ["conv_id", "turn_index"]).join(context, ["c_conv", "c_turn", "term"]).groupBy("conv_id", "turn_index").agg(F.sum(F.col("w") * F.col("x")).alias("p"))
     n = chosen.groupBy("conv_id", "turn_index").agg(F.count("*").alias("n"))
-    return n.join(dots, ["conv_id", "turn_index"], "left").select("conv_id", "turn_index", (F.coalesce("p", F.lit(0.0)) / F.col("n")).alias("wrong"))
+    return n.join(dots, ["conv_id", "turn_index"], "left").select("conv_id", "turn_index", (F.coalesce("p", F.lit(0.0)) / F.col("n")).alias("wrong"), F.col("n").alias("negatives"))
 
 
 def cas_by_conversation(cas: DataFrame) -> DataFrame:
+    """Means of the turns that have a value."""
     return cas.groupBy("conv_id").agg(F.avg("cas").alias("CAS"), F.count("cas").alias("cas_turns"))
 
 

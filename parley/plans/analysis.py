@@ -35,7 +35,7 @@ def tfidf(spark, sf_dir):
 
 
 def tfidf_vocabulary(spark, sf_dir):
-    return vectors.Tfidf(max_features=200).fit(_texts(spark, sf_dir)).vocabulary
+    return vectors.Tfidf().fit(_texts(spark, sf_dir)).vocabulary
 
 
 def _members(spark, sf_dir):
@@ -44,13 +44,19 @@ def _members(spark, sf_dir):
 
 
 def _ced(spark, sf_dir, groups, least=1):
+    """Conversations without a topic are in no group by topic."""
     members, v = _members(spark, sf_dir)
+    if "topic" in groups:
+        members = members.filter("trim(topic) <> ''")
     members = members.select("id", *groups)
     return vectors.with_nearest(vectors.dispersion(members, v, groups, least), vectors.nearest(members, v, groups), groups)
 
 
 def ced_by_condition(spark, sf_dir):
-    return _rounded(_ced(spark, sf_dir, ["condition"]))
+    """With what the condition stands for."""
+    ced = _rounded(_ced(spark, sf_dir, ["condition"]))
+    names = table_turns(spark, sf_dir).select("condition", labels.source_of(F.col("condition")).alias("source"), "architecture", "prompt_level").distinct()
+    return ced.join(F.broadcast(names), "condition")  # a row a condition
 
 
 def ced_by_topic(spark, sf_dir):
@@ -58,7 +64,7 @@ def ced_by_topic(spark, sf_dir):
 
 
 def ced_topic_matched(spark, sf_dir):
-    return _rounded(vectors.matched_topics(_ced(spark, sf_dir, ["topic", "condition"], least=1)))
+    return _rounded(vectors.matched_topics(_ced(spark, sf_dir, ["topic", "condition"], least=2)))
 
 
 def ced_nn(spark, sf_dir):
@@ -69,7 +75,7 @@ def ced_nn(spark, sf_dir):
 def ced_concat(spark, sf_dir):
     turns = table_turns(spark, sf_dir)
     members = turns.select(F.col("conv_id").alias("id"), "condition").distinct()
-    v = vectors.conversation_vectors(turns, mode="concat", max_chars=2000).withColumnRenamed("conv_id", "id")
+    v = vectors.conversation_vectors(turns, mode="concat").withColumnRenamed("conv_id", "id")
     return _rounded(vectors.dispersion(members, v, ["condition"]))
 
 
@@ -130,6 +136,13 @@ def mann_whitney(spark, sf_dir):
     return inference.mann_whitney(rows, "condition", "words", "SB").drop("p")
 
 
+def mann_whitney_markers(spark, sf_dir):
+    """Rates of each marker; the few-shot conditions would be circular."""
+    rows = _by_conversation(spark, sf_dir).filter("not endswith(condition, 'P2')")
+    tests = [inference.mann_whitney(rows, "condition", k, "SB").drop("p").withColumn("marker", F.lit(k)) for k in lx.MARKERS]
+    return tests[0].union(tests[1]).union(tests[2])
+
+
 def _trend(spark, sf_dir):
     rows = _by_conversation(spark, sf_dir).filter("condition <> 'SB'")
     return rows.withColumn("step", F.substring("architecture", 2, 1).cast("int") - 1)
@@ -178,6 +191,27 @@ def mixed_model(spark, sf_dir):
     return spark.createDataFrame(inference.mixed_model(rows, "words", "conv_id", ["corpus_llm", "later"]), "term string, coef double, se double, z double, p double, group_var double, residual_var double")
 
 
+_MODEL = "term string, coef double, se double, z double, p double, group_var double, residual_var double"
+
+
+def mixed_by_condition(spark, sf_dir):
+    """words ~ corpus * section + (1 | conversation), each generated condition against the human one."""
+    rows = metrics.tidy(table_turns(spark, sf_dir)).withColumn("later", (F.col("section") == "Later").cast("int"))
+    return spark.createDataFrame(inference.mixed_models(rows, "words", "conv_id", "corpus_llm", ["later"], "condition", "SB"), f"condition string, {_MODEL}")
+
+
+#: The condition that stands in for the human one.
+ALIGN_BASE = "click"
+
+
+def alignment_model(spark, sf_dir):
+    """measure ~ condition * section + (1 | conversation), each condition against the human one; unlike above the
+    condition is the reference. Conversations of conditions are apart."""
+    rows = src.alignment_sections(_alignment(spark, sf_dir)).withColumns({"later": (F.col("section") == "Later").cast("int"), "conv": F.concat_ws("/", "condition", "conv_id")})
+    found = [{"measure": dv, **r} for dv in ("cosine_semanticL", "syntax_stan", "lexical") for r in inference.mixed_models(rows, dv, "conv", "human", ["later"], "condition", ALIGN_BASE, first=1)]
+    return spark.createDataFrame(found, f"measure string, condition string, {_MODEL}")
+
+
 def vif(spark, sf_dir):
     rows = metrics.tidy(table_turns(spark, sf_dir))
     return spark.createDataFrame(inference.vif(rows, ["turn_index", "n_turns", "words"]), "term string, vif double")
@@ -190,7 +224,7 @@ def _metadata(spark, sf_dir):
     """Customers as caller metadata."""
     key = F.col("c_custkey")
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select(
-        key.cast("long").alias("conversation_no"), F.concat(F.lit(" "), F.lower("c_mktsegment"), F.lit(" topic")).alias("topic_description"), F.lit(" Discuss it. ").alias("prompt"),
+        key.cast("long").alias("conversation_no"), F.concat(F.lit(" "), F.lower("c_mktsegment"), F.lit("'s do-it-yourself topic")).alias("topic_description"), F.lit(" Discuss it. ").alias("prompt"),
         F.concat(F.lit("9"), (key % 10).cast("string"), F.lit("0315")).alias("talk_day"),
         F.when(key % 2 == 0, "FEMALE").otherwise("MALE").alias("from_caller_sex"), F.when(key % 3 == 0, " f").otherwise("m").alias("to_caller_sex"),
         F.when(key % 7 == 0, "UNK").otherwise((1930 + key % 40).cast("string")).alias("from_caller_birth_year"), (1940 + key % 30).cast("string").alias("to_caller_birth_year"),
@@ -269,13 +303,14 @@ def _vectors_sql(docs: str) -> str:
 
 _TURN_VECTORS = ", docs AS (SELECT {'c': conv_id, 't': turn_index} AS id, text FROM turns)" + _vectors_sql("docs")
 _CONV = _TURN_VECTORS + """, cs AS (SELECT id.c AS id, term, sum(w) AS w FROM vec GROUP BY ALL), cv AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM cs)
-, mem AS (SELECT DISTINCT conv_id AS id, condition, topic FROM turns)
+, mem0 AS (SELECT DISTINCT conv_id AS id, condition, topic FROM turns)
 """
 
 
 def _ced_sql(groups: str, least: int) -> str:
     on = " AND ".join(f"a.{g} = b.{g}" for g in groups.split(", "))
     return _CONV + f"""
+, mem AS (SELECT * FROM mem0 {"WHERE trim(topic) <> ''" if "topic" in groups else ""})
 , size AS (SELECT {groups}, count(*) AS n FROM mem GROUP BY ALL HAVING count(*) >= {least}), ce AS (SELECT {groups}, term, sum(w) AS c FROM mem JOIN cv USING (id) GROUP BY ALL)
 , ln AS (SELECT {groups}, sqrt(sum(c * c)) AS len FROM ce GROUP BY ALL), dt AS (SELECT id, {groups}, sum(w * c) AS dot FROM mem JOIN cv USING (id) JOIN ce USING ({groups}, term) GROUP BY ALL)
 , dist AS (SELECT id, {groups}, 1 - coalesce(dot / len, 0) AS distance FROM mem LEFT JOIN dt USING (id, {groups}) LEFT JOIN ln USING ({groups}))
@@ -291,34 +326,36 @@ _CAS = """, rows AS (SELECT conv_id, turn_index, lower(trim(topic)) AS topic, te
 """ + _vectors_sql("docs") + """
 , dots AS (SELECT r.id.c AS rc, r.id.t AS rt, c.id.c AS cc, c.id.t AS ct, sum(r.w * c.w) AS dot FROM vec r JOIN vec c ON r.term = c.term AND r.id.p = 'r' AND c.id.p = 'c' GROUP BY ALL)
 , pool AS (SELECT a.conv_id, a.turn_index, b.conv_id AS bc, b.turn_index AS bt, b.prev AS ctx, a.topic <> '' AND count(*) FILTER (b.topic = a.topic AND b.conv_id <> a.conv_id) OVER (PARTITION BY a.conv_id, a.turn_index) >= 5 AS narrow, a.topic = b.topic AS same FROM r1 a, r1 b)
-, wrong AS (SELECT conv_id, turn_index, avg(coalesce(dot, 0)) AS wrong FROM pool LEFT JOIN dots ON rc = conv_id AND rt = turn_index AND cc = bc AND ct = bt WHERE bc <> conv_id AND trim(ctx) <> '' AND (same OR NOT narrow) GROUP BY ALL)
-, cas AS (SELECT w.conv_id, w.turn_index, coalesce(d.dot, 0) - w.wrong AS cas FROM wrong w LEFT JOIN dots d ON rc = conv_id AND rt = turn_index AND cc = conv_id AND ct = turn_index)
+, wrong AS (SELECT conv_id, turn_index, avg(coalesce(dot, 0)) AS wrong, count(*) AS n FROM pool LEFT JOIN dots ON rc = conv_id AND rt = turn_index AND cc = bc AND ct = bt WHERE bc <> conv_id AND trim(ctx) <> '' AND (same OR NOT narrow) GROUP BY ALL)
+, cas AS (SELECT r1.conv_id, r1.turn_index, coalesce(d.dot, 0) AS cas_real_similarity, wrong AS cas_wrong_similarity, coalesce(d.dot, 0) - wrong AS cas, coalesce(n, 0)::BIGINT AS cas_negatives
+  FROM r1 LEFT JOIN wrong USING (conv_id, turn_index) LEFT JOIN dots d ON rc = r1.conv_id AND rt = r1.turn_index AND cc = r1.conv_id AND ct = r1.turn_index)
 """
 
 _CONVS = ", m AS (SELECT conv_id, condition, architecture, prompt_level, avg(words) AS words FROM turns GROUP BY ALL)\n"
 _MOM = _CONVS + ", s AS (SELECT condition, count(*) AS n, avg(words) AS mean, var_samp(words) AS var FROM m GROUP BY 1), b AS (SELECT n AS n0, mean AS mean0, var AS var0 FROM s WHERE condition = 'SB')\n"
 _EDU = "CASE k % 11 " + " ".join(f"WHEN {c} THEN '{t}'" for c, t in lx.EDUCATION.items()) + f" ELSE '{lx.EDUCATION['9']}' END"
-_PERSONA_SQL = f"""p AS (SELECT k AS conversation_no, (SELECT string_agg(upper(w[1]) || w[2:], ' ') FROM (SELECT unnest(string_split(lower(c_mktsegment) || ' topic', ' ')) AS w)) AS topic, 'Discuss it.' AS sb_prompt,
+_PERSONA_SQL = f"""p AS (SELECT k AS conversation_no, array_to_string(list_transform(regexp_extract_all(lower(c_mktsegment) || '''s do-it-yourself topic', '\\p{{L}}+|\\P{{L}}+'), lambda w: upper(w[1]) || lower(w[2:])), '') AS topic, 'Discuss it.' AS sb_prompt,
   CASE WHEN k % 2 = 0 THEN 'woman' ELSE 'man' END AS a_gender, CASE WHEN k % 7 = 0 THEN 40 ELSE 1990 + k % 10 - 1930 - k % 40 END::INT AS a_age, {_EDU} AS a_education,
   CASE WHEN k % 3 = 0 THEN 'woman' ELSE 'man' END AS b_gender, (1990 + k % 10 - 1940 - k % 30)::INT AS b_age, '{lx.EDUCATION['9']}' AS b_education FROM (SELECT c_custkey::BIGINT AS k, c_mktsegment FROM customer))"""
 
 SQL = {
     "tfidf": WITH + _TURN_VECTORS + "SELECT id.c AS conv_id, id.t AS turn_index, term, w FROM vec",
-    "tfidf_vocabulary": WITH + _TURN_VECTORS + "SELECT * FROM voc ORDER BY df DESC, tf DESC, term DESC LIMIT 200",
-    "ced_by_condition": WITH + _ced_sql("condition", 1) + "SELECT * FROM res",
+    "tfidf_vocabulary": WITH + _TURN_VECTORS + "SELECT * FROM voc",
+    "ced_by_condition": WITH + _ced_sql("condition", 1) + "SELECT res.*, CASE WHEN condition = 'SB' THEN 'SB' ELSE 'LLM' END AS source, split_part(condition, '-', 1) AS architecture, CASE WHEN condition = 'SB' THEN 'SB' ELSE split_part(condition, '-', 2) END AS prompt_level FROM res",
     "ced_by_topic": WITH + _ced_sql("topic, condition", 2) + "SELECT * FROM res",
-    "ced_topic_matched": WITH + _ced_sql("topic, condition", 1) + """SELECT condition, count(*)::BIGINT AS n_topics, avg("CED") AS "CED", avg(mean_nn_distance) AS mean_nn_distance FROM res WHERE lower(trim(topic)) IN (SELECT lower(trim(topic)) FROM res WHERE condition = 'SB') GROUP BY condition""",
+    "ced_topic_matched": WITH + _ced_sql("topic, condition", 2) + """SELECT condition, count(*)::BIGINT AS n_topics, avg("CED") AS "CED", avg(mean_nn_distance) AS mean_nn_distance FROM res WHERE lower(trim(topic)) IN (SELECT lower(trim(topic)) FROM res WHERE condition = 'SB') GROUP BY condition""",
     "ced_nn": WITH + _ced_sql("condition", 1) + "SELECT mem.id, mem.condition, nn_distance FROM nn JOIN mem USING (id)",
     "ced_embeddings": "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings), x AS (SELECT vec_id, label, unnest(v) AS w, generate_subscripts(v, 1) AS i FROM e), c AS (SELECT label, i, sum(w) AS c FROM x GROUP BY ALL), l AS (SELECT label, sqrt(sum(c * c)) AS len FROM c GROUP BY 1), d AS (SELECT vec_id, label, 1 - sum(w * c) / any_value(len) AS d FROM x JOIN c USING (label, i) JOIN l USING (label) GROUP BY ALL) SELECT label, count(*)::BIGINT AS n, avg(d) AS \"CED\", min(d) AS min_distance, max(d) AS max_distance FROM d GROUP BY label",
     "nn_embeddings": "SELECT a.vec_id, a.label, 1 - max(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS nn_distance FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY ALL",
-    "ced_concat": WITH + ", docs AS (SELECT conv_id AS id, left(string_agg(speaker || ': ' || text, chr(10) ORDER BY turn_index), 2000) AS text FROM turns GROUP BY 1)" + _vectors_sql("docs") + ", mem AS (SELECT DISTINCT conv_id AS id, condition FROM turns), ce AS (SELECT condition, term, sum(w) AS c FROM mem JOIN vec USING (id) GROUP BY ALL), ln AS (SELECT condition, sqrt(sum(c * c)) AS len FROM ce GROUP BY 1), dt AS (SELECT id, sum(w * c) AS dot FROM mem JOIN vec USING (id) JOIN ce USING (condition, term) GROUP BY 1), dist AS (SELECT condition, 1 - coalesce(dot / len, 0) AS d FROM mem LEFT JOIN dt USING (id) LEFT JOIN ln USING (condition)) SELECT condition, count(*)::BIGINT AS n, avg(d) AS \"CED\", min(d) AS min_distance, max(d) AS max_distance FROM dist GROUP BY condition",
-    "group_social": WITH + dialogue._TSI_SQL + _CAS + ", cc AS (SELECT conv_id, avg(cas) AS \"CAS\" FROM cas GROUP BY 1) SELECT condition, count(*)::BIGINT AS n_conversations, " + ", ".join(f'avg("{k}") AS "mean_{k}"' for k in labels.GROUPED) + " FROM tsi LEFT JOIN cc USING (conv_id) GROUP BY condition",
+    "ced_concat": WITH + ", docs AS (SELECT conv_id AS id, string_agg(speaker || ': ' || text, chr(10) ORDER BY turn_index) AS text FROM turns GROUP BY 1)" + _vectors_sql("docs") + ", mem AS (SELECT DISTINCT conv_id AS id, condition FROM turns), ce AS (SELECT condition, term, sum(w) AS c FROM mem JOIN vec USING (id) GROUP BY ALL), ln AS (SELECT condition, sqrt(sum(c * c)) AS len FROM ce GROUP BY 1), dt AS (SELECT id, sum(w * c) AS dot FROM mem JOIN vec USING (id) JOIN ce USING (condition, term) GROUP BY 1), dist AS (SELECT condition, 1 - coalesce(dot / len, 0) AS d FROM mem LEFT JOIN dt USING (id) LEFT JOIN ln USING (condition)) SELECT condition, count(*)::BIGINT AS n, avg(d) AS \"CED\", min(d) AS min_distance, max(d) AS max_distance FROM dist GROUP BY condition",
+    "group_social": WITH + dialogue._TSI_SQL + _CAS + ", cc AS (SELECT conv_id, avg(cas) AS \"CAS\" FROM cas GROUP BY 1) SELECT condition, " + dialogue.IDENTITY + ", count(*)::BIGINT AS n_conversations, " + ", ".join(f'avg("{k}") AS "mean_{k}"' for k in labels.GROUPED) + " FROM tsi LEFT JOIN cc USING (conv_id) GROUP BY condition",
     "few_shot": WITH + ", f AS (SELECT no, printf('sw_%06d', no) AS file, count(*) AS n FROM base GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY file) AS i FROM f), o AS (SELECT no FROM r WHERE i > 20 AND n >= 6 ORDER BY file LIMIT 1) SELECT string_agg(CASE speaker WHEN 'A' THEN 'ParticipantA' WHEN 'B' THEN 'ParticipantB' ELSE speaker END || ': ' || text, chr(10) ORDER BY turn_index) AS excerpt FROM base JOIN o USING (no) WHERE turn_index < 4",
     "cas_exact": WITH + _CAS + "SELECT * FROM cas",
-    "cas_conversations": WITH + _CAS + "SELECT conv_id, avg(cas) AS \"CAS\", count(*)::BIGINT AS cas_turns FROM cas GROUP BY 1",
+    "cas_conversations": WITH + _CAS + "SELECT conv_id, avg(cas) AS \"CAS\", count(cas)::BIGINT AS cas_turns FROM cas GROUP BY 1",
     "tidy_rows": WITH + "SELECT conv_id, turn_index, CASE WHEN condition = 'SB' THEN 'SB' ELSE 'LLM' END AS corpus, count(*) OVER (PARTITION BY conv_id) AS n_turns, CASE WHEN turn_index < count(*) OVER (PARTITION BY conv_id) / 2 THEN 'Earlier' ELSE 'Later' END AS section, words, " + ", ".join(f"len(regexp_extract_all(ascii, '(?i){p}'))::BIGINT AS {k}" for k, p in lx.MARKERS.items()) + " FROM turns",
     "welch": WITH + _MOM + "SELECT condition, n, n0, (mean - mean0) / sqrt(var / n + var0 / n0) AS t, (var / n + var0 / n0) ** 2 / ((var / n) ** 2 / (n - 1) + (var0 / n0) ** 2 / (n0 - 1)) AS df, (mean - mean0) / sqrt(((n - 1) * var + (n0 - 1) * var0) / (n + n0 - 2)) AS d FROM s, b WHERE condition <> 'SB' AND n > 1 AND n0 > 1",
     "mann_whitney": WITH + _CONVS + "SELECT a.condition, count(DISTINCT a.conv_id)::BIGINT AS n, count(DISTINCT b.conv_id)::BIGINT AS n0, sum(CASE WHEN a.words > b.words THEN 1.0::DOUBLE WHEN a.words = b.words THEN 0.5::DOUBLE ELSE 0 END) AS \"U\" FROM m a, m b WHERE a.condition NOT LIKE '%P2' AND a.condition <> 'SB' AND b.condition = 'SB' GROUP BY 1",
+    "mann_whitney_markers": WITH + ", m0 AS (SELECT conv_id, condition, sum(words) AS w, " + ", ".join(f"sum(len(regexp_extract_all(ascii, '(?i){p}'))) AS {k}" for k, p in lx.MARKERS.items()) + " FROM turns GROUP BY ALL), m AS (" + " UNION ALL ".join(f"SELECT conv_id, condition, '{k}' AS marker, 100.0::DOUBLE * {k} / greatest(w, 1) AS v FROM m0" for k in lx.MARKERS) + ") SELECT a.condition, count(DISTINCT a.conv_id)::BIGINT AS n, count(DISTINCT b.conv_id)::BIGINT AS n0, sum(CASE WHEN a.v > b.v THEN 1.0::DOUBLE WHEN a.v = b.v THEN 0.5::DOUBLE ELSE 0 END) AS \"U\", marker FROM m a JOIN m b USING (marker) WHERE a.condition NOT LIKE '%P2' AND a.condition <> 'SB' AND b.condition = 'SB' GROUP BY 1, marker",
     "spearman_trend": WITH + _CONVS + ", r AS (SELECT prompt_level, rank() OVER (PARTITION BY prompt_level ORDER BY architecture) + (count(*) OVER (PARTITION BY prompt_level, architecture) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY prompt_level ORDER BY words) + (count(*) OVER (PARTITION BY prompt_level, words) - 1) / 2.0::DOUBLE AS ry FROM m WHERE condition <> 'SB') SELECT prompt_level, count(*)::BIGINT AS n, corr(rx, ry) AS rho FROM r GROUP BY 1",
     "kruskal": WITH + _CONVS + ", r AS (SELECT *, count(*) OVER (PARTITION BY prompt_level, words) AS t, rank() OVER (PARTITION BY prompt_level ORDER BY words) + (count(*) OVER (PARTITION BY prompt_level, words) - 1) / 2.0::DOUBLE AS k FROM m WHERE condition <> 'SB'), g AS (SELECT prompt_level, architecture, count(*) AS n, sum(k) AS r, sum(t * t - 1) AS ties FROM r GROUP BY ALL), s AS (SELECT prompt_level, sum(n) AS n, sum(r * r / n) AS q, sum(ties) AS ties, count(*) AS groups FROM g GROUP BY 1) SELECT prompt_level, (12.0::DOUBLE / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (n::DOUBLE ** 3 - n)) AS \"H\", groups FROM s WHERE groups > 1",
     "gradient": WITH + _CONVS + ", c AS (SELECT condition, prompt_level, avg(words) AS w FROM m GROUP BY ALL), d AS (SELECT prompt_level, condition, abs(w - (SELECT w FROM c WHERE condition = 'SB')) AS distance FROM c WHERE condition <> 'SB') SELECT *, first_value(condition) OVER (PARTITION BY prompt_level ORDER BY distance, condition) AS closest FROM d",
@@ -338,7 +375,7 @@ SQL = {
 for _name, _columns in {
     "ced_by_condition": '"CED", min_distance, max_distance, mean_nn_distance, min_nn_distance', "ced_by_topic": '"CED", min_distance, max_distance, mean_nn_distance, min_nn_distance',
     "ced_concat": '"CED", min_distance, max_distance', "group_social": ", ".join(f'"mean_{k}"' for k in labels.GROUPED), "ols_markers": '"F", coef, t',
-    "ced_topic_matched": '"CED", mean_nn_distance', "ced_nn": "nn_distance", "ced_embeddings": '"CED", min_distance, max_distance', "nn_embeddings": "nn_distance", "cas_exact": "cas", "cas_conversations": '"CAS"',
+    "ced_topic_matched": '"CED", mean_nn_distance', "ced_nn": "nn_distance", "ced_embeddings": '"CED", min_distance, max_distance', "nn_embeddings": "nn_distance", "cas_exact": "cas_real_similarity, cas_wrong_similarity, cas", "cas_conversations": '"CAS"',
 }.items():
     _list = ", ".join(f"round({c}, {DIGITS}) + 0.0::DOUBLE AS {c}" for c in _columns.split(", "))
     SQL[_name] = f"SELECT * REPLACE ({_list}) FROM ({SQL[_name]})"
@@ -346,7 +383,7 @@ for _name, _columns in {
 QUERIES = {
     f.__name__: f
     for f in (
-        tfidf, tfidf_vocabulary, ced_by_condition, ced_by_topic, ced_topic_matched, ced_nn, ced_concat, group_social, ced_embeddings, nn_embeddings, cas_exact, cas_sampled, cas_conversations, pca, tidy_rows, welch, mann_whitney,
-        spearman_trend, kruskal, gradient, ols_omnibus, ols_markers, few_shot, p_values, mixed_model, vif, personas, prompts, targets_todo, tsv_rows, human_turn_files, align_conv, align_sections, stream_roles,
+        tfidf, tfidf_vocabulary, ced_by_condition, ced_by_topic, ced_topic_matched, ced_nn, ced_concat, group_social, ced_embeddings, nn_embeddings, cas_exact, cas_sampled, cas_conversations, pca, tidy_rows, welch, mann_whitney, mann_whitney_markers,
+        spearman_trend, kruskal, gradient, ols_omnibus, ols_markers, few_shot, p_values, mixed_model, mixed_by_condition, alignment_model, vif, personas, prompts, targets_todo, tsv_rows, human_turn_files, align_conv, align_sections, stream_roles,
     )
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from parley.functions import lexicon as lx
 from parley.functions import text as tx
@@ -26,7 +27,7 @@ def _metric(*columns):
 
 
 def condition_summary(spark, sf_dir):
-    return metrics.condition_summary(metrics.conversation_metrics(table_turns(spark, sf_dir)), ("mean_words", "n_turns", "short_share", "backchannel_ratio"))
+    return metrics.condition_summary(metrics.conversation_metrics(table_turns(spark, sf_dir)))
 
 
 def condition_table(spark, sf_dir):
@@ -84,12 +85,15 @@ def drift_lines(spark, sf_dir):
 
 
 def ab_compare(spark, sf_dir):
-    """New: the conversations; old: those with even numbers, their texts reversed in case, under the older lexicons."""
+    """New: the conversations; old: the same before their last turn was said, so that the shortest have no body."""
     turns = table_turns(spark, sf_dir)
-    old = turns.filter(F.element_at(F.split("conv_id", "/"), -1).cast("long") % 2 == 0)
-    return quality.compared(
-        quality.conversation_quality(turns), quality.conversation_quality(old, spanish=lx.DRIFT_WORDS_TEST, leak=lx.LEAK_TEST, foreign_script=False)
-    )
+    last = F.max("turn_index").over(Window.partitionBy("conv_id"))
+    old = turns.withColumn("last", last).filter("turn_index < last").drop("last")
+    return quality.compared(turns, old, spanish=lx.DRIFT_WORDS_TEST, leak=lx.LEAK_TEST, foreign_script=False)
+
+
+def final_check(spark, sf_dir):
+    return quality.final_check(table_turns(spark, sf_dir))
 
 
 def termination(spark, sf_dir):
@@ -98,7 +102,7 @@ def termination(spark, sf_dir):
 
 
 def transcripts(spark, sf_dir):
-    return tn.joined_text(table_turns(spark, sf_dir), "transcript", "\n", labels=True, max_chars=4000)
+    return tn.joined_text(table_turns(spark, sf_dir), "transcript", "\n", labels=True)
 
 
 #: Raw dialogues with malformed lines, and single turns with labels and residue.
@@ -153,6 +157,7 @@ def _has(text: str, pattern: str) -> str:
 
 
 WITH = "WITH " + TURNS_SQL
+IDENTITY = "any_value(CASE WHEN condition = 'SB' THEN 'SB' ELSE 'LLM' END) AS source, any_value(split_part(condition, '-', 1)) AS architecture, any_value(CASE WHEN condition = 'SB' THEN 'SB' ELSE split_part(condition, '-', 2) END) AS prompt_level"
 _JOINED = ", joined AS (SELECT conv_id, string_agg(ascii, ' ' ORDER BY turn_index) AS ascii, string_agg(text, ' ' ORDER BY turn_index) AS raw, sum(words) AS words, count(*) AS n FROM turns GROUP BY conv_id)\n"
 _PHRASES = " + ".join(f"(length({{t}}) - length(replace({{t}}, '{_q(p)}', ''))) // {len(p)}" for p in lx.SYCOPHANCY_PHRASES)
 _LABEL_SQL = f"""
@@ -179,19 +184,21 @@ _SPAN = "len(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{M}\\p{N}_]
 _SPAN_TEST = _SPAN.split(" IN (")[0] + " IN (" + ", ".join(f"'{w}'" for w in lx.DRIFT_WORDS_TEST) + ")))"
 
 
-def _quality_sql(name: str, drift: str, leak: str, where: str = "") -> str:
+def _quality_sql(name: str, drift: str, leak: str, source: str = "turns", n: str = "count(*)::BIGINT") -> str:
     return f"""
-, {name}_b AS (SELECT *, turn_index >= CASE WHEN condition LIKE 'C1%' THEN 0 ELSE 2 END AS body, trim(regexp_replace(lower(text), '[^a-z0-9 ]', '', 'g')) AS norm FROM turns {where})
+, {name}_b AS (SELECT *, turn_index >= CASE WHEN condition LIKE 'C1%' THEN 0 ELSE 2 END AS body, trim(regexp_replace(lower(text), '[^a-z0-9 ]', '', 'g')) AS norm FROM {source})
 , {name}_f AS (SELECT *, words BETWEEN 1 AND 3 AND NOT regexp_matches(text, '[.?!]\\s*$') AS fragment,
   row_number() OVER (PARTITION BY conv_id, body, norm ORDER BY turn_index) > 1 AND length(norm) > 12 AS loop,
   {drift} AS drift, {_has('ascii', leak)} AS leak, {_has('ascii', lx.TELLS)} AS tell, {_has('ascii', lx.CLOSING)} AS closing FROM {name}_b)
-, {name} AS (SELECT conv_id, condition, count(*)::BIGINT AS n_turns, median(words) FILTER (body) AS median_words, count(*) FILTER (body AND fragment)::BIGINT AS fragments, count(*) FILTER (body AND loop)::BIGINT AS loops,
+, {name} AS (SELECT conv_id, condition, {n} AS n_turns, median(words) FILTER (body) AS median_words, count(*) FILTER (body AND fragment)::BIGINT AS fragments, count(*) FILTER (body AND loop)::BIGINT AS loops,
   count(*) FILTER (body AND drift)::BIGINT AS drift, count(*) FILTER (body AND leak)::BIGINT AS leaks, count(*) FILTER (body AND tell)::BIGINT AS tells,
   arg_max(closing, turn_index) FILTER (body) AS closed_naturally FROM {name}_f GROUP BY ALL HAVING count(*) FILTER (body) > 0)
 """
 
 
-_FOREIGN = "regexp_matches(text, '[^\\P{L}\\p{Latin}]')"
+_FOREIGN = f"regexp_matches(regexp_replace(text, '[{tx.latin_class()}]', '', 'g'), '\\p{{L}}')"
+_BODY_N = "count(*) FILTER (body)::BIGINT"
+_SPAN_FINAL = _SPAN.split(" IN (")[0] + " IN (" + ", ".join(f"'{w}'" for w in lx.DRIFT_WORDS_FINAL) + ")))"
 _QUALITY = _quality_sql("q", f"({_SPAN} >= 4 OR {_FOREIGN})", lx.LEAK)
 _VERDICT = """, v AS (SELECT condition, count(*)::BIGINT AS n, avg(n_turns) AS mean_turns, avg(median_words) AS mean_median_words, sum(fragments)::BIGINT AS fragments, sum(loops)::BIGINT AS loops, sum(drift)::BIGINT AS drift,
   sum(leaks)::BIGINT AS leaks, sum(tells)::BIGINT AS tells, count(*) FILTER (NOT closed_naturally AND condition NOT LIKE 'C1%')::BIGINT AS no_end FROM q GROUP BY condition)
@@ -210,23 +217,22 @@ SQL = {
     "closing_order": WITH + ", t AS (SELECT conv_id, lower(string_agg(ascii, ' ' ORDER BY turn_index) FILTER (back <= 6)) AS tail, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn_index DESC) AS back FROM turns) GROUP BY 1), p AS (SELECT conv_id, n, list_filter(["
     + ", ".join(f"CASE WHEN regexp_matches(tail, '{_q(p)}') THEN length(regexp_replace(tail, '(?s)(?:{_q(p)}).*', '')) END" for p in lx.CLOSING_STAGES)
     + "], lambda x: x IS NOT NULL) AS pl FROM t) SELECT conv_id, CASE WHEN n >= 4 AND len(pl) >= 2 THEN (pl = list_sort(pl))::INT::DOUBLE END AS closing_order FROM p",
-    "condition_summary": WITH + ", m AS (SELECT conv_id, condition, avg(words) AS mean_words, count(*) AS n_turns, avg((words < 5)::INT) AS short_share, count(*) FILTER (" + _has("ascii", lx.BACKCHANNEL_PRESENCE) + " AND " + _has("ascii", lx.BACKCHANNEL_FULL) + ")::DOUBLE / nullif(count(*) FILTER (" + _has("ascii", lx.BACKCHANNEL_PRESENCE) + "), 0) AS backchannel_ratio FROM turns GROUP BY ALL) SELECT condition, count(*)::BIGINT AS n, "
-    + ", ".join(f"avg({k}) AS {k}_mean, CASE WHEN count({k}) > 0 THEN coalesce(stddev_samp({k}), 0) END AS {k}_sd" for k in ("mean_words", "n_turns", "short_share", "backchannel_ratio")) + " FROM m GROUP BY condition",
     "condition_table": WITH + _JOINED + ", p AS (SELECT condition, avg(words) AS words_per_turn, count(*)::BIGINT AS turns, count(DISTINCT conv_id)::BIGINT AS conversations FROM turns GROUP BY 1), c AS (SELECT DISTINCT conv_id, condition FROM turns), r AS (SELECT condition, " + ", ".join(f"avg(100.0::DOUBLE * {_count('ascii', p)} / greatest(words, 1)) AS {k}_per_100" for k, p in lx.MARKERS.items()) + " FROM joined JOIN c USING (conv_id) GROUP BY 1) SELECT * FROM p JOIN r USING (condition)",
     "corpus_checks": WITH + "SELECT count(DISTINCT conv_id)::BIGINT AS conversations, count(*)::DOUBLE / count(DISTINCT conv_id) AS mean_turns, avg(words) AS mean_words, median(words) AS median_words FROM turns",
     "turn_labels": WITH + _LABEL_SQL + "SELECT conv_id, turn_index, " + ", ".join(f'{k.lower()} AS "{v}"' for k, v in labels.LABELS.items()) + ", assistant_like, social_like FROM lx",
     "topic_codes": WITH + _LABEL_SQL + "SELECT conv_id, turn_index, topic_code FROM lx",
     "conversation_tsi": WITH + _TSI_SQL + "SELECT * FROM tsi",
     "reciprocity": WITH + _TSI_SQL + "SELECT conv_id, reciprocity FROM tsi",
-    "group_tsi": WITH + _TSI_SQL + "SELECT condition, count(*)::BIGINT AS n_conversations, " + ", ".join(f'avg("{k}") AS "mean_{k}"' for k in labels.GROUPED if k != "CAS") + " FROM tsi GROUP BY condition",
+    "group_tsi": WITH + _TSI_SQL + "SELECT condition, " + IDENTITY + ", count(*)::BIGINT AS n_conversations, " + ", ".join(f'avg("{k}") AS "mean_{k}"' for k in labels.GROUPED if k != "CAS") + " FROM tsi GROUP BY condition",
     "quality_conv": WITH + _QUALITY + "SELECT * FROM q",
     "quality_verdict": WITH + _QUALITY + _VERDICT + "SELECT *, fragments + loops + drift + leaks + no_end AS bad, CASE WHEN fragments + loops + drift + leaks + no_end = 0 THEN 'PASS' WHEN fragments + loops + drift + leaks + no_end <= n THEN 'FLAG' ELSE 'BAD' END AS verdict FROM v",
     "quality_worst": WITH + _QUALITY + ", w AS (SELECT condition, conv_id, fragments + loops + drift + leaks AS score FROM q WHERE fragments + loops + drift + leaks > 0), k AS (SELECT *, row_number() OVER (PARTITION BY condition ORDER BY score DESC, conv_id)::INT AS rank FROM w) SELECT condition, rank, conv_id, score FROM k WHERE rank <= 3",
-    "ab_compare": WITH + _QUALITY + _quality_sql("o", f"{_SPAN_TEST} >= 4", lx.LEAK_TEST, "WHERE split_part(conv_id, '/', 2)::BIGINT % 2 = 0") + "SELECT q.conv_id, " + ", ".join(f"{x}.{c}::DOUBLE AS {c}_{tag}" for x, tag in (("q", "new"), ("o", "old")) for c in ("n_turns", "median_words", "leaks", "drift", "loops")) + " FROM q LEFT JOIN o ON q.conv_id = o.conv_id",
+    "ab_compare": WITH + ", before AS (SELECT * EXCLUDE back FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn_index DESC) AS back FROM turns) WHERE back > 1)" + _quality_sql("q", f"{_SPAN_TEST} >= 4", lx.LEAK_TEST, n=_BODY_N) + _quality_sql("o", f"{_SPAN_TEST} >= 4", lx.LEAK_TEST, "before", _BODY_N) + "SELECT q.conv_id, " + ", ".join(f"{x}.{c}::DOUBLE AS {c}_{tag}" for x, tag in (("q", "new"), ("o", "old")) for c in ("n_turns", "median_words", "leaks", "drift", "loops")) + " FROM q LEFT JOIN o ON q.conv_id = o.conv_id",
+    "final_check": WITH + _quality_sql("q", f"{_SPAN_FINAL} >= 4", lx.LEAK, n=_BODY_N) + "SELECT conv_id, condition, n_turns + 2 AS n, median_words, loops, drift AS spanish, leaks, fragments, n_turns + 2 < 32 AS ended_early FROM q",
     "loops": "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents), n AS (SELECT *, trim(regexp_replace(lower(t), '[^a-z0-9 ]', '', 'g')) AS k FROM l), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY i) AS m FROM n) SELECT doc_id AS conv_id, i::INT AS turn_index FROM r WHERE m > 1 AND length(k) > 12",
     "drift_lines": f"WITH h AS (SELECT source, {_SPAN} AS hits FROM documents) SELECT source, sum(hits)::BIGINT AS hits, count(*) FILTER (hits >= 4)::BIGINT AS documents FROM h GROUP BY source",
     "termination": WITH + f", b AS (SELECT conv_id, turn_index - 2 AS i, {_has('ascii', lx.CLOSING)} AS c, trim(text) = '' AS e FROM turns WHERE turn_index >= 2) SELECT conv_id, (2 + least(count(*), coalesce(min(i) FILTER (e), count(*)), coalesce(min(i) FILTER (c) + 2, count(*)), 30))::BIGINT AS n_kept FROM b GROUP BY 1",
-    "transcripts": WITH + "SELECT conv_id, left(string_agg(speaker || ': ' || text, chr(10) ORDER BY turn_index), 4000) AS transcript FROM turns GROUP BY 1",
+    "transcripts": WITH + "SELECT conv_id, string_agg(speaker || ': ' || text, chr(10) ORDER BY turn_index) AS transcript FROM turns GROUP BY 1",
     "clean_markup": "SELECT * FROM (VALUES (1::BIGINT, 'Uh, I think I, I know,'), (2, '.'), (3, ''), (4, 'Well, okay'), (5, 'Right.')) t(id, text)",
     "parse_raw": "SELECT id::BIGINT AS id, mode, i::INT AS turn_index, speaker, text FROM (VALUES (1,'lenient',0,'ParticipantA','Hi'),(1,'lenient',1,'participantb','Low'),(1,'lenient',2,'ParticipantsA','Stray'),(1,'lenient',3,'Note','aside'),(1,'lenient',4,'ParticipantA','Next'),"
     "(1,'tolerant',0,'ParticipantA','Hi'),(1,'tolerant',1,'participantb','Low'),(1,'tolerant',2,'ParticipantsA','Stray'),(1,'tolerant',3,'ParticipantB',''),(1,'tolerant',4,'ParticipantA','Next'),(1,'strict',0,'ParticipantA','Hi'),(1,'strict',1,'ParticipantB','ParticipantA: Next'),"
@@ -246,11 +252,18 @@ _REP = r"""
 #: A run of k + 1 equal words holds (k + 1) // 2 non-overlapping pairs.
 SQL["self_repair"] = WITH + _JOINED + _REP + f"SELECT conv_id, 100.0::DOUBLE * (coalesce(reps.n, 0) + {_count('ascii', lx.REPAIR_MARKER)}) / greatest(words, 1) AS self_repair FROM joined LEFT JOIN reps USING (conv_id)"
 
+_PARTS = ("turn_lengths", "marker_rates", "sycophancy_openers", "short_turns", "backchannels", "contingent_predecessor", "self_repair", "closing_order", "sycophancy_phrases", "info_density")
+_COUNTS = WITH + f"SELECT conv_id, count(*) FILTER ({_has('ascii', lx.BACKCHANNEL_PRESENCE)})::BIGINT AS n_backchannel_turns, count(*) FILTER ({_has('ascii', lx.MARKERS['oh'])})::BIGINT AS n_oh FROM turns GROUP BY 1"
+SQL["condition_summary"] = (
+    "SELECT condition, count(*)::BIGINT AS n, " + ", ".join(f"avg({k}) AS {k}_mean, CASE WHEN count({k}) > 0 THEN coalesce(stddev_samp({k}), 0) END AS {k}_sd" for k in metrics.SUMMARISED)
+    + f" FROM ({SQL[_PARTS[0]]}) " + " ".join(f"JOIN ({sql}) USING (conv_id)" for sql in (*(SQL[p] for p in _PARTS[1:]), _COUNTS)) + " GROUP BY condition"
+)
+
 QUERIES = {
     f.__name__: f
     for f in (
         turn_lengths, marker_rates, condition_summary, condition_table, corpus_checks, turn_labels, topic_codes, conversation_tsi, group_tsi, reciprocity,
-        quality_conv, quality_verdict, quality_worst, loops, drift_lines, ab_compare, termination, transcripts, parse_raw, clean_markup, clean_turn, merge_turns,
+        quality_conv, quality_verdict, quality_worst, loops, drift_lines, ab_compare, final_check, termination, transcripts, parse_raw, clean_markup, clean_turn, merge_turns,
     )
 } | {
     "sycophancy_openers": _metric("opener_share"), "short_turns": _metric("short_share"), "backchannels": _metric("backchannel_ratio"), "contingent_predecessor": _metric("oh_contingency"),

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from parley.operators import turns as tn
 
@@ -101,7 +100,7 @@ def read_alignment(spark: SparkSession, path: str) -> DataFrame:
     """The alignment table with numbers where they parse; empty and NaN become null."""
     rows = spark.read.option("header", True).csv(path)
     texts = {"condition", "conv_id"}
-    return rows.select(*[F.col(c) if c in texts else F.nanvl(F.col(c).try_cast("double"), F.lit(None)).alias(c) for c in rows.columns])
+    return rows.select(*[F.col(c) if c in texts else tn.tx.to_float(F.col(c)).alias(c) for c in rows.columns])
 
 
 def alignment_by_conversation(rows: DataFrame) -> DataFrame:
@@ -125,6 +124,10 @@ SAMPLES = [
     ("C4-P2", 9003, "topic2", ["AHello!", "BHello!", "AHow can I help you today, sir?", "BI like going to the lake.", "Agood old car", "BI like going to the LAKE!!", "AEl perro de la casa es muy bonito.", "BПривет my friend.", "APartB said hello.", "BYes"]),
     ("C1-P0", 9004, "topic2", ["AI like my dog", "Bmy dog is nice", "AHello  there", "Bhello there", "A...", "Bone two three four five six seven eight nine there", "Axyz uvw rst"]),
     ("SB", 9005, "topic1", ["AUh-huh. okay", "Buh huh, oh I know. What about you?", "AOkay.", "Boh wow, haha, that's funny", "ABye, see you soon!"]),
+    ("SB", 9007, "topic1", ["AHi there", "BHi, do you like fishing?", "AI like the lake. My dog likes it too.", "BOh my dog hates the 2 boats."]),
+    ("C2-P1", 9008, "topic1", ["AHello!", "BHello!", "AWhich car do you drive?", "BPartner, I drive a truck.", "AA truck? Great question.", "BLa 1ª vez was fun.", "ABye!"]),
+    ("C3-P1", 9009, "", ["AHello!", "BHello!", "ANo topic was set for us.", "BSo let us talk about the dog."]),
+    ("C3-P1", 9010, "", ["AHello!", "BHello!", "ANo topic again, it seems.", "BThe dog is fine."]),
     ("C2-P1", 9006, "topic2", ["ASo Maria bought 3 cars", "BOh definitely, exactly right", "Aall right then", "BI have to go. Good luck, goodbye"]),
 ]
 
@@ -161,9 +164,3 @@ turns AS (SELECT condition || '/' || no AS conv_id, condition, CASE WHEN conditi
   regexp_replace(text, '[^\\x00-\\x7F]', 'z', 'g') AS ascii,
   len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))::BIGINT AS words FROM base)
 """
-
-
-def first_by(df: DataFrame, order: list[Column], n: int) -> DataFrame:
-    """The first n rows of an order, numbered from 1 in column row."""
-    top = df.orderBy(*order).limit(n)
-    return top.withColumn("row", F.row_number().over(Window.orderBy(*order)))  # of n rows
