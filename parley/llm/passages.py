@@ -5,14 +5,18 @@ set into the middle of a line, every text is further cut at content-defined plac
 shingle of each REACH consecutive ones opens a paragraph of WORDS words. Any passage of REACH + WORDS - 1
 = 50 words holds a whole one, at the same words in each copy, wherever the copies stand.
 
-Equal paragraphs form a class by their content hash. A paragraph of WORDS words (22 shingles) with one word
-changed inside is below 0.8, so the second kind has one band, the content itself. Lines are banded:
-BANDS x ROWS makes a pair of Jaccard 0.8 meet in a band with probability 0.997. A class is verified against
-the first class of each of its bands by exact Jaccard on shingle sets, which is linear in the classes. What a
-first class didn't take in is compared in blocks: the classes of all its bands that still hold several
-components are dealt into chunks of bounded size, and each pair of chunks is one task, as in op3. So each
-pair that meets in a band is either verified or in one component already. Components of verified pairs are
-clusters.
+Lines are banded: BANDS x ROWS makes a pair of Jaccard 0.8 meet in a band with probability 0.997. Equal
+lines are one class. A class is verified against the first class of each of its bands by exact Jaccard on
+shingle sets, which is linear in the classes. What a first class didn't take in is compared in blocks: the
+classes of all its bands that still hold several components are dealt into chunks of bounded size, and
+each pair of chunks is one task, as in op3. So each pair that meets in a band is either verified or in one
+component already. Components of verified pairs are clusters.
+
+Paragraphs of the second kind have one band, which all their near pairs share. They open with the same
+shingle, so they are aligned; of their 22 shingles a word changed within takes 3 to 5, which is 19 of 25 at
+best and below 0.8, a change of the last two words 2 at most, which is 20 of 24 at worst. Thus two of them
+have a Jaccard of 0.8 or more if and only if their first SURE = 24 words are equal: that is the band, and
+who shares it needs no further proof.
 """
 
 from __future__ import annotations
@@ -28,8 +32,10 @@ from parley.llm import textbuf as tb
 from parley.llm.components import components
 from parley.llm.lineage import cut, release, small_batches
 from parley.llm.minhash import TILE, dealt
+from parley.llm.spread import dealt_join
 
 SHINGLE, WORDS, REACH = 5, 26, 25
+SURE = 24
 BANDS, ROWS = 8, 3
 PERCENT = 80
 BROADCAST_ROWS = 1_000_000
@@ -75,7 +81,7 @@ def _paragraphs(texts: pa.Array) -> Iterator[tuple]:
             at = np.unique(view[inside].argmin(1) + start[inside]) if inside.any() else at
             at = at[at + WORDS <= rows[np.searchsorted(rows, at, "right")]]
         key = np.full(len(at), 77, tb.U)
-        for j in (0, 5, 10, 15, 20, WORDS - SHINGLE):
+        for j in (0, 5, 10, 15, SURE - SHINGLE):
             key = tb.mix(key * tb.U(3) + g[at + j]) if len(at) else key
         place = np.concatenate([first, at]).astype(int)
         row = np.searchsorted(rows, place, "right") - 1
@@ -91,9 +97,9 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lines: key, shingles, bands."""
+    """The lines: id, at, key, shingles, bands."""
     for batch in batches:
-        for _, _, _, _, _, key, a, b, g in _paragraphs(batch.column(1)):
+        for lo, _, line, at, _, key, a, b, g in _paragraphs(batch.column(1)):
             bands = np.empty((len(a), BANDS), tb.U)
             ends = np.stack([a, b], 1).ravel()
             padded = np.append(g, tb.U(0))
@@ -104,7 +110,10 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     band = tb.mix(band * tb.U(5) + least)
                 bands[:, i] = band
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(key[: len(a)].view(np.int64)), pa.array((b - a).astype(np.int32)), lists], names=["key", "n", "bands"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(line[: len(a)] + lo)), pa.array(at[: len(a)].astype(np.int32)), pa.array(key[: len(a)].view(np.int64)), pa.array((b - a).astype(np.int32)), lists],
+                names=["id", "at", "key", "n", "bands"],
+            )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,26 +172,30 @@ def _merged(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<start:int,end:int>>"), step)
 
 
-def repeated(docs: DataFrame, text: str = "text", id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
+def repeated(docs: DataFrame, text: str = "text", id: str = "doc_id", percent: int = PERCENT, across: bool = False) -> DataFrame:
     """doc_id, n_repeated, n_removed, repeated, removed, clusters for every document that repeats a passage.
 
     repeated: disjoint spans (start, end: words from 0, ends exclusive) that stand elsewhere too; removed:
     those of them that aren't the first of their cluster, by id, then place. n_*: words in them. clusters:
-    the clusters' numbers, equal in all documents that share one. Passages of 50 words or more are found, and
-    lines of WORDS words or more; shorter repeats are left alone. Null and short texts have none. Repeated
-    rows are copies of each other; a null id is no document and left out. Empty tables give an empty table.
+    the clusters' numbers, equal in all documents that share one. A passage
+    that one document repeats within itself counts too, unless across is True. Passages of 50
+    words or more are found, and lines of WORDS words or more; shorter repeats are left alone. Null and
+    short texts have none. Rows with one id count as one document; a null id is no document and left out.
+    Empty tables give an empty table.
     """
     small_batches(docs.sparkSession)
     source = docs.filter(F.col(id).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text"))
-    units = source.mapInArrow(_units, f"id {docs.schema[id].dataType.simpleString()}, at int, n int, key long")
+    kind = docs.schema[id].dataType.simpleString()
+    units = source.mapInArrow(_units, f"id {kind}, at int, n int, key long")
     # Classes with several members. Members are counted before the shuffle, so a hot passage is a row a task.
-    held = units.groupBy("key").agg(F.count("*").alias("copies"), F.min(F.struct("id", "at")).alias("first")).filter("copies > 1")
-    exact = cut(held.select("key", "first"))
+    own = (F.count("*").alias("copies"), F.min(F.struct("id", "at")).alias("first"), F.max("id").alias("last"))
+    exact = cut(units.groupBy("key").agg(*own).filter("copies > 1"))
 
-    banded = cut(source.mapInArrow(_banded, "key long, n int, bands array<long>").dropDuplicates(["key"]).select("key", "n", F.posexplode("bands").alias("band", "value")))
+    lines = source.mapInArrow(_banded, f"id {kind}, at int, key long, n int, bands array<long>")
+    lines = cut(lines.groupBy("key").agg(*own, F.first("n").alias("n"), F.first("bands").alias("bands")))
+    banded = lines.select("key", "n", F.posexplode("bands").alias("band", "value"))
     lead = banded.groupBy("band", "value").agg(F.min("key").alias("a"), F.count("*").alias("members")).filter("members > 1")
-    posted = cut(banded.join(lead, ["band", "value"]).filter("key <> a").select("value", "a", F.col("key").alias("b"), "n"))
-    del banded, lead
+    posted = cut(dealt_join(banded.withColumn("at", F.struct("band", "value")), lead.select(F.struct("band", "value").alias("at"), "a", "members"), "at", "members", F.col("key")).filter("key <> a").select("value", "a", F.col("key").alias("b"), "n"))
     pairs = cut(posted.select("a", "b").distinct())
     release(docs.sparkSession)
 
@@ -214,13 +227,17 @@ def repeated(docs: DataFrame, text: str = "text", id: str = "doc_id", percent: i
         root = components(links.union(more))
     release(docs.sparkSession)
 
-    classes = cut(exact.select("key").union(root.select(F.col("node").alias("key"))).distinct().join(root.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("cluster")))
-    found = classes.join(units, "key")
-    found = cut(found.select("id", "at", "n", "cluster"))
-    first = found.groupBy("cluster").agg(F.min(F.struct("id", "at")).alias("first"))
-    marked = found.join(first, "cluster").select(
+    # All classes, each with its cluster's first place; then the rows of a class need nothing but their class.
+    root = root.withColumnsRenamed({"node": "key", "root": "cluster"})
+    class_of = ("key", "copies", "first", "last")
+    classes = cut(lines.select(*class_of).join(root, "key").union(exact.select(*class_of).join(root, "key", "left_anti").withColumn("cluster", F.col("key"))))
+    stats = classes.groupBy("cluster").agg(F.min("key").alias("number"), F.min("first").alias("opening"), F.max("last").alias("last"), F.count("*").alias("held"))
+    if across:
+        stats = stats.filter(F.col("opening.id") != F.col("last"))
+    named = cut(dealt_join(classes.drop("last"), stats.drop("last"), "cluster", "held", F.col("key")).select("key", "copies", "opening", F.col("number").alias("cluster")))
+    marked = dealt_join(units, named, "key", "copies", F.struct("id", "at")).select(
         "id", "cluster", F.struct(F.col("at").alias("start"), (F.col("at") + F.col("n")).alias("end")).alias("span"),
-        (F.struct("id", "at") != F.col("first")).alias("again"),
+        (F.struct("id", "at") != F.col("opening")).alias("again"),
     )
     by_doc = marked.groupBy("id").agg(
         _merged(F.collect_list("span")).alias("repeated"),

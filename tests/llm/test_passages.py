@@ -3,7 +3,10 @@
 import random
 from collections import Counter
 
-from parley.llm import passages
+import numpy as np
+
+from parley.llm import passages, spread
+from parley.llm import textbuf as tb
 from parley.llm.registry import queries
 
 
@@ -51,6 +54,109 @@ def test_family(spark):
     assert max(Counter(c for r in got.values() for c in r.clusters).values()) == 1001
 
 
+def plainly(texts, across=False):
+    """By document the covered words, those of them to remove, and the clusters as sets of places: all pairs compared."""
+    lines, windows = {}, {}
+    for i, text in texts.items():
+        place = 0
+        for line in (text or "").split("\n"):
+            w = [x for x in "".join(c.lower() if "A" <= c <= "Z" else c for c in line).replace("\t", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ") if x]
+            if len(w) >= 26:
+                lines[i, place, len(w)] = frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4))
+            place += len(w)
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        h = tb.words(data, np.array([0, len(data)]))[0]
+        g = passages._shingles(h).tolist()
+        opens = {min(range(j, j + 25), key=lambda p: (g[p], p)) for j in range(len(g) - 24)}
+        for at in opens:
+            if at + 26 <= len(h):
+                windows.setdefault(tuple(h[at : at + 24].tolist()), []).append((i, at, 26))
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for members in windows.values():
+        for m in members:
+            parent[find(("w", *m))] = find(("w", *members[0]))
+    every = list(lines.items())
+    for n, (p, a) in enumerate(every):
+        find(("l", *p))
+        for q, b in every[:n]:
+            if 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)):
+                common = len(a & b)
+                if 100 * common >= 80 * (len(a) + len(b) - common):
+                    parent[find(("l", *p))] = find(("l", *q))
+    clusters = {}
+    for x in list(parent):
+        clusters.setdefault(find(x), []).append(x[1:])
+    repeated, removed = {}, {}
+    clusters = [sorted(c) for c in clusters.values() if len(c) > 1 and (not across or len({m[0] for m in c}) > 1)]
+    for c in clusters:
+        for i, at, n in c:
+            repeated.setdefault(i, set()).update(range(at, at + n))
+            if (i, at) != c[0][:2]:
+                removed.setdefault(i, set()).update(range(at, at + n))
+    return repeated, removed, clusters
+
+
+def same_as_plain(got, texts, across=False):
+    repeated, removed, clusters = plainly(texts, across)
+    cells = lambda spans: {w for s in spans for w in range(s.start, s.end)}
+    assert {i: cells(r.repeated) for i, r in got.items()} == repeated
+    assert {i: cells(r.removed) for i, r in got.items() if r.removed} == removed
+    assert all((r.n_repeated, r.n_removed) == (len(cells(r.repeated)), len(cells(r.removed))) for r in got.values())
+    by = {}
+    for i, r in got.items():
+        for c in r.clusters:
+            by.setdefault(c, set()).add(i)
+    assert sorted(map(sorted, by.values())) == sorted(sorted({m[0] for m in c}) for c in clusters)
+
+
+def test_documents_plainly(spark, sf_dir):
+    """Spans, removals and clusters of whole documents against all pairs."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    same_as_plain({r.doc_id: r for r in queries()["op10_passages"](spark, sf_dir).collect()}, texts)
+
+
+def test_within_and_across(spark, monkeypatch):
+    """Passages that one document repeats, hot ones dealt to several tasks, changes in the last words."""
+    monkeypatch.setattr(spread, "HOT_ROWS", 3)
+    rng = random.Random(9)
+    own, hot, edge = fresh(rng, 60), fresh(rng, 70), fresh(rng, 26)
+    texts = {0: " ".join(fresh(rng, 40) + own + fresh(rng, 40) + own)}
+    for i in range(1, 30):
+        texts[i] = " ".join(fresh(rng, 30) + hot + fresh(rng, 30))
+    for i in range(40, 44):
+        texts[i] = " ".join(edge[:25] + fresh(rng, 1)) + "\n" + " ".join(fresh(rng, 40))
+    for across in (True, False):
+        docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+        got = {r.doc_id: r for r in passages.repeated(docs, across=across).collect()}
+        assert set(got) == set(range(1, 30)) | {40, 41, 42, 43} | (set() if across else {0})
+        same_as_plain(got, texts, across)
+
+
+def test_recall(spark):
+    """Pairs of lines whose Jaccard is 0.80 to 0.85: at least 0.99 of them meet."""
+    rng = random.Random(11)
+    texts, pairs = {}, 0
+    while pairs < 600:
+        a = fresh(rng, rng.randint(50, 120))
+        b = list(a)
+        for _ in range(rng.randint(1, 4)):
+            b[rng.randrange(len(b))] = fresh(rng, 1)[0]
+        x, y = ({tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (a, b))
+        if 0.8 <= len(x & y) / len(x | y) <= 0.85:
+            texts[2 * pairs], texts[2 * pairs + 1] = " ".join(a), " ".join(b)
+            pairs += 1
+    got = found(spark, texts)
+    met = sum(bool(2 * i in got and 2 * i + 1 in got and {s.end - s.start for s in got[2 * i].repeated} & {len(texts[2 * i].split())}) for i in range(pairs))
+    print("recall of near lines", met / pairs)
+    assert met / pairs >= 0.99
+
+
 def test_documents(spark, sf_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     words = {i: t.lower().split() for i, t in texts.items()}
