@@ -6,13 +6,15 @@
    least MATCHES coordinates also share one of each one's first COORDINATES - MATCHES + 1: only this
    prefix is posted, so a value that a very common passage gives to a third of all documents is skipped.
 3. In each posting list every class meets the list's hub: the class whose values are the most common
-   (the text that the others were made from, as a change gives rarer values). Collisions are counted by
-   pair, pairs whose signatures agree in MATCHES coordinates are confirmed on the full sets, and
+   (the text that the others were made from, as a change gives rarer values). A pair that met in any list
+   has its collisions counted by merging its two signatures, the posted prefixes and the skipped rests, as
+   the lists themselves hold only some of them: they don't hand out all their pairs, and one collision in
+   the prefixes is all that MATCHES implies. Pairs that come to MATCHES are confirmed on the full sets, and
    components formed. This is linear in the postings, and a family of near copies falls together.
 4. What shares an open list (one that still holds several components) shares its hub. The classes of a
    hub's open lists are compared in blocks: dealt by hash into chunks of bounded size, each pair of chunks
-   is one task. It first tells by the signatures which classes have a likely partner in another
-   component; those then meet once more with their texts, where it counts the common shingles of all its
+   is one task. It first counts the collisions of all its pairs, coordinate by coordinate, and tells which
+   classes come to MATCHES with one of another component; those then meet once more with their texts, where it counts the common shingles of all its
    pairs by a matrix product and returns one link for each pair of components that has any. So each pair
    of a list is either checked, or known to be in one component already; none is dropped, and copies are
    never expanded into pairs.
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 from parley.llm import textbuf as tb
 from parley.llm.components import components
 from parley.llm.lineage import cut, release, small_batches
+from parley.llm.spread import dealt_join
 
 #: A pair at the threshold 0.8 falls short of 25 of 48 agreements with a chance of about 4e-6; more alike
 #: pairs much less often.
@@ -139,7 +142,7 @@ def _block(table: pa.Table, k: int, percent: int) -> pa.Table:
 
 
 def _close(table: pa.Table) -> pa.Table:
-    """The members that agree in MATCHES coordinates with one of another component: columns a, cid, at, sig."""
+    """The members that collide in MATCHES coordinates with one of another component: columns a, cid, at, sig."""
     at = np.asarray(table.column("at").to_numpy())
     sigs = np.concatenate([x.flatten().to_numpy().reshape(len(x), COORDINATES) for x in table.column("sig").chunks if len(x)])
     agree = np.zeros((len(at), len(at)), np.uint8)
@@ -198,8 +201,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", k:
             F.explode(F.slice("own", 1, F.col("room"))["value"]).alias("value"),
         )
     )
-    hub = prefix.groupBy("value").agg(F.max("rank")["cid"].alias("a"), F.count("*").alias("g")).filter("g > 1").select("value", "a")
-    posted = cut(prefix.join(hub, "value").select("value", F.col("rank")["cid"].alias("b"), "a"))
+    hub = prefix.groupBy("value").agg(F.max("rank")["cid"].alias("a"), F.count("*").alias("held")).filter("held > 1")
+    posted = cut(dealt_join(prefix, hub, "value", "held", F.col("rank")).select("value", F.col("rank")["cid"].alias("b"), "a"))
 
     # The texts of few classes are needed, each class by the row that stands for it.
     def texts_of(cids: DataFrame) -> DataFrame:
@@ -212,10 +215,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", k:
     # Collisions with each list's hub.
     release(docs.sparkSession)
     sig = lambda x: classes.select(F.col("cid").alias(x), F.col("sig").alias("sig_" + x))
+    collisions = F.size(F.array_intersect("sig_a", "sig_b"))  # values are marked with their coordinates
     likely = cut(
-        posted.filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("collisions"))
+        posted.filter("a <> b").select("a", "b").distinct()
         .join(sig("a"), "a").join(sig("b"), "b")
-        .filter(F.size(F.array_intersect("sig_a", "sig_b")) >= MATCHES)
+        .filter(collisions >= MATCHES)
         .select("a", "b")
     )
     texts = texts_of(likely.select("a").union(likely.select("b")).distinct().withColumnRenamed("a", "cid"))
@@ -263,9 +267,17 @@ def one_of_each(docs: DataFrame, text: str = "text", id: str = "doc_id", k: int
     """Of each component of near duplicates the documents that carry its least id, with all columns of docs.
 
     Rows that repeat that id and its text count as one. A null id is kept where its component has no other.
+    Null and wordless texts each stay; an empty table gives an empty table. Texts are shuffled only of rows
+    that are repeated.
     """
     kept = near_duplicates(docs, text, id, k).filter("kept").select(F.col(id).alias("__parley_id")).distinct()
-    return docs.join(kept, F.col(id).eqNullSafe(F.col("__parley_id")), "left_semi").dropDuplicates([id, text])
+    out = docs.join(kept, F.col(id).eqNullSafe(F.col("__parley_id")), "left_semi")
+    keys = docs.select(F.col(id).alias("__parley_id"), F.xxhash64(text).alias("__parley_text"))
+    again = cut(keys.groupBy("__parley_id", "__parley_text").agg(F.count("*").alias("__parley_n")).filter("__parley_n > 1").drop("__parley_n"))
+    if again.isEmpty():
+        return out
+    same = F.col(id).eqNullSafe(F.col("__parley_id")) & (F.xxhash64(text) == F.col("__parley_text"))
+    return out.join(again, same, "left_anti").union(out.join(again, same, "left_semi").dropDuplicates([id, text]))
 
 
 def op3_minhash(spark, sf_dir):
