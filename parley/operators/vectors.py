@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from parley.functions import text as tx
@@ -105,20 +108,50 @@ def dispersion(members: DataFrame, vectors: DataFrame, groups: list[str], least:
     return size.join(out, groups)
 
 
+#: Members of a block on the average at most, and terms that are multiplied at once.
+CHUNK, TILE = 1000, 4096
+
+
+def _best_products(table: pa.Table, names: list[str]) -> pa.Table:
+    """Of one pair of chunks (own: the member's) each member's largest product with one of the other chunk, or with another
+    of its own where the pair is one chunk. Terms and weights are lists; no pair of members becomes a row."""
+    own = table.column("own").to_numpy()
+    lists = table.column("terms").combine_chunks()
+    row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    code = lists.flatten().dictionary_encode().indices.to_numpy()
+    weight = table.column("ws").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    order = np.argsort(code, kind="stable")
+    row, code, weight = row[order], code[order], weight[order]
+    dots = np.zeros((len(own), len(own)))
+    for lo in range(0, int(code[-1]) + 1 if len(code) else 0, TILE):
+        x, y = np.searchsorted(code, (lo, lo + TILE))
+        part = np.zeros((len(own), TILE))
+        part[row[x:y], code[x:y] - lo] = weight[x:y]
+        dots += part @ part.T
+    apart = own[:, None] != own[None, :] if own.min() != own.max() or table.column("lo")[0] != table.column("hi")[0] else ~np.eye(len(own), dtype=bool)
+    dots[~apart] = -np.inf
+    met = apart.any(1)
+    best = dots.max(1)[met]
+    kept = table.select(names).filter(pa.array(met))
+    return kept.append_column("dot", pa.array(best))
+
+
 def nearest(members: DataFrame, vectors: DataFrame, groups: list[str]) -> DataFrame:
     """id, groups, nn_distance: 1 minus the largest product with another member; groups of one have none.
 
-    Products are summed over shared terms only, so pairs without one are never formed; they have product 0.
+    Members of a group are dealt by hash into chunks of bounded size, and each pair of chunks is one task that multiplies
+    matrices; so neither a large group nor a common term comes to one task, and no pair becomes a row.
     """
-    rows = members.join(vectors, "id").select(*groups, "id", "term", "w")
-    other = rows.select(*groups, F.col("id").alias("id2"), "term", F.col("w").alias("w2"))
-    dots = rows.join(other, [*groups, "term"]).filter("id <> id2").groupBy(*groups, "id", "id2").agg(F.sum(F.col("w") * F.col("w2")).alias("dot"))
-    best = dots.groupBy(*groups, "id").agg(F.max("dot").alias("dot"), F.count("*").alias("met"))
-    size = members.groupBy(*groups).agg(F.count("*").alias("n")).filter("n > 1")
-    out = members.join(size, groups).join(best, [*groups, "id"], "left")
-    # A member that shares no term with some other has product 0 with it, which a negative one can't beat.
-    product = F.when(F.coalesce("met", F.lit(0)) < F.col("n") - 1, F.greatest(F.coalesce("dot", F.lit(0.0)), F.lit(0.0))).otherwise(F.col("dot"))
-    return out.select("id", *groups, (1 - product).alias("nn_distance"))
+    listed = vectors.groupBy("id").agg(F.collect_list("term").alias("terms"), F.collect_list("w").alias("ws"))
+    size = members.groupBy(*groups).agg(F.count("*").alias("n"), F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")).filter("n > 1").drop("n")
+    empty = lambda name: F.coalesce(name, F.array().cast(listed.schema[name].dataType))
+    dealt = members.join(size, groups).join(listed, "id", "left").withColumn("own", F.pmod(F.xxhash64("id"), "chunks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    names = ["id", *groups]
+    blocks = dealt.select(*names, "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), empty("terms").alias("terms"), empty("ws").alias("ws"))
+    schema = T.StructType([*[blocks.schema[c] for c in names], T.StructField("dot", T.DoubleType())])
+    found = blocks.groupBy(*groups, "lo", "hi").applyInArrow(lambda t: _best_products(t, names), schema)
+    return found.groupBy(*names).agg((1 - F.max("dot")).alias("nn_distance"))
 
 
 def with_nearest(groups_of: DataFrame, near: DataFrame, groups: list[str]) -> DataFrame:

@@ -93,11 +93,8 @@ def ced_embeddings(spark, sf_dir):
 
 
 def nn_embeddings(spark, sf_dir):
-    """Dense vectors share every term, so products are taken pair by pair within a label."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", tx.l2_normal(F.transform("embedding", lambda x: x.cast("double"))).alias("v"))
-    other = e.select(F.col("vec_id").alias("id2"), "label", F.col("v").alias("v2"))
-    best = e.join(other, "label").filter("vec_id <> id2").groupBy("vec_id", "label").agg(F.max(tx.dot(F.col("v"), F.col("v2"))).alias("dot"))
-    return _rounded(best.select("vec_id", "label", (1 - F.col("dot")).alias("nn_distance")))
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v"))
+    return _rounded(vectors.nearest(e.select("id", "label"), vectors.to_sparse(e), ["label"]).withColumnRenamed("id", "vec_id"))
 
 
 def cas_exact(spark, sf_dir):
@@ -241,9 +238,14 @@ def prompts(spark, sf_dir):
     rows = gen.personas(_metadata(spark, sf_dir)).withColumn("speaker", F.lit("ParticipantB"))
     history = F.array(*[F.struct(F.lit(s).alias("speaker"), F.lit(t).alias("text")) for s, t in (("ParticipantA", "Hello!"), ("ParticipantB", "Hello!"))])
     rows = rows.withColumn("history", history)
-    return gen.prompts(rows, "P0", "C1").select("conversation_no", F.col("messages")[0]["content"].alias("c1")).join(
-        gen.prompts(rows, "P1", "AG").select("conversation_no", F.size("messages").alias("n"), F.col("messages")[0]["role"].alias("first")), "conversation_no"
-    )
+    for kind, level in PROMPT_FORMS:
+        made = gen.prompts(rows, level, kind, EXAMPLE if level == "P2" else "")
+        rows = made.withColumn(f"{kind}_{level}", F.to_json("messages")).drop("messages")
+    return rows.select("conversation_no", *[f"{kind}_{level}" for kind, level in PROMPT_FORMS])
+
+
+PROMPT_FORMS = [(kind, level) for kind in ("C1", "C2", "AG") for level in ("P0", "P1", "P2")]
+EXAMPLE = "ParticipantA: So, hi.\nParticipantB: Hi there."
 
 
 def targets_todo(spark, sf_dir):
@@ -363,7 +365,6 @@ SQL = {
     "ols_markers": WITH + ", m0 AS (SELECT conv_id, condition, sum(words) AS w, " + ", ".join(f"sum(len(regexp_extract_all(ascii, '(?i){p}'))) AS {k}" for k, p in lx.MARKERS.items()) + " FROM turns GROUP BY ALL), m AS (" + " UNION ALL ".join(f"SELECT condition, '{k}' AS marker, 100.0::DOUBLE * {k} / greatest(w, 1) AS v FROM m0" for k in lx.MARKERS) + "), s AS (SELECT marker, condition, count(*) AS n, avg(v) AS mean, coalesce(var_samp(v), 0) AS var FROM m GROUP BY ALL), b AS (SELECT marker, n AS n0, mean AS mean0 FROM s WHERE condition = 'SB'), o AS (SELECT marker, sum(n) AS nn, count(*) AS k, sum(n * mean) / sum(n) AS grand, sum((n - 1) * var) AS w FROM s GROUP BY 1), bt AS (SELECT marker, sum(n * (mean - grand) ** 2) AS bt FROM s JOIN o USING (marker) GROUP BY 1), q AS (SELECT *, w / (nn - k) AS mse, condition = 'SB' AS sb FROM s JOIN b USING (marker) JOIN o USING (marker) JOIN bt USING (marker)) SELECT condition, bt / (k - 1) / mse AS \"F\", (k - 1)::BIGINT AS df1, (nn - k)::BIGINT AS df2, CASE WHEN sb THEN mean ELSE mean - mean0 END AS coef, CASE WHEN sb THEN mean / sqrt(mse / n) ELSE (mean - mean0) / sqrt(mse * (1.0::DOUBLE / n + 1.0::DOUBLE / n0)) END AS t, marker FROM q",
     "vif": WITH + ", x AS (SELECT turn_index AS a, count(*) OVER (PARTITION BY conv_id) AS b, words AS c FROM turns), r AS (SELECT corr(a, b) AS ab, corr(a, c) AS ac, corr(b, c) AS bc FROM x), d AS (SELECT *, 1 + 2 * ab * ac * bc - ab * ab - ac * ac - bc * bc AS det FROM r) SELECT unnest(['turn_index', 'n_turns', 'words']) AS term, unnest([(1 - bc * bc) / det, (1 - ac * ac) / det, (1 - ab * ab) / det]) AS vif FROM d",
     "personas": "WITH " + _PERSONA_SQL + " SELECT * FROM p",
-    "prompts": "WITH " + _PERSONA_SQL + " SELECT conversation_no, 'Write the log of a telephone conversation between two people who do not know each other and have equal roles in the discussion. ParticipantA is a ' || a_age || '-year-old ' || a_gender || ' with ' || a_education || '. ParticipantB is a ' || b_age || '-year-old ' || b_gender || ' with ' || b_education || '. The topic of the conversation is: Discuss it. The conversation will have about 30 turns of talk; do not end it too early. The log starts with:' || chr(10) || 'ParticipantA: Hello!' || chr(10) || 'ParticipantB: Hello!' || chr(10) || 'Each line is one turn beginning with the speaker''s label and a colon. Write the complete conversation, continuing from those greetings.' AS c1, 4 AS n, 'system' AS first FROM p",
     "targets_todo": "WITH c AS (SELECT DISTINCT conv_id AS conversation_no, printf('sw_%06d', conv_id) AS file FROM conversations), t AS (SELECT * FROM c WHERE conversation_no % 3 <> 0 ORDER BY file LIMIT 40) SELECT * FROM t WHERE conversation_no % 5 <> 0",
     "tsv_rows": WITH + ", r AS (SELECT conv_id, turn_index, speaker AS participant, trim(replace(replace(replace(replace(text, chr(10), ' '), chr(13), ' '), chr(9), ' '), '\"', '')) AS content FROM turns) SELECT * FROM r WHERE content <> '' AND conv_id IN (SELECT conv_id FROM r WHERE content <> '' GROUP BY 1 HAVING count(*) >= 4)",
     "human_turn_files": "WITH c AS (SELECT conv_id, printf('sw_%06d', conv_id) AS file FROM conversations), a AS (SELECT DISTINCT file FROM c WHERE conv_id % 2 = 1 ORDER BY file LIMIT 30), b AS (SELECT DISTINCT file FROM c ORDER BY file LIMIT 30) SELECT count(*)::BIGINT AS turns, count(DISTINCT file)::BIGINT AS files, 'filter, limit' AS \"order\" FROM c WHERE file IN (FROM a) UNION ALL SELECT count(*), count(DISTINCT file), 'limit, filter' FROM c WHERE file IN (FROM b) AND conv_id % 2 = 1",
@@ -372,6 +373,28 @@ SQL = {
     "stream_roles": "SELECT role, count(*)::BIGINT AS turns, sum(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')))::BIGINT AS words FROM conversations GROUP BY role",
 }
 
+
+
+def _prompt_sql(kind: str, level: str) -> str:
+    """The messages of one form as JSON, the templates filled in by replacing."""
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    form = "P0" if level == "P0" else "P1"
+    who = {x: f"'a ' || {x}_age || '-year-old ' || {x}_gender || ' with ' || {x}_education" for x in "ab"}
+    shot = gen.EXAMPLE.replace("{example}", EXAMPLE) if level == "P2" else ""
+    values = {
+        "{task}": text(gen.TOPIC[form]), "{goal}": "sb_prompt", "{topic}": "topic", "{a}": who["a"], "{b}": who["b"], "{me}": who["b"], "{length}": text(gen.LENGTH), "{style}": text(gen.STYLE),
+        "{peer}": text(gen.PEER), "{seed}": text(gen.SEED_TURNS), "{shot}": text(shot), "{speaker}": "'ParticipantB'", "{log}": text(gen.SEED_TURNS),
+    }
+    filled = text(gen.PROMPTS[kind, form])
+    for name, value in values.items():
+        filled = f"replace({filled}, '{name}', {value})"
+    message = lambda role, content: f"{{'role': '{role}', 'content': {content}}}"
+    messages = [message("user", filled)] if kind != "AG" else [message("system", filled), message("user", "'Hello!'"), message("assistant", "'Hello!'"), message("user", text(gen.QUIET))]
+    return f"to_json([{', '.join(messages)}])::VARCHAR AS \"{kind}_{level}\""
+
+
+SQL["prompts"] = "WITH " + _PERSONA_SQL + " SELECT conversation_no, " + ", ".join(_prompt_sql(*form) for form in PROMPT_FORMS) + " FROM p"
+
 for _name, _columns in {
     "ced_by_condition": '"CED", min_distance, max_distance, mean_nn_distance, min_nn_distance', "ced_by_topic": '"CED", min_distance, max_distance, mean_nn_distance, min_nn_distance',
     "ced_concat": '"CED", min_distance, max_distance', "group_social": ", ".join(f'"mean_{k}"' for k in labels.GROUPED), "ols_markers": '"F", coef, t',

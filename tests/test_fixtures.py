@@ -93,6 +93,24 @@ def test_matched_topics(spark):
     assert set(matched) == {"SB", "C1"} and matched["C1"] == pytest.approx((1, 0, 0)) and matched["SB"] == pytest.approx((1, 1 - math.sqrt(0.5), 1))
 
 
+def test_nearest_in_blocks(spark, monkeypatch):
+    """Groups of several chunks, members without terms, negative products, against all pairs."""
+    import numpy as np
+
+    monkeypatch.setattr(vectors, "CHUNK", 4)
+    monkeypatch.setattr(vectors, "TILE", 3)
+    rng = np.random.default_rng(6)
+    dense = {i: np.where(rng.random(9) < 0.5, rng.normal(size=9), 0) for i in range(40)}
+    for i in (3, 17, 18):
+        dense[i] = np.zeros(9)
+    group = {i: "big" if i < 25 else "small" if i < 39 else "one" for i in dense}
+    members = spark.createDataFrame([(i, g) for i, g in group.items()], "id long, g string")
+    v = spark.createDataFrame([(i, f"t{j}", float(w)) for i, x in dense.items() for j, w in enumerate(x) if w], "id long, term string, w double")
+    got = {r.id: r.nn_distance for r in vectors.nearest(members, v, ["g"]).collect()}
+    want = {i: 1 - max(float(dense[i] @ dense[j]) for j in dense if j != i and group[j] == group[i]) for i in dense if group[i] != "one"}
+    assert got == pytest.approx(want)
+
+
 def test_topics_need_names(spark, sf_dir):
     from parley.plans import analysis
 
