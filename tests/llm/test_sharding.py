@@ -1,6 +1,7 @@
 """op8: the curve, the laws of shards and slots, pruning, odd rows."""
 
 import itertools
+import math
 import zlib
 
 import numpy as np
@@ -36,6 +37,30 @@ def test_documents(spark, sf_dir):
         assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(data) + 1, zlib.crc32(data), "rows", None)
 
 
+def test_documents_plainly(spark, sf_dir):
+    """Cells from language, source and size, their order on the curve, and the cut into runs, one document at a time."""
+    xxhash = pytest.importorskip("xxhash")
+
+    def named(x):
+        if x is None:
+            return 0
+        h = xxhash.xxh64_intdigest(x.encode(), xxhash.xxh64_intdigest((3).to_bytes(4, "little"), 42))
+        return (h - (1 << 64) if h >> 63 else h) % 255 + 1
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    places = []
+    for d in docs:
+        data = (d.text or "").encode()
+        cells = [named(d.lang), named(d.source), min(255, int(math.log2(len(data) + 2) * 8))]
+        places.append((int(hilbert.hilbert_index(np.array([cells]))[0]), d.doc_id, zlib.crc32(data)))
+    want, n = {}, len(docs)
+    for rank, (index, doc, _) in enumerate(sorted(places)):
+        shard = rank * hilbert.SHARDS // n
+        slot = rank - -(-shard * n // hilbert.SHARDS)
+        want[doc] = (index, shard, slot)
+    assert {r.doc_id: (r.hilbert, r.shard, r.slot) for r in queries()["op8_sharding"](spark, sf_dir).collect()} == want
+
+
 def test_manifest_prunes(spark, sf_dir):
     shards = hilbert.sharded(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     rows = hilbert.manifest(shards).collect()
