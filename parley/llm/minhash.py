@@ -158,12 +158,12 @@ def dealt(member: DataFrame) -> DataFrame:
     groups = (
         member.groupBy("a").agg(
             F.ceil(F.greatest(F.count("*") / CHUNK_SETS, F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("chunks"),
-            F.min("at").alias("least"), F.max("at").alias("most"),
+            F.min("at").alias("least"), F.max("at").alias("most"), F.count("*").alias("held"),
         )
-        .filter("least <> most").select("a", "chunks")
+        .filter("least <> most").select("a", "chunks", "held")
     )
     return (
-        member.join(groups, "a")
+        dealt_join(member, groups, "a", "held", F.col("cid"))
         .withColumn("own", F.pmod(F.xxhash64("cid"), "chunks").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .select("a", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "cid", "at")

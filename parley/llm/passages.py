@@ -62,7 +62,30 @@ def _shingles(h: np.ndarray) -> np.ndarray:
     return tb.mix(total)
 
 
-def _paragraphs(texts: pa.Array) -> Iterator[tuple]:
+def _slid(f: np.ufunc, x: np.ndarray, k: int) -> np.ndarray:
+    """f over each k consecutive elements, by doubling."""
+    done, step = x, 1
+    while 2 * step <= k:
+        done, step = f(done[:-step], done[step:]), 2 * step
+    return done if step == k else f(done[: len(x) - k + 1], done[k - step :])
+
+
+def _openings(g: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Places of the least (the first of equal ones) of any REACH consecutive shingles; inside: the windows that count."""
+    least = np.where(inside, _slid(np.minimum, g, REACH), tb.U(0))
+    wide = np.concatenate([np.zeros(REACH - 1, tb.U), least, np.zeros(REACH - 1, tb.U)])
+    at = np.flatnonzero(_slid(np.maximum, wide, REACH) == g)  # the greatest of the windows' least ones is this one
+    # Where an equal shingle stands before within reach, only windows that begin behind that one count.
+    padded = np.concatenate([np.zeros(REACH - 1, tb.U), g])
+    before, most = np.zeros(len(at), np.int64), np.zeros(len(at), tb.U)
+    for d in range(1, REACH):
+        most = np.maximum(most, wide[at + REACH - d])  # of the window that begins d - 1 places before
+        here = (before == 0) & (padded[at + REACH - 1 - d] == g[at])
+        before[here] = np.where(most[here] == g[at[here]], -1, d)
+    return at[before <= 0]
+
+
+def _paragraphs(texts: pa.Array, lines_only: bool = False) -> Iterator[tuple]:
     """Of runs of rows: the paragraphs' row, first word in it, words, content hash; shingle ranges of the
     lines among them, which come first; and the shingles."""
     data, offsets = tb.column(texts)
@@ -73,12 +96,11 @@ def _paragraphs(texts: pa.Array) -> Iterator[tuple]:
         sums = np.concatenate([[0], np.cumsum(tb.mix(g + tb.U(1)))]).astype(tb.U)
         line_key = tb.mix((sums[last - SHINGLE + 1] - sums[first]) ^ (last - first).astype(tb.U))
         at = np.zeros(0, int)
-        if len(g) >= REACH:
-            view = np.lib.stride_tricks.sliding_window_view(g, REACH)
-            start = np.arange(len(view))
-            row = np.searchsorted(rows, start, "right") - 1
-            inside = start + REACH + SHINGLE - 1 <= rows[row + 1]
-            at = np.unique(view[inside].argmin(1) + start[inside]) if inside.any() else at
+        if len(g) >= REACH and not lines_only:
+            inside = np.ones(len(g) - REACH + 1, bool)
+            for end in rows[1:-1].tolist():  # windows that reach into the next row
+                inside[max(0, end - REACH - SHINGLE + 2) : end] = False
+            at = _openings(g, inside)
             at = at[at + WORDS <= rows[np.searchsorted(rows, at, "right")]]
         key = np.full(len(at), 77, tb.U)
         for j in (0, 5, 10, 15, SURE - SHINGLE):
@@ -99,7 +121,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The lines: id, at, key, shingles, bands."""
     for batch in batches:
-        for lo, _, line, at, _, key, a, b, g in _paragraphs(batch.column(1)):
+        for lo, _, line, at, _, key, a, b, g in _paragraphs(batch.column(1), lines_only=True):
             bands = np.empty((len(a), BANDS), tb.U)
             ends = np.stack([a, b], 1).ravel()
             padded = np.append(g, tb.U(0))
@@ -119,7 +141,7 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The lines: key, its distinct shingles in order, as bytes."""
     for batch in batches:
-        for _, _, _, _, _, key, a, b, g in _paragraphs(batch.column(1)):
+        for _, _, _, _, _, key, a, b, g in _paragraphs(batch.column(1), lines_only=True):
             sets = [np.unique(g[x:y]).tobytes() for x, y in zip(a.tolist(), b.tolist())]
             yield pa.RecordBatch.from_arrays([pa.array(key[: len(a)].view(np.int64)), pa.array(sets, pa.binary())], names=["key", "grams"])
 
@@ -193,9 +215,9 @@ def repeated(docs: DataFrame, text: str = "text", id: str = "doc_id", percent: i
 
     lines = source.mapInArrow(_banded, f"id {kind}, at int, key long, n int, bands array<long>")
     lines = cut(lines.groupBy("key").agg(*own, F.first("n").alias("n"), F.first("bands").alias("bands")))
-    banded = lines.select("key", "n", F.posexplode("bands").alias("band", "value"))
-    lead = banded.groupBy("band", "value").agg(F.min("key").alias("a"), F.count("*").alias("members")).filter("members > 1")
-    posted = cut(dealt_join(banded.withColumn("at", F.struct("band", "value")), lead.select(F.struct("band", "value").alias("at"), "a", "members"), "at", "members", F.col("key")).filter("key <> a").select("value", "a", F.col("key").alias("b"), "n"))
+    banded = lines.select("key", "n", F.explode("bands").alias("value"))  # a band's place is hashed into its value
+    lead = banded.groupBy("value").agg(F.min("key").alias("a"), F.count("*").alias("members")).filter("members > 1")
+    posted = cut(dealt_join(banded, lead, "value", "members", F.col("key")).filter("key <> a").select("value", "a", F.col("key").alias("b"), "n"))
     pairs = cut(posted.select("a", "b").distinct())
     release(docs.sparkSession)
 
