@@ -11,27 +11,40 @@ from parley.llm.lineage import cut
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass, without their failed lines."""
+    """Documents that pass, without their failed lines; n_chars follows the text.
+
+    A null, empty or wordless text doesn't pass. Repeated rows each pass or not. An empty table stays empty, and
+    columns beyond those of documents stay as they are, here and in each stage but the last.
+    """
     return rules.cleaned(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of five-word-shingle near duplicates."""
+    """One document of each component of five-word-shingle near duplicates: that of the least id.
+
+    Rows that repeat id and text count as one. A null id stands back behind any other, and stays where its component
+    has no other. Null and wordless texts are like nothing, so each stays.
+    """
     return minhash.one_of_each(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with every personal span replaced by its kind."""
+    """Documents with every personal span replaced by its kind; n_chars follows the text. No row goes, a null text stays null."""
     return pii.redacted(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated to the sources' target rates, in global hashed order."""
+    """Documents repeated to the sources' target rates, in global hashed order.
+
+    A null source is a source. Documents without an id, and repeated rows, are drawn independently. A document may be
+    drawn no time: that is the mixture.
+    """
     return mixing.mixed(docs).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and a digest of what they decode to."""
+    """doc_id, lang, source, and the token ids of each text with their number and a digest of what they decode to. A null
+    text has none; every row has its own."""
     return bpe.encoded(docs, bpe.production_path(), keep=["doc_id", "lang", "source"], outputs=("n_tokens", "ids", "decoded_sha256"))
 
 
