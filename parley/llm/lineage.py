@@ -37,9 +37,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Frees the shuffle and checkpoint files of plans that nothing refers to any more.
+    """Frees the shuffle files of plans that nothing refers to any more, and their checkpoints too where the cluster sets
+    spark.cleaner.referenceTracking.cleanCheckpoints; without that they stay in the folder until it is emptied.
 
-    Spark removes them when the driver's collector finds them unreachable, which on a large heap may be
+    Spark removes files when the driver's collector finds them unreachable, which on a large heap may be
     after the disks are full; long operators ask for it between their phases.
     """
     gc.collect()
@@ -48,7 +49,8 @@ def release(spark: SparkSession) -> None:
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Has Arrow batches hold fewer rows than by default: texts are long, and a batch is held by the JVM, outside its
-    heap and for good, as well as by the Python worker."""
+    heap and for good, as well as by the Python worker. This holds for the whole session from then on, as a plan reads
+    the setting only when it runs; a lower setting stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, str(rows))
