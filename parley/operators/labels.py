@@ -30,6 +30,14 @@ def topic_code(prev: Column, text: Column) -> Column:
     return tx.let(F.array_distinct(tx.tokens(text)), coded)
 
 
+def adjacent_overlap(turns: DataFrame) -> DataFrame:
+    """conv_id, turn_index, overlap for turns after the first: shared distinct tokens over all of the two turns, null
+    without any. It stands in for the alignment measures of an external package, and isn't one of them."""
+    words = lambda c: F.array_distinct(tx.tokens(c))
+    pairs = turns.withColumn("__prev", previous("text")).filter("__prev IS NOT NULL").select("conv_id", "turn_index", words(F.col("__prev")).alias("a"), words(F.col("text")).alias("b"))
+    return pairs.select("conv_id", "turn_index", F.try_divide(F.size(F.array_intersect("a", "b")), F.size(F.array_union("a", "b"))).alias("overlap"))
+
+
 def labelled(turns: DataFrame) -> DataFrame:
     """Turns with the seven flags (0/1), topic_code, assistant_like and social_like. B comes last: it needs C, E and H."""
     low, n, has = F.col("__low"), F.col("__n"), lambda p: tx.has(F.col("__low"), p)

@@ -18,7 +18,7 @@ def parsed(raw: Column, mode: str = "lenient") -> Column:
 
     lenient: any line with a colon, whose right side isn't blank. strict: lines that begin with
     ParticipantA: or ParticipantB:, where an empty turn takes the next line. tolerant: lines that begin
-    with a label like Participant A:, in any case, empty turns kept.
+    with a label like Participant A:, in any case, empty turns and blanks at their ends kept.
     """
     if mode == "strict":
         pattern = r"(?mU)^(Participant[AB])\s*:\s*(.*)"
@@ -28,8 +28,8 @@ def parsed(raw: Column, mode: str = "lenient") -> Column:
     lines = F.split(raw, "\n")
     if mode == "tolerant":
         pattern = r"(?iU)^\s*(Particip\w*\s*[ab])\s*:\s*(.*)"
-        hits = F.filter(lines, lambda x: x.rlike(pattern))
-        return F.transform(hits, lambda x: _pair(F.regexp_extract(x, pattern, 1), tx.strip(F.regexp_extract(x, pattern, 2))))
+        hits = F.filter(F.split(raw, r"\R|[\x1C-\x1E]"), lambda x: x.rlike(pattern))
+        return F.transform(hits, lambda x: _pair(F.regexp_extract(x, pattern, 1), F.regexp_extract(x, pattern, 2)))
     pairs = F.transform(F.filter(lines, lambda x: F.instr(x, ":") > 0), lambda x: _pair(tx.strip(F.substring_index(x, ":", 1)), tx.strip(F.regexp_replace(x, r"^[^:]*:", ""))))
     return F.filter(pairs, lambda t: t["text"] != "")
 

@@ -7,6 +7,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -182,7 +183,7 @@ def anchoring(turns: DataFrame, embedder: Embedder | None = None, k: int = 5, se
     rows = turns.select("conv_id", "turn_index", topic.alias("topic"), "text", prev.alias("prev")).filter(F.col("prev").isNotNull())
     ctx = rows.select(F.struct("conv_id", "turn_index", F.lit("c").alias("part")).alias("id"), F.col("prev").alias("text"))
     res = rows.select(F.struct("conv_id", "turn_index", F.lit("r").alias("part")).alias("id"), "text")
-    vectors = embedder.fit(ctx.union(res)).encode(ctx.union(res)).select("id.*", "term", "w")
+    vectors = embedder.fit(ctx.union(res)).encode(ctx.union(res)).select("id.*", "term", "w").persist(StorageLevel.DISK_ONLY)  # used five times
     key = ["conv_id", "turn_index"]
     c, r = (vectors.filter(F.col("part") == p).drop("part") for p in "cr")
     true = c.withColumnRenamed("w", "x").join(r, [*key, "term"]).groupBy(*key).agg(F.sum(F.col("x") * F.col("w")).alias("true"))

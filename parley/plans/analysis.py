@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from parley.functions import lexicon as lx
@@ -40,7 +41,8 @@ def tfidf_vocabulary(spark, sf_dir):
 
 def _members(spark, sf_dir):
     turns = table_turns(spark, sf_dir)
-    return turns.select(F.col("conv_id").alias("id"), "condition", "topic").distinct(), vectors.conversation_vectors(turns).withColumnRenamed("conv_id", "id")
+    v = vectors.conversation_vectors(turns).withColumnRenamed("conv_id", "id").persist(StorageLevel.DISK_ONLY)  # used four times
+    return turns.select(F.col("conv_id").alias("id"), "condition", "topic").distinct(), v
 
 
 def _ced(spark, sf_dir, groups, least=1):

@@ -46,6 +46,10 @@ def topic_codes(spark, sf_dir):
     return labels.labelled(table_turns(spark, sf_dir)).select("conv_id", "turn_index", "topic_code")
 
 
+def adjacent_overlap(spark, sf_dir):
+    return labels.adjacent_overlap(table_turns(spark, sf_dir))
+
+
 def conversation_tsi(spark, sf_dir):
     return labels.conversation_indices(labels.labelled(table_turns(spark, sf_dir))).drop("architecture", "prompt_level")
 
@@ -221,6 +225,7 @@ SQL = {
     "corpus_checks": WITH + "SELECT count(DISTINCT conv_id)::BIGINT AS conversations, count(*)::DOUBLE / count(DISTINCT conv_id) AS mean_turns, avg(words) AS mean_words, median(words) AS median_words FROM turns",
     "turn_labels": WITH + _LABEL_SQL + "SELECT conv_id, turn_index, " + ", ".join(f'{k.lower()} AS "{v}"' for k, v in labels.LABELS.items()) + ", assistant_like, social_like FROM lx",
     "topic_codes": WITH + _LABEL_SQL + "SELECT conv_id, turn_index, topic_code FROM lx",
+    "adjacent_overlap": WITH + _LABEL_SQL + "SELECT conv_id, turn_index, len(list_intersect(pre, cur)) / nullif(len(list_distinct(list_concat(pre, cur))), 0) AS overlap FROM tok WHERE prev IS NOT NULL",
     "conversation_tsi": WITH + _TSI_SQL + "SELECT * FROM tsi",
     "reciprocity": WITH + _TSI_SQL + "SELECT conv_id, reciprocity FROM tsi",
     "group_tsi": WITH + _TSI_SQL + "SELECT condition, " + IDENTITY + ", count(*)::BIGINT AS n_conversations, " + ", ".join(f'avg("{k}") AS "mean_{k}"' for k in labels.GROUPED if k != "CAS") + " FROM tsi GROUP BY condition",
@@ -262,7 +267,7 @@ SQL["condition_summary"] = (
 QUERIES = {
     f.__name__: f
     for f in (
-        turn_lengths, marker_rates, condition_summary, condition_table, corpus_checks, turn_labels, topic_codes, conversation_tsi, group_tsi, reciprocity,
+        turn_lengths, marker_rates, condition_summary, condition_table, corpus_checks, turn_labels, topic_codes, adjacent_overlap, conversation_tsi, group_tsi, reciprocity,
         quality_conv, quality_verdict, quality_worst, loops, drift_lines, ab_compare, final_check, termination, transcripts, parse_raw, clean_markup, clean_turn, merge_turns,
     )
 } | {

@@ -39,8 +39,9 @@ def read_records(spark: SparkSession, root: str, conditions: list[str] | None =
     return df.filter(F.col("condition").isin(conditions)) if conditions else df
 
 
-def record_turns(records: DataFrame, mode: str = "lenient", min_turns: int = 1) -> DataFrame:
-    """One row a turn: conv_id, conversation_no, condition, ..., turn_index, speaker, text.
+def record_turns(records: DataFrame, mode: str = "lenient", min_turns: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row a turn: conv_id, conversation_no, condition, ..., turn_index, speaker, text, after the columns of records
+    that keep names (such as file, models, persona_a).
 
     Listed turns are taken as they are in lenient mode and stripped, without empty ones, in the others; a
     record without them has its raw output parsed. Conversations below min_turns are left out.
@@ -52,7 +53,7 @@ def record_turns(records: DataFrame, mode: str = "lenient", min_turns: int = 1)
     kept = records.withColumn("__turns", parsed).filter(F.size("__turns") >= min_turns)
     return kept.select(
         F.concat_ws("/", "condition", F.col("conversation_no").cast("string")).alias("conv_id"),
-        "conversation_no", "condition", "architecture", "prompt_level", "topic", F.posexplode("__turns").alias("turn_index", "__turn"),
+        "conversation_no", "condition", "architecture", "prompt_level", "topic", *keep, F.posexplode("__turns").alias("turn_index", "__turn"),
     ).select("*", "__turn.speaker", "__turn.text").drop("__turn")
 
 

@@ -40,10 +40,17 @@ def tsv_rows(turns: DataFrame, strict: bool = True, min_turns: int = 0) -> DataF
     return rows.join(enough.select("conv_id"), "conv_id", "left_semi")
 
 
-def write_tsv(rows: DataFrame, path: str) -> None:
-    """One folder a conversation, its turns in order, participant and content."""
-    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn_index")
-    ordered.select("conv_id", "participant", "content").write.mode("overwrite").partitionBy("conv_id").option("sep", "\t").option("header", True).csv(path)
+def write_tsv(rows: DataFrame, path: str, folders: bool = True) -> None:
+    """Turns in order, participant and content: one folder a conversation, as the alignment package wants them. Without
+    folders one table, with conv_id as its first column: millions of conversations are too many files for a file system."""
+    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn_index").select("conv_id", "participant", "content")
+    out = ordered.write.mode("overwrite").option("sep", "\t").option("header", True)
+    (out.partitionBy("conv_id") if folders else out).csv(path)
+
+
+def write_summary(summary: DataFrame, path: str) -> bool:
+    """A wide summary as CSV."""
+    return write_csv(wide_summary(summary), path)
 
 
 def write_new(records: DataFrame, path: str, key: str = "conversation_no") -> None:

@@ -183,6 +183,12 @@ def test_natural_end_is_the_loop(spark):
     assert got == {i: loop(c) for i, c in enumerate(cases)}
 
 
+def test_tolerant_lines(spark):
+    raw = "PArTiCIpAnT b: Hi  \r\nParticipantsA:  So\u2028participant A:\rNote: no"
+    r = spark.createDataFrame([(raw,)], "raw string").select(tn.parsed(F.col("raw"), "tolerant").alias("t")).first()
+    assert [tuple(t) for t in r.t] == [("PArTiCIpAnT b", "Hi  "), ("ParticipantsA", "So"), ("participant A", "")]
+
+
 def test_unicode_boundaries(spark):
     r = spark.createDataFrame([("déjà Déjà vu oh a b",)], "t string").select(tx.count(F.col("t"), lx.REPAIR_REPEAT).alias("n"), tx.n_words(F.col("t")).alias("w")).first()
     assert (r.n, r.w) == (1, 6)

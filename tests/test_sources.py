@@ -24,6 +24,8 @@ def test_records(spark, tmp_path):
     assert {r.conversation_no: r.models for r in records.collect()}[1] == {"*": "m"}
     turns = sorted((r.conv_id, r.turn_index, r.speaker, r.text) for r in src.record_turns(records).collect())
     assert turns == [("C1-P0/1", 0, "ParticipantA", "Hi"), ("C1-P0/1", 1, "ParticipantB", "Yo"), ("C3-P1/2", 0, "ParticipantA", " a "), ("C3-P1/2", 1, "ParticipantB", "")]
+    kept = src.record_turns(records, keep=("file", "models", "n_turns")).filter("conversation_no = 2").first()
+    assert kept.file.endswith("/C3-P1/2.json") and kept.models == {"ParticipantA": "x", "ParticipantB": "y"} and kept.n_turns == 2
     assert src.record_turns(records, "strict").filter("conv_id = 'C3-P1/2'").count() == 1
     assert src.read_records(spark, str(tmp_path), ["C1-P0"]).count() == 1
     assert src.read_records(spark, str(tmp_path), broken=True).count() == 4
@@ -67,6 +69,10 @@ def test_sinks(spark, tmp_path):
     assert [r.content for r in rows.collect()] == ["a b q"]
     sinks.write_tsv(rows, str(tmp_path / "tsv"))
     assert spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "tsv")).count() == 1
+    sinks.write_tsv(rows, str(tmp_path / "one"), folders=False)
+    assert spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "one")).columns == ["conv_id", "participant", "content"]
+    assert sinks.write_summary(spark.createDataFrame([(1.0, "c", 2)], "m double, condition string, n int"), str(tmp_path / "wide"))
+    assert [tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "wide")).collect()] == [("c", "2", "1.0")]
     assert sinks.wide_summary(spark.createDataFrame([(1.0, "c", 2)], "m double, condition string, n int")).columns == ["condition", "n", "m"]
 
 
