@@ -111,32 +111,43 @@ def transcripts(spark, sf_dir):
 
 #: Raw dialogues with malformed lines, and single turns with labels and residue.
 RAW = [
-    (1, "ParticipantA: Hi\nparticipantb: Low\nParticipantsA: Stray\nNote: aside\nno colon\nParticipantB: \nParticipantA: Next"),
-    (2, "ParticipantA: Hello!\nParticipantB: Hello!\nParticipantA: a: b"),
-    (3, ""),
+    ("1", "ParticipantA: Hi\nparticipantb: Low\nParticipantsA: Stray\nNote: aside\nno colon\nParticipantB: \nParticipantA: Next"),
+    ("2", "ParticipantA: Hello!\nParticipantB: Hello!\nParticipantA: a: b"),
+    ("3", ""),
 ]
 ONE_TURN = [
-    (1, "ParticipantB: Sure. ParticipantA: And you?"), (2, "Sounds good."), (3, "ParticipentB, hello"), (4, '"Quoted." \nUSER: more'),
-    (5, "ParticipantA: ParticipantB: Twice"), (6, "Fine. [End of Response] x"), (7, "```code"), (8, "ok **Session closed.**"), (9, "Part of it"), (10, "A point -> | odd"),
+    ("1", "ParticipantB: Sure. ParticipantA: And you?"), ("2", "Sounds good."), ("3", "ParticipentB, hello"), ("4", '"Quoted." \nUSER: more'),
+    ("5", "ParticipantA: ParticipantB: Twice"), ("6", "Fine. [End of Response] x"), ("7", "```code"), ("8", "ok **Session closed.**"), ("9", "Part of it"), ("10", "A point -> | odd"),
 ]
 MARKUP = [
     (1, "{F Uh, } I think [ I, + I ] know, /"), (2, "<laughter>. /"), (3, "<<long pause>>"), (4, "{D Well, } okay -/"), (5, "# Right. #"),
 ]
 
 
+def _raw_logs(spark, sf_dir):
+    """The conversations as raw logs, each turn on one line, the user as the one and everyone else as the other participant."""
+    label = F.when(F.col("speaker") == "user", "ParticipantA: ").otherwise("ParticipantB: ")
+    lines = F.array_sort(F.collect_list(F.struct("turn_index", F.concat(label, F.translate("text", "\n", " ")).alias("line"))))
+    return table_turns(spark, sf_dir).groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda t: t["line"]), "\n").alias("raw"))
+
+
 def parse_raw(spark, sf_dir):
-    raw = spark.createDataFrame(RAW, "id long, raw string")
+    """Malformed dialogues, and the whole table written as raw logs."""
+    raw = spark.createDataFrame(RAW, "id string, raw string").union(_raw_logs(spark, sf_dir))
     modes = [raw.select("id", F.lit(m).alias("mode"), F.posexplode(tn.parsed(F.col("raw"), m)).alias("turn_index", "t")) for m in ("lenient", "strict", "tolerant")]
     return modes[0].union(modes[1]).union(modes[2]).select("id", "mode", "turn_index", "t.speaker", "t.text")
 
 
 def clean_markup(spark, sf_dir):
-    return spark.createDataFrame(MARKUP, "id long, raw string").select("id", tx.clean_markup(F.col("raw")).alias("text"))
+    """Marked up turns, and all documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return spark.createDataFrame(MARKUP, "id long, raw string").union(docs).select("id", tx.clean_markup(F.col("raw")).alias("text"))
 
 
 def clean_turn(spark, sf_dir):
+    """Single turns with labels and residue, and the raw logs of all conversations, of which the first turn is left."""
     first = tx.first_utterance(F.col("raw"))
-    return spark.createDataFrame(ONE_TURN, "id long, raw string").select("id", first["text"].alias("text"), first["ran_past"].alias("ran_past"), tx.strip_residue(F.col("raw")).alias("no_residue"))
+    return spark.createDataFrame(ONE_TURN, "id string, raw string").union(_raw_logs(spark, sf_dir)).select("id", first["text"].alias("text"), first["ran_past"].alias("ran_past"), tx.strip_residue(F.col("raw")).alias("no_residue"))
 
 
 def merge_turns(spark, sf_dir):
@@ -163,6 +174,12 @@ def _has(text: str, pattern: str) -> str:
 WITH = "WITH " + TURNS_SQL
 IDENTITY = "any_value(CASE WHEN condition = 'SB' THEN 'SB' ELSE 'LLM' END) AS source, any_value(split_part(condition, '-', 1)) AS architecture, any_value(CASE WHEN condition = 'SB' THEN 'SB' ELSE split_part(condition, '-', 2) END) AS prompt_level"
 _JOINED = ", joined AS (SELECT conv_id, string_agg(ascii, ' ' ORDER BY turn_index) AS ascii, string_agg(text, ' ' ORDER BY turn_index) AS raw, sum(words) AS words, count(*) AS n FROM turns GROUP BY conv_id)\n"
+_LOGS = ", lines AS (SELECT conv_id, turn_index, CASE WHEN speaker = 'user' THEN 'ParticipantA' ELSE 'ParticipantB' END AS who, replace(text, chr(10), ' ') AS text FROM turns), logs AS (SELECT conv_id AS id, string_agg(who || ': ' || text, chr(10) ORDER BY turn_index) AS raw FROM lines GROUP BY 1)\n"
+_FIRST = f"""
+, peeled AS (SELECT id, raw, regexp_replace(trim(raw), '(?i)^(?:\\s*{_q(lx.LEAD_LABEL)})+', '') AS p FROM logs)
+, logged AS (SELECT id, regexp_replace(trim(regexp_replace(p, '(?is)(?:{_q(lx.INNER_LABEL)}).*', ''), e' \\n'), '^"+|"+$', '', 'g') AS text, regexp_matches(p, '(?i){_q(lx.INNER_LABEL)}') AS ran_past,
+  trim(regexp_replace(trim(regexp_replace(raw, '(?ims)(?:{_q(lx.RESIDUE)}).*', ''), e' \\n'), '^"+|"+$', '', 'g'), e' \\n') AS no_residue FROM peeled)
+"""
 _PHRASES = " + ".join(f"(length({{t}}) - length(replace({{t}}, '{_q(p)}', ''))) // {len(p)}" for p in lx.SYCOPHANCY_PHRASES)
 _LABEL_SQL = f"""
 , low AS (SELECT *, trim(regexp_replace(lower(ascii), '\\s+', ' ', 'g')) AS l, lag(text) OVER (PARTITION BY conv_id ORDER BY turn_index) AS prev FROM turns)
@@ -238,11 +255,12 @@ SQL = {
     "drift_lines": f"WITH h AS (SELECT source, {_SPAN} AS hits FROM documents) SELECT source, sum(hits)::BIGINT AS hits, count(*) FILTER (hits >= 4)::BIGINT AS documents FROM h GROUP BY source",
     "termination": WITH + f", b AS (SELECT conv_id, turn_index - 2 AS i, {_has('ascii', lx.CLOSING)} AS c, trim(text) = '' AS e FROM turns WHERE turn_index >= 2) SELECT conv_id, (2 + least(count(*), coalesce(min(i) FILTER (e), count(*)), coalesce(min(i) FILTER (c) + 2, count(*)), 30))::BIGINT AS n_kept FROM b GROUP BY 1",
     "transcripts": WITH + "SELECT conv_id, string_agg(speaker || ': ' || text, chr(10) ORDER BY turn_index) AS transcript FROM turns GROUP BY 1",
-    "clean_markup": "SELECT * FROM (VALUES (1::BIGINT, 'Uh, I think I, I know,'), (2, '.'), (3, ''), (4, 'Well, okay'), (5, 'Right.')) t(id, text)",
-    "parse_raw": "SELECT id::BIGINT AS id, mode, i::INT AS turn_index, speaker, text FROM (VALUES (1,'lenient',0,'ParticipantA','Hi'),(1,'lenient',1,'participantb','Low'),(1,'lenient',2,'ParticipantsA','Stray'),(1,'lenient',3,'Note','aside'),(1,'lenient',4,'ParticipantA','Next'),"
+    "clean_markup": r"SELECT doc_id AS id, regexp_replace(trim(regexp_replace(regexp_replace(translate(regexp_replace(regexp_replace(text, '<+[^>]*>+', ' ', 'g'), '\{[A-Z]\s', ' ', 'g'), '}[]+#', '     '), '-?/', ' ', 'g'), '\s+', ' ', 'g')), '\s+([,.?!])', '\1', 'g') AS text FROM documents UNION ALL SELECT * FROM (VALUES (1::BIGINT, 'Uh, I think I, I know,'), (2, '.'), (3, ''), (4, 'Well, okay'), (5, 'Right.')) t(id, text)",
+    "parse_raw": WITH + _LOGS + "SELECT conv_id AS id, mode, (row_number() OVER (PARTITION BY conv_id, mode ORDER BY turn_index) - 1)::INT AS turn_index, who AS speaker, CASE mode WHEN 'tolerant' THEN ltrim(text) ELSE trim(text) END AS text FROM lines, (VALUES ('lenient'), ('strict'), ('tolerant')) m(mode) WHERE mode = 'tolerant' OR trim(text) <> '' UNION ALL "
+    "SELECT id::VARCHAR, mode, i::INT AS turn_index, speaker, text FROM (VALUES (1,'lenient',0,'ParticipantA','Hi'),(1,'lenient',1,'participantb','Low'),(1,'lenient',2,'ParticipantsA','Stray'),(1,'lenient',3,'Note','aside'),(1,'lenient',4,'ParticipantA','Next'),"
     "(1,'tolerant',0,'ParticipantA','Hi'),(1,'tolerant',1,'participantb','Low'),(1,'tolerant',2,'ParticipantsA','Stray'),(1,'tolerant',3,'ParticipantB',''),(1,'tolerant',4,'ParticipantA','Next'),(1,'strict',0,'ParticipantA','Hi'),(1,'strict',1,'ParticipantB','ParticipantA: Next'),"
     "(2,'lenient',0,'ParticipantA','Hello!'),(2,'lenient',1,'ParticipantB','Hello!'),(2,'lenient',2,'ParticipantA','a: b'),(2,'tolerant',0,'ParticipantA','Hello!'),(2,'tolerant',1,'ParticipantB','Hello!'),(2,'tolerant',2,'ParticipantA','a: b'),(2,'strict',0,'ParticipantA','Hello!'),(2,'strict',1,'ParticipantB','Hello!'),(2,'strict',2,'ParticipantA','a: b')) t(id, mode, i, speaker, text)",
-    "clean_turn": "SELECT id::BIGINT AS id, text, ran_past, no_residue FROM (VALUES (1, 'Sure.', true, 'ParticipantB: Sure. ParticipantA: And you?'), (2, 'Sounds good.', false, 'Sounds good.'), (3, 'hello', false, 'ParticipentB, hello'), (4, 'Quoted.', true, 'Quoted.'), (5, 'Twice', false, 'ParticipantA: ParticipantB: Twice'), "
+    "clean_turn": WITH + _LOGS + _FIRST + "SELECT * FROM logged UNION ALL SELECT id::VARCHAR, text, ran_past, no_residue FROM (VALUES (1, 'Sure.', true, 'ParticipantB: Sure. ParticipantA: And you?'), (2, 'Sounds good.', false, 'Sounds good.'), (3, 'hello', false, 'ParticipentB, hello'), (4, 'Quoted.', true, 'Quoted.'), (5, 'Twice', false, 'ParticipantA: ParticipantB: Twice'), "
     "(6, 'Fine. [End of Response] x', false, 'Fine.'), (7, '```code', false, ''), (8, 'ok **Session closed.**', false, 'ok'), (9, 'Part of it', false, 'Part of it'), (10, 'A point -> | odd', false, 'A point')) t(id, text, ran_past, no_residue)",
     "merge_turns": "WITH n AS (SELECT *, (event_type IS DISTINCT FROM lag(event_type) OVER w)::INT AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM n) SELECT user_id, (run - 1)::BIGINT AS turn_index, any_value(event_type) AS speaker, string_agg(event_id::VARCHAR, ' ' ORDER BY ts, event_id) AS text FROM r GROUP BY user_id, run",
 }
