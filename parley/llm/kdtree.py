@@ -29,7 +29,7 @@ SHARD_POINTS, BLOCK_QUERIES, LEAF_POINTS = 8192, 256, 128
 #: are cut into cells at most. Points of further lengths share one cell, which is dealt by hash all the same.
 CELLS, BOX_NUMBERS, LENGTHS = 1024, 1 << 20, 16
 #: Numbers in the sample that the cells of a length are cut from, at most about.
-SAMPLE_NUMBERS = 1 << 22
+SAMPLE_NUMBERS = 1 << 21
 
 
 def _split(points: np.ndarray, order: np.ndarray) -> tuple[int, np.ndarray, np.ndarray] | None:
