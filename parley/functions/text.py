@@ -158,3 +158,8 @@ def dot(a: Column, b: Column) -> Column:
 def l2_normal(v: Column) -> Column:
     """Length 1; a zero vector stays zero."""
     return let(F.sqrt(dot(v, v)), lambda n: F.transform(v, lambda x: x / F.when(n > 0, n).otherwise(1.0)))
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """0 if either vector is zero."""
+    return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))

@@ -99,6 +99,14 @@ def nn_embeddings(spark, sf_dir):
     return _rounded(vectors.nearest(e.select("id", "label"), vectors.to_sparse(e), ["label"]).withColumnRenamed("id", "vec_id"))
 
 
+def centre_cosine(spark, sf_dir):
+    """The cosine of each vector with the mean of its label."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    means = e.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
+    centre = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("c"))
+    return _rounded(e.join(F.broadcast(centre), "label").select("vec_id", "label", tx.cosine(F.col("v"), F.col("c")).alias("cosine")))  # a row a label
+
+
 def cas_exact(spark, sf_dir):
     return _rounded(vectors.anchoring(table_turns(spark, sf_dir)))
 
@@ -351,6 +359,7 @@ SQL = {
     "ced_nn": WITH + _ced_sql("condition", 1) + "SELECT mem.id, mem.condition, nn_distance FROM nn JOIN mem USING (id)",
     "ced_embeddings": "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings), x AS (SELECT vec_id, label, unnest(v) AS w, generate_subscripts(v, 1) AS i FROM e), c AS (SELECT label, i, sum(w) AS c FROM x GROUP BY ALL), l AS (SELECT label, sqrt(sum(c * c)) AS len FROM c GROUP BY 1), d AS (SELECT vec_id, label, 1 - sum(w * c) / any_value(len) AS d FROM x JOIN c USING (label, i) JOIN l USING (label) GROUP BY ALL) SELECT label, count(*)::BIGINT AS n, avg(d) AS \"CED\", min(d) AS min_distance, max(d) AS max_distance FROM d GROUP BY label",
     "nn_embeddings": "SELECT a.vec_id, a.label, 1 - max(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS nn_distance FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY ALL",
+    "centre_cosine": "WITH x AS (SELECT label, unnest(embedding) AS w, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(w::DOUBLE) AS w FROM x GROUP BY ALL), c AS (SELECT label, list(w ORDER BY i) AS c FROM m GROUP BY label) SELECT vec_id, label, list_cosine_similarity(embedding::DOUBLE[], c) AS cosine FROM embeddings JOIN c USING (label)",
     "ced_concat": WITH + ", docs AS (SELECT conv_id AS id, string_agg(speaker || ': ' || text, chr(10) ORDER BY turn_index) AS text FROM turns GROUP BY 1)" + _vectors_sql("docs") + ", mem AS (SELECT DISTINCT conv_id AS id, condition FROM turns), ce AS (SELECT condition, term, sum(w) AS c FROM mem JOIN vec USING (id) GROUP BY ALL), ln AS (SELECT condition, sqrt(sum(c * c)) AS len FROM ce GROUP BY 1), dt AS (SELECT id, sum(w * c) AS dot FROM mem JOIN vec USING (id) JOIN ce USING (condition, term) GROUP BY 1), dist AS (SELECT condition, 1 - coalesce(dot / len, 0) AS d FROM mem LEFT JOIN dt USING (id) LEFT JOIN ln USING (condition)) SELECT condition, count(*)::BIGINT AS n, avg(d) AS \"CED\", min(d) AS min_distance, max(d) AS max_distance FROM dist GROUP BY condition",
     "group_social": WITH + dialogue._TSI_SQL + _CAS + ", cc AS (SELECT conv_id, avg(cas) AS \"CAS\" FROM cas GROUP BY 1) SELECT condition, " + dialogue.IDENTITY + ", count(*)::BIGINT AS n_conversations, " + ", ".join(f'avg("{k}") AS "mean_{k}"' for k in labels.GROUPED) + " FROM tsi LEFT JOIN cc USING (conv_id) GROUP BY condition",
     "few_shot": WITH + ", f AS (SELECT no, printf('sw_%06d', no) AS file, count(*) AS n FROM base GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY file) AS i FROM f), o AS (SELECT no FROM r WHERE i > 20 AND n >= 6 ORDER BY file LIMIT 1) SELECT string_agg(CASE speaker WHEN 'A' THEN 'ParticipantA' WHEN 'B' THEN 'ParticipantB' ELSE speaker END || ': ' || text, chr(10) ORDER BY turn_index) AS excerpt FROM base JOIN o USING (no) WHERE turn_index < 4",
@@ -400,7 +409,7 @@ SQL["prompts"] = "WITH " + _PERSONA_SQL + " SELECT conversation_no, " + ", ".joi
 for _name, _columns in {
     "ced_by_condition": '"CED", min_distance, max_distance, mean_nn_distance, min_nn_distance', "ced_by_topic": '"CED", min_distance, max_distance, mean_nn_distance, min_nn_distance',
     "ced_concat": '"CED", min_distance, max_distance', "group_social": ", ".join(f'"mean_{k}"' for k in labels.GROUPED), "ols_markers": '"F", coef, t',
-    "ced_topic_matched": '"CED", mean_nn_distance', "ced_nn": "nn_distance", "ced_embeddings": '"CED", min_distance, max_distance', "nn_embeddings": "nn_distance", "cas_exact": "cas_real_similarity, cas_wrong_similarity, cas", "cas_conversations": '"CAS"',
+    "ced_topic_matched": '"CED", mean_nn_distance', "ced_nn": "nn_distance", "ced_embeddings": '"CED", min_distance, max_distance', "nn_embeddings": "nn_distance", "centre_cosine": "cosine", "cas_exact": "cas_real_similarity, cas_wrong_similarity, cas", "cas_conversations": '"CAS"',
 }.items():
     _list = ", ".join(f"round({c}, {DIGITS}) + 0.0::DOUBLE AS {c}" for c in _columns.split(", "))
     SQL[_name] = f"SELECT * REPLACE ({_list}) FROM ({SQL[_name]})"
@@ -408,7 +417,7 @@ for _name, _columns in {
 QUERIES = {
     f.__name__: f
     for f in (
-        tfidf, tfidf_vocabulary, ced_by_condition, ced_by_topic, ced_topic_matched, ced_nn, ced_concat, group_social, ced_embeddings, nn_embeddings, cas_exact, cas_sampled, cas_conversations, pca, tidy_rows, welch, mann_whitney, mann_whitney_markers,
+        tfidf, tfidf_vocabulary, ced_by_condition, ced_by_topic, ced_topic_matched, ced_nn, ced_concat, group_social, ced_embeddings, nn_embeddings, centre_cosine, cas_exact, cas_sampled, cas_conversations, pca, tidy_rows, welch, mann_whitney, mann_whitney_markers,
         spearman_trend, kruskal, gradient, ols_omnibus, ols_markers, few_shot, p_values, mixed_model, mixed_by_condition, alignment_model, vif, personas, prompts, targets_todo, tsv_rows, human_turn_files, align_conv, align_sections, stream_roles,
     )
 }

@@ -62,6 +62,11 @@ def test_title(spark):
     assert [r.t for r in df.orderBy("i").select(tx.title_case(F.col("t")).alias("t")).collect()] == [t.strip().title() for t in texts]
 
 
+def test_cosine(spark):
+    df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0]), ([2.0, -1.0], [-4.0, 2.0])], "a array<double>, b array<double>")
+    assert [r.c for r in df.select(tx.cosine(F.col("a"), F.col("b")).alias("c")).collect()] == pytest.approx([math.sqrt(0.5), 0, -1])
+
+
 def test_numbers(spark):
     df = spark.createDataFrame(list(enumerate(["1.5", "", "nan", "x", None, "-2"])), "i int, t string")
     assert [r.v for r in df.orderBy("i").select(tx.to_float(F.col("t")).alias("v")).collect()] == [1.5, None, None, None, None, -2.0]
