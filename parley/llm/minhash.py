@@ -155,7 +155,7 @@ def _close(table: pa.Table) -> pa.Table:
 def dealt(member: DataFrame) -> DataFrame:
     """(a, lo, hi, cid, at): the members (a, cid, at, n) of each hub a, dealt by hash into chunks of bounded size, once
     for each pair of chunks they stand in. Hubs with one component only are left out."""
-    groups = (
+    groups = cut(
         member.groupBy("a").agg(
             F.ceil(F.greatest(F.count("*") / CHUNK_SETS, F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("chunks"),
             F.min("at").alias("least"), F.max("at").alias("most"), F.count("*").alias("held"),
@@ -163,7 +163,7 @@ def dealt(member: DataFrame) -> DataFrame:
         .filter("least <> most").select("a", "chunks", "held")
     )
     return (
-        dealt_join(member, groups, "a", "held", F.col("cid"))
+        dealt_join(member, groups.drop("held"), "a", groups.select("a", "held"), F.col("cid"))
         .withColumn("own", F.pmod(F.xxhash64("cid"), "chunks").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .select("a", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "cid", "at")
@@ -201,8 +201,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", k:
             F.explode(F.slice("own", 1, F.col("room"))["value"]).alias("value"),
         )
     )
-    hub = prefix.groupBy("value").agg(F.max("rank")["cid"].alias("a"), F.count("*").alias("held")).filter("held > 1")
-    posted = cut(dealt_join(prefix, hub, "value", "held", F.col("rank")).select("value", F.col("rank")["cid"].alias("b"), "a"))
+    hub = cut(prefix.groupBy("value").agg(F.max("rank")["cid"].alias("a"), F.count("*").alias("held")).filter("held > 1"))
+    posted = cut(dealt_join(prefix, hub.drop("held"), "value", hub.select("value", "held"), F.col("rank")).select("value", F.col("rank")["cid"].alias("b"), "a"))
 
     # The texts of few classes are needed, each class by the row that stands for it.
     def texts_of(cids: DataFrame) -> DataFrame:
@@ -215,16 +215,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", k:
     # Collisions with each list's hub.
     release(docs.sparkSession)
     sig = lambda x: classes.select(F.col("cid").alias(x), F.col("sig").alias("sig_" + x))
+    with_hub = lambda pairs, table: dealt_join(pairs, table, "a", cut(pairs.groupBy("a").agg(F.count("*").alias("held"))), F.col("b"))
     collisions = F.size(F.array_intersect("sig_a", "sig_b"))  # values are marked with their coordinates
-    likely = cut(
-        posted.filter("a <> b").select("a", "b").distinct()
-        .join(sig("a"), "a").join(sig("b"), "b")
-        .filter(collisions >= MATCHES)
-        .select("a", "b")
-    )
+    met = cut(posted.filter("a <> b").select("a", "b").distinct())
+    likely = cut(with_hub(met, sig("a")).join(sig("b"), "b").filter(collisions >= MATCHES).select("a", "b"))
     texts = texts_of(likely.select("a").union(likely.select("b")).distinct().withColumnRenamed("a", "cid"))
     links = cut(
-        likely.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("x")), "a")
+        with_hub(likely, texts.select(F.col("cid").alias("a"), F.col("text").alias("x")))
         .join(texts.select(F.col("cid").alias("b"), F.col("text").alias("y")), "b")
         .select("a", "b", "x", "y")
         .mapInArrow(lambda it: _confirm(it, k, percent), "a long, b long")
@@ -241,7 +238,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", k:
     mixed = here.filter("at <> home").select("value").distinct()
     open_lists = cut(here.join(mixed, "value", "left_semi").select("a", "b", "at").distinct())
     if not open_lists.isEmpty():
-        member = open_lists.join(classes.select(F.col("cid").alias("b"), "n"), "b").withColumnRenamed("b", "cid")
+        member = cut(open_lists.join(classes.select(F.col("cid").alias("b"), "n"), "b").withColumnRenamed("b", "cid"))
         # First by signatures alone: which members have a likely partner in another component.
         close = (
             dealt(member).join(classes.select("cid", "sig"), "cid")

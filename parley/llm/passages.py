@@ -216,8 +216,8 @@ def repeated(docs: DataFrame, text: str = "text", id: str = "doc_id", percent: i
     lines = source.mapInArrow(_banded, f"id {kind}, at int, key long, n int, bands array<long>")
     lines = cut(lines.groupBy("key").agg(*own, F.first("n").alias("n"), F.first("bands").alias("bands")))
     banded = lines.select("key", "n", F.explode("bands").alias("value"))  # a band's place is hashed into its value
-    lead = banded.groupBy("value").agg(F.min("key").alias("a"), F.count("*").alias("members")).filter("members > 1")
-    posted = cut(dealt_join(banded, lead, "value", "members", F.col("key")).filter("key <> a").select("value", "a", F.col("key").alias("b"), "n"))
+    lead = cut(banded.groupBy("value").agg(F.min("key").alias("a"), F.count("*").alias("held")).filter("held > 1"))
+    posted = cut(dealt_join(banded, lead.drop("held"), "value", lead.select("value", "held"), F.col("key")).filter("key <> a").select("value", "a", F.col("key").alias("b"), "n"))
     pairs = cut(posted.select("a", "b").distinct())
     release(docs.sparkSession)
 
@@ -228,8 +228,9 @@ def repeated(docs: DataFrame, text: str = "text", id: str = "doc_id", percent: i
         return source.mapInArrow(_sets, "key long, grams binary").join(wanted, "key", "left_semi").dropDuplicates(["key"])
 
     sets = sets_of(pairs.select(F.col("a").alias("key")).union(pairs.select("b")))
+    met = cut(pairs.groupBy("a").agg(F.count("*").alias("held")))
     links = cut(
-        pairs.join(sets.select(F.col("key").alias("a"), F.col("grams").alias("x")), "a")
+        dealt_join(pairs, sets.select(F.col("key").alias("a"), F.col("grams").alias("x")), "a", met, F.col("b"))
         .join(sets.select(F.col("key").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y")
         .mapInArrow(lambda it: _verified(it, percent), "a long, b long")
     )
@@ -256,8 +257,10 @@ def repeated(docs: DataFrame, text: str = "text", id: str = "doc_id", percent: i
     stats = classes.groupBy("cluster").agg(F.min("key").alias("number"), F.min("first").alias("opening"), F.max("last").alias("last"), F.count("*").alias("held"))
     if across:
         stats = stats.filter(F.col("opening.id") != F.col("last"))
-    named = cut(dealt_join(classes.drop("last"), stats.drop("last"), "cluster", "held", F.col("key")).select("key", "copies", "opening", F.col("number").alias("cluster")))
-    marked = dealt_join(units, named, "key", "copies", F.struct("id", "at")).select(
+    stats = cut(stats.drop("last"))
+    named = dealt_join(classes.drop("last"), stats.drop("held"), "cluster", stats.select("cluster", "held"), F.col("key"))
+    named = cut(named.select("key", "copies", "opening", F.col("number").alias("cluster")))
+    marked = dealt_join(units, named.drop("copies"), "key", named.select("key", F.col("copies").alias("held")), F.struct("id", "at")).select(
         "id", "cluster", F.struct(F.col("at").alias("start"), (F.col("at") + F.col("n")).alias("end")).alias("span"),
         (F.struct("id", "at") != F.col("opening")).alias("again"),
     )

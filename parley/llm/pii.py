@@ -444,11 +444,8 @@ def _bounds(word: str, kind: str) -> tuple[int, int]:
         a += 1
     while b > a and not (word[b - 1].isalnum() or word[b - 1] == ")" and re.search(r"\([0-9]+\)$", word[a:b])):
         b -= 1
-    if kind == "secret":
-        for m in re.finditer(r"[=:]+[\"'`]?", word[a:b]):
-            a_new = a + m.end()
-        if "=" in word[a:b] or ":" in word[a:b]:
-            a = a_new
+    if kind == "secret" and (name := re.match(r"(?s).*[=:][\"'`]?", word[a:b])):
+        a += name.end()
     return a, b
 
 

@@ -30,6 +30,13 @@ def test_odd_rows(spark):
     assert kept(spark, []) == {}
 
 
+def test_very_long_texts(spark):
+    """One turn of several megabytes, and a conversation that begins with it and goes on."""
+    long = "word " * 1_000_000
+    got = kept(spark, talk(1, long) + talk(2, long, "and more") + talk(3, long + "x"))
+    assert sorted(got) == [2, 3] and len(got[2].chat) > 5_000_000 and got[2].n_turns == 2
+
+
 def test_many_copies(spark):
     rows = [r for c in range(500) for r in talk(c, "hi", "yes")] + talk(1000, "hi", "yes", "more")
     got = kept(spark, rows)
