@@ -251,8 +251,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", k:
 
     release(docs.sparkSession)
     ids = classes.select("f1", "f2", "cid", "rep").join(root, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
-    lowest = ids.groupBy("root").agg(F.min(F.col("rep")["id"]).alias("component"))
-    named = ids.join(lowest, "root").select("f1", "f2", "component")
+    lowest = cut(ids.groupBy("root").agg(F.min(F.col("rep")["id"]).alias("component"), F.count("*").alias("held")))
+    named = dealt_join(ids, lowest.drop("held"), "root", lowest.select("root", "held"), F.col("cid")).select("f1", "f2", "component")
     joined = sketch.join(named, ["f1", "f2"], "left").withColumn("component", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")))
     return joined.select(
         F.col("id").alias(id), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
