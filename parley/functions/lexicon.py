@@ -96,6 +96,9 @@ CLOSING = (
     r"enjoy (?:the rest of )?your day|"
     r"have a (?:great|good|nice|wonderful|lovely|fantastic) (?:day|one|time|evening|weekend))\b"
 )
+STRICT_LINE = r"^(Participant[AB])\s*:\s*(.*)"
+TOLERANT_LINE = r"^\s*(Particip\w*\s*[ab])\s*:\s*(.*)"
+MARKUP_NOTE, MARKUP_OPENING, MARKUP_BRACKETS, MARKUP_END, SPACE_BEFORE_MARK = r"<+[^>]*>+", r"\{[A-Z]\s", "}[]+#", "-?/", r"\s+([,.?!])"
 LEAD_LABEL = r"(?:particip\w*|part(?:ner)?|user|assist\w*|human|ai|system|bot)[\s_]*[ab]?\s*[:,]\s*"
 INNER_LABEL = r"(?:\b(?:ParticipantA|ParticipantB|Participants?\s*[AB])\s*:)|(?:(?:^|\n)\s*(?:USER|ASSIST\w*|HUMAN|AI|SYSTEM|BOT)\s*:)"
 RESIDUE = (

@@ -124,12 +124,12 @@ def first_utterance(text: Column) -> Column:
 
 def clean_markup(raw: Column) -> Column:
     """Transcript markup away, spoken words kept."""
-    t = F.regexp_replace(raw, r"<+[^>]*>+", " ")
-    t = F.regexp_replace(t, r"(?U)\{[A-Z]\s", " ")
-    t = F.translate(t, "}[]+#", "     ")
-    t = F.regexp_replace(t, "-?/", " ")
+    t = F.regexp_replace(raw, lx.MARKUP_NOTE, " ")
+    t = F.regexp_replace(t, f"(?U){lx.MARKUP_OPENING}", " ")
+    t = F.translate(t, lx.MARKUP_BRACKETS, " " * len(lx.MARKUP_BRACKETS))
+    t = F.regexp_replace(t, lx.MARKUP_END, " ")
     t = strip(F.regexp_replace(t, r"(?U)\s+", " "))
-    return F.regexp_replace(t, r"(?U)\s+([,.?!])", "$1")
+    return F.regexp_replace(t, f"(?U){lx.SPACE_BEFORE_MARK}", "$1")
 
 
 def tsv_safe(text: Column, strict: bool = True) -> Column:

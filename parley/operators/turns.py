@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from parley.functions import lexicon as lx
 from parley.functions import text as tx
 
 
@@ -21,13 +22,13 @@ def parsed(raw: Column, mode: str = "lenient") -> Column:
     with a label like Participant A:, in any case, empty turns and blanks at their ends kept.
     """
     if mode == "strict":
-        pattern = r"(?mU)^(Participant[AB])\s*:\s*(.*)"
+        pattern = f"(?mU){lx.STRICT_LINE}"
         who, what = (F.regexp_extract_all(raw, F.lit(pattern), F.lit(i)) for i in (1, 2))
         pairs = F.zip_with(who, what, lambda a, b: _pair(a, tx.strip(b)))
         return F.filter(pairs, lambda t: t["text"] != "")
     lines = F.split(raw, "\n")
     if mode == "tolerant":
-        pattern = r"(?iU)^\s*(Particip\w*\s*[ab])\s*:\s*(.*)"
+        pattern = f"(?iU){lx.TOLERANT_LINE}"
         hits = F.filter(F.split(raw, r"\R|[\x1C-\x1E]"), lambda x: x.rlike(pattern))
         return F.transform(hits, lambda x: _pair(F.regexp_extract(x, pattern, 1), F.regexp_extract(x, pattern, 2)))
     pairs = F.transform(F.filter(lines, lambda x: F.instr(x, ":") > 0), lambda x: _pair(tx.strip(F.substring_index(x, ":", 1)), tx.strip(F.regexp_replace(x, r"^[^:]*:", ""))))
