@@ -16,6 +16,7 @@ _TABLE = {
     "op6_bpe": ("bpe", None),
     "op8_sharding": ("hilbert", None),
     "op9_mixing": ("mixing", "OP9_SQL"),
+    "op12_token_counts": ("tokencount", None),
 }
 
 
