@@ -16,7 +16,9 @@ _TABLE = {
     "op6_bpe": ("bpe", None),
     "op8_sharding": ("hilbert", None),
     "op9_mixing": ("mixing", "OP9_SQL"),
+    "op11_repair": ("repair", "OP11_SQL"),
     "op12_token_counts": ("tokencount", None),
+    "op13_vector_codes": ("codes", "OP13_SQL"),
 }
 
 
