@@ -176,7 +176,7 @@ class Tokenizer:
         lower = text.lower() if text.isascii() else lowered(composed(text))
         if lower.isalpha():
             return self.of_word[lower]
-        if lower[:-1].isalpha():  # letters and one other character, which stands alone
+        if lower[:-1].isalpha() and lower[-1].isascii():  # letters and one mark or digit, which stands alone
             return self.of_word[lower[:-1]] + self.of_word[lower[-1]]
         words = self.words_older if not lower.isascii() and _NEWER_LETTER.search(lower) else self.words
         return b"".join([self.of_word[m[0]] for m in words.finditer(lower)])
