@@ -2,7 +2,7 @@
 
 Paragraphs are of two kinds. A text's own are its lines of WORDS words or more. As a passage may also be
 set into the middle of a line, every text is further cut at content-defined places: the least 5-word
-shingle of each REACH consecutive ones opens a paragraph of WORDS words. Any passage of REACH + WORDS - 1
+shingle of each REACH consecutive ones opens a window of WORDS words. Any passage of REACH + WORDS - 1
 = 50 words holds a whole one, at the same words in each copy, wherever the copies stand.
 
 Lines are banded: BANDS x ROWS makes a pair of Jaccard 0.8 meet in a band with probability 0.997. Equal
@@ -12,11 +12,15 @@ classes of all its bands that still hold several components are dealt into chunk
 each pair of chunks is one task, as in op3. So each pair that meets in a band is either verified or in one
 component already. Components of verified pairs are clusters.
 
-Paragraphs of the second kind have one band, which all their near pairs share. They open with the same
-shingle, so they are aligned; of their 22 shingles a word changed within takes 3 to 5, which is 19 of 25 at
-best and below 0.8, a change of the last two words 2 at most, which is 20 of 24 at worst. Thus two of them
-have a Jaccard of 0.8 or more if and only if their first SURE = 24 words are equal: that is the band, and
-who shares it needs no further proof.
+Windows have bands that miss nothing. Two windows of 22 different shingles have a Jaccard of 0.8 or more if and
+only if they share 20 shingles, and as a word changed within a window takes 3 to 5 of them, these are the shingles
+of one run of SURE = 24 words, which lies at word 0, 1 or 2 of each. So a window has three bands, its
+three runs, and two windows that share one, whether they open at the same word or two words apart, have
+20 of at most 24 shingles in common and need no further proof. With some shingles twice this still holds while
+SURELY = 18 of a window's 22 differ (16 of 20 then); a window of fewer is its own band, so that only equal ones meet. A
+run counts once at each place, so that windows that overlap don't repeat each other. All windows that share a
+run are one cluster with the least of their first runs, so nothing is paired; components join first runs that
+other runs tie together.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm import textbuf as tb
@@ -35,7 +39,7 @@ from parley.llm.minhash import TILE, dealt
 from parley.llm.spread import dealt_join
 
 SHINGLE, WORDS, REACH = 5, 26, 25
-SURE = 24
+SURE, SURELY = 24, 18
 BANDS, ROWS = 8, 3
 PERCENT = 80
 BROADCAST_ROWS = 1_000_000
@@ -85,43 +89,97 @@ def _openings(g: np.ndarray, inside: np.ndarray) -> np.ndarray:
     return at[before <= 0]
 
 
-def _paragraphs(texts: pa.Array, lines_only: bool = False) -> Iterator[tuple]:
-    """Of runs of rows: the paragraphs' row, first word in it, words, content hash; shingle ranges of the
-    lines among them, which come first; and the shingles."""
+def _prepared(texts: pa.Array) -> Iterator[tuple]:
+    """Of runs of rows: first row, bytes, word fingerprints, their starts, at which word each row begins, shingles."""
     data, offsets = tb.column(texts)
     for lo, hi in tb.slices(offsets):
         h, s, _, rows = tb.words(data, offsets[lo : hi + 1])
-        g = _shingles(h)
-        first, last = _lines(data[offsets[lo] : offsets[hi]], h, s, rows) if len(s) else (np.zeros(0, int),) * 2
+        yield lo, data[offsets[lo] : offsets[hi]], h, s, rows, _shingles(h)
+
+
+def _line_units(texts: pa.Array) -> Iterator[tuple]:
+    """Of runs of rows: the lines' row, first word in it, words, content hash, shingle ranges; and the shingles."""
+    for lo, data, h, s, rows, g in _prepared(texts):
+        first, last = _lines(data, h, s, rows) if len(s) else (np.zeros(0, int),) * 2
         sums = np.concatenate([[0], np.cumsum(tb.mix(g + tb.U(1)))]).astype(tb.U)
-        line_key = tb.mix((sums[last - SHINGLE + 1] - sums[first]) ^ (last - first).astype(tb.U))
+        key = tb.mix((sums[last - SHINGLE + 1] - sums[first]) ^ (last - first).astype(tb.U))
+        row = np.searchsorted(rows, first, "right") - 1
+        yield row + lo, first - rows[row], last - first, key, first, last - SHINGLE + 1, g
+
+
+def _few(g: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether fewer than SURELY of the shingles of the window at each place differ."""
+    k = WORDS - SHINGLE + 1
+    again = np.zeros(len(g), bool)
+    for d in range(1, k):
+        again[d:] |= g[d:] == g[:-d]
+    seen = np.concatenate([[0], np.cumsum(again)])
+    few = seen[at + k] - seen[at] > k - SURELY  # some may stand before the window only
+    if few.any():
+        own = np.sort(g[at[few][:, None] + np.arange(k)], 1)
+        few[few] = 1 + (own[:, 1:] != own[:, :-1]).sum(1) < SURELY
+    return few
+
+
+def _window_units(texts: pa.Array) -> Iterator[tuple]:
+    """Of runs of rows: of each run of each window the window's row, its first word in it, its first run's key, the run's key, and
+    whether the run stands there for the first time."""
+    for lo, _, h, _, rows, g in _prepared(texts):
         at = np.zeros(0, int)
-        if len(g) >= REACH and not lines_only:
+        if len(g) >= REACH:
             inside = np.ones(len(g) - REACH + 1, bool)
-            for end in rows[1:-1].tolist():  # windows that reach into the next row
+            for end in rows[1:-1].tolist():  # stretches that reach into the next row
                 inside[max(0, end - REACH - SHINGLE + 2) : end] = False
             at = _openings(g, inside)
             at = at[at + WORDS <= rows[np.searchsorted(rows, at, "right")]]
-        key = np.full(len(at), 77, tb.U)
-        for j in (0, 5, 10, 15, SURE - SHINGLE):
-            key = tb.mix(key * tb.U(3) + g[at + j]) if len(at) else key
-        place = np.concatenate([first, at]).astype(int)
-        row = np.searchsorted(rows, place, "right") - 1
-        words = np.concatenate([last - first, np.full(len(at), WORDS)])
-        yield lo, hi, row, place - rows[row], words, np.concatenate([line_key, key]).astype(tb.U), first, last - SHINGLE + 1, g
+        if not len(at):
+            continue
+
+        def key(place: np.ndarray, ends: tuple[int, ...], seed: int) -> np.ndarray:
+            out = np.full(len(place), seed, tb.U)
+            for j in ends:
+                out = tb.mix(out * tb.U(3) + g[place + j])  # noqa: B023
+            return out
+
+        shifts = WORDS - SURE + 1
+        place = (at[:, None] + np.arange(shifts)).ravel()
+        runs = key(place, (0, 5, 10, 15, SURE - SHINGLE), 77)
+        new = np.zeros(len(place), bool)
+        new[np.unique(place, return_index=True)[1]] = True
+        few = np.repeat(_few(g, at), shifts)
+        if few.any():
+            runs = np.where(few, np.repeat(key(at, (0, 5, 10, 15, 20, WORDS - SHINGLE), 79), shifts), runs)
+            new[few] = (np.arange(len(place)) % shifts == 0)[few]
+        row = np.searchsorted(rows, at, "right") - 1
+        per = lambda x: np.repeat(x, shifts)
+        yield per(row + lo), per(at - rows[row]), per(runs[::shifts]), runs, new
+
+
+def _run_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows' runs: key, opens, times."""
+    for batch in batches:
+        for _, _, opens, key, new in _window_units(batch.column(0)):
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(opens.view(np.int64)), pa.array(new.astype(np.int64))], names=["key", "opens", "times"])
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All paragraphs: id, at, n, key."""
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows' runs: id, at, opens, key."""
     for batch in batches:
-        for lo, _, row, at, n, key, *_ in _paragraphs(batch.column(1)):
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + lo)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(key.view(np.int64))], names=["id", "at", "n", "key"])
+        for row, at, opens, key, _ in _window_units(batch.column(1)):
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(opens.view(np.int64)), pa.array(key.view(np.int64))], names=["id", "at", "opens", "key"])
+
+
+def _line_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines: id, at, n, key."""
+    for batch in batches:
+        for row, at, n, key, *_ in _line_units(batch.column(1)):
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(key.view(np.int64))], names=["id", "at", "n", "key"])
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The lines: id, at, key, shingles, bands."""
     for batch in batches:
-        for lo, _, line, at, _, key, a, b, g in _paragraphs(batch.column(1), lines_only=True):
+        for line, at, _, key, a, b, g in _line_units(batch.column(1)):
             bands = np.empty((len(a), BANDS), tb.U)
             ends = np.stack([a, b], 1).ravel()
             padded = np.append(g, tb.U(0))
@@ -133,7 +191,7 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bands[:, i] = band
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(line[: len(a)] + lo)), pa.array(at[: len(a)].astype(np.int32)), pa.array(key[: len(a)].view(np.int64)), pa.array((b - a).astype(np.int32)), lists],
+                [batch.column(0).take(pa.array(line)), pa.array(at.astype(np.int32)), pa.array(key.view(np.int64)), pa.array((b - a).astype(np.int32)), lists],
                 names=["id", "at", "key", "n", "bands"],
             )
 
@@ -141,9 +199,9 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The lines: key, its distinct shingles in order, as bytes."""
     for batch in batches:
-        for _, _, _, _, _, key, a, b, g in _paragraphs(batch.column(1), lines_only=True):
+        for _, _, _, key, a, b, g in _line_units(batch.column(1)):
             sets = [np.unique(g[x:y]).tobytes() for x, y in zip(a.tolist(), b.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(key[: len(a)].view(np.int64)), pa.array(sets, pa.binary())], names=["key", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(sets, pa.binary())], names=["key", "grams"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -185,13 +243,34 @@ def _block(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": cid[x[first]], "b": cid[y[first]]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
 
-def _merged(spans: Column) -> Column:
-    """The union of [start, end) spans, as an ordered array of disjoint ones."""
-    step = lambda acc, s: F.when(
-        (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]),
-        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end")))),
-    ).otherwise(F.concat(acc, F.array(s)))
-    return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<start:int,end:int>>"), step)
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def _union(row: np.ndarray, start: np.ndarray, end: np.ndarray, rows: int) -> tuple[pa.Array, pa.Array]:
+    """Of each row the union of its [start, end) spans, as ordered disjoint ones, and how long they are together."""
+    order = np.lexsort((start, row))
+    row, start, end = row[order].astype(np.int64), start[order].astype(np.int64), end[order].astype(np.int64)
+    wide = int(end.max(initial=0)) + 1
+    reach = np.maximum.accumulate(row * wide + end)  # of all spans so far, which ends in an earlier row don't reach
+    new = np.append(True, row[1:] * wide + start[1:] > reach[:-1])[: len(row)]
+    opens = np.flatnonzero(new)
+    ends = reach[np.append(opens[1:], len(row)) - 1] - row[opens] * wide if len(row) else reach
+    offsets = np.searchsorted(row[opens], np.arange(rows + 1))
+    flat = pa.StructArray.from_arrays([pa.array(start[opens].astype(np.int32)), pa.array(ends.astype(np.int32))], fields=list(_SPANS.value_type))
+    sums = np.append(0, np.cumsum(ends - start[opens]))
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), flat, type=_SPANS), pa.array(sums[offsets[1:]] - sums[offsets[:-1]])
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, spans with again, clusters): id, n_repeated, n_removed, repeated, removed, clusters."""
+    for batch in batches:
+        spans = batch.column(1)
+        row = np.repeat(np.arange(len(spans)), spans.value_lengths().to_numpy(zero_copy_only=False))
+        start, end, again = (x.to_numpy(zero_copy_only=False) for x in spans.flatten().flatten())
+        repeated, n_repeated = _union(row, start, end, len(spans))
+        again = again.astype(bool)
+        removed, n_removed = _union(row[again], start[again], end[again], len(spans))
+        yield pa.RecordBatch.from_arrays([batch.column(0), n_repeated, n_removed, repeated, removed, batch.column(2)], names=["id", "n_repeated", "n_removed", "repeated", "removed", "clusters"])
 
 
 def repeated(docs: DataFrame, text: str = "text", id: str = "doc_id", percent: int = PERCENT, across: bool = False) -> DataFrame:
@@ -208,10 +287,17 @@ def repeated(docs: DataFrame, text: str = "text", id: str = "doc_id", percent: i
     small_batches(docs.sparkSession)
     source = docs.filter(F.col(id).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text"))
     kind = docs.schema[id].dataType.simpleString()
-    units = source.mapInArrow(_units, f"id {kind}, at int, n int, key long")
     # Classes with several members. Members are counted before the shuffle, so a hot passage is a row a task.
+    own_names = ("copies", "first", "last")
     own = (F.count("*").alias("copies"), F.min(F.struct("id", "at")).alias("first"), F.max("id").alias("last"))
-    exact = cut(units.groupBy("key").agg(*own).filter("copies > 1"))
+
+    # Runs that stand at several places, with the least first run of the windows that hold them; and these windows.
+    keys = source.select("text").mapInArrow(_run_keys, "key long, opens long, times long")
+    runs = cut(keys.groupBy("key").agg(F.sum("times").alias("held"), F.min("opens").alias("least")).filter("held > 1"))
+    places = source.mapInArrow(_runs, f"id {kind}, at int, opens long, key long")
+    windows = cut(dealt_join(places, runs.drop("held"), "key", runs.select("key", "held"), F.struct("id", "at")).select("id", "at", "opens", "least"))
+    tied = components(windows.filter("opens <> least").select(F.col("opens").alias("a"), F.col("least").alias("b")).distinct())
+    release(docs.sparkSession)
 
     lines = source.mapInArrow(_banded, f"id {kind}, at int, key long, n int, bands array<long>")
     lines = cut(lines.groupBy("key").agg(*own, F.first("n").alias("n"), F.first("bands").alias("bands")))
@@ -251,26 +337,22 @@ def repeated(docs: DataFrame, text: str = "text", id: str = "doc_id", percent: i
     release(docs.sparkSession)
 
     # All classes, each with its cluster's first place; then the rows of a class need nothing but their class.
-    root = root.withColumnsRenamed({"node": "key", "root": "cluster"})
-    class_of = ("key", "copies", "first", "last")
-    classes = cut(lines.select(*class_of).join(root, "key").union(exact.select(*class_of).join(root, "key", "left_anti").withColumn("cluster", F.col("key"))))
+    found = lines.select("key", *own_names).join(root.withColumnsRenamed({"node": "key", "root": "cluster"}), "key", "left").filter("copies > 1 OR cluster IS NOT NULL")
+    opened = windows.withColumnRenamed("opens", "key").groupBy("key").agg(*own).join(tied.withColumnsRenamed({"node": "key", "root": "cluster"}), "key", "left")
+    classes = cut(found.union(opened.select(*found.columns)).withColumn("cluster", F.coalesce("cluster", "key")))
     stats = classes.groupBy("cluster").agg(F.min("key").alias("number"), F.min("first").alias("opening"), F.max("last").alias("last"), F.count("*").alias("held"))
     if across:
         stats = stats.filter(F.col("opening.id") != F.col("last"))
     stats = cut(stats.drop("last"))
     named = dealt_join(classes.drop("last"), stats.drop("held"), "cluster", stats.select("cluster", "held"), F.col("key"))
     named = cut(named.select("key", "copies", "opening", F.col("number").alias("cluster")))
+    units = source.mapInArrow(_line_places, f"id {kind}, at int, n int, key long").union(windows.select("id", "at", F.lit(WORDS), F.col("opens")))
     marked = dealt_join(units, named.drop("copies"), "key", named.select("key", F.col("copies").alias("held")), F.struct("id", "at")).select(
-        "id", "cluster", F.struct(F.col("at").alias("start"), (F.col("at") + F.col("n")).alias("end")).alias("span"),
-        (F.struct("id", "at") != F.col("opening")).alias("again"),
-    )
-    by_doc = marked.groupBy("id").agg(
-        _merged(F.collect_list("span")).alias("repeated"),
-        _merged(F.collect_list(F.when(F.col("again"), F.col("span")))).alias("removed"),
-        F.array_sort(F.collect_set("cluster")).alias("clusters"),
+        "id", "cluster", F.struct(F.col("at").alias("start"), (F.col("at") + F.col("n")).alias("end"), (F.struct("id", "at") != F.col("opening")).alias("again")).alias("span"),
     )
-    words = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return by_doc.select(F.col("id").alias(id), words("repeated").alias("n_repeated"), words("removed").alias("n_removed"), "repeated", "removed", "clusters")
+    by_doc = marked.groupBy("id").agg(F.collect_set("span").alias("spans"), F.array_sort(F.collect_set("cluster")).alias("clusters"))
+    span = "array<struct<start:int,end:int>>"
+    return by_doc.mapInArrow(_united, f"id {kind}, n_repeated long, n_removed long, repeated {span}, removed {span}, clusters array<long>").withColumnRenamed("id", id)
 
 
 def op10_passages(spark, sf_dir):

@@ -1,6 +1,7 @@
 """op10: every repeated passage of 50 words is found wherever it stands; near lines; clean documents."""
 
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -55,7 +56,9 @@ def test_family(spark):
 
 
 def plainly(texts, across=False):
-    """By document the covered words, those of them to remove, and the clusters as sets of places: all pairs compared."""
+    """By document the covered words, those of them to remove, and the clusters as sets of places: all pairs of lines and all
+    pairs of windows compared by the Jaccard of their shingle sets; windows of a text that open within two words of
+    each other are one place, and those of hardly any shingles are compared as they are."""
     lines, windows = {}, {}
     for i, text in texts.items():
         place = 0
@@ -70,7 +73,7 @@ def plainly(texts, across=False):
         opens = {min(range(j, j + 25), key=lambda p: (g[p], p)) for j in range(len(g) - 24)}
         for at in opens:
             if at + 26 <= len(h):
-                windows.setdefault(tuple(h[at : at + 24].tolist()), []).append((i, at, 26))
+                windows[i, at, 26] = tuple(g[at : at + 22])
     parent = {}
 
     def find(x):
@@ -78,9 +81,19 @@ def plainly(texts, across=False):
             x = parent[x]
         return x
 
-    for members in windows.values():
-        for m in members:
-            parent[find(("w", *m))] = find(("w", *members[0]))
+    holding, seen = {}, {}
+    for p, a in windows.items():
+        own = set(a)
+        if len(own) < 18:  # of hardly any shingles: only equal ones meet
+            parent_of = seen.setdefault(a, p)
+            if parent_of != p:
+                parent[find(("w", *p))] = find(("w", *parent_of))
+            continue
+        for q, c in Counter(q for x in own for q in holding.get(x, ())).items():
+            if 100 * c >= 80 * (len(own) + len(set(windows[q])) - c) and not (p[0] == q[0] and abs(p[1] - q[1]) <= 2):
+                parent[find(("w", *p))] = find(("w", *q))
+        for x in own:
+            holding.setdefault(x, []).append(p)
     every = list(lines.items())
     for n, (p, a) in enumerate(every):
         find(("l", *p))
@@ -138,6 +151,42 @@ def test_within_and_across(spark, monkeypatch):
         same_as_plain(got, texts, across)
 
 
+def test_windows(spark):
+    """34 words that pairs of texts share, and a word or two at their ends changed: every near pair of windows is found."""
+    rng = random.Random(13)
+    texts = {}
+    for i in range(400):
+        p = fresh(rng, 34)
+        for doc in (2 * i, 2 * i + 1):
+            q = list(p)
+            if i % 4 == doc % 2:
+                q[0 if i % 8 < 4 else -1] = fresh(rng, 1)[0]
+            texts[doc] = " ".join(fresh(rng, rng.randint(0, 40)) + q + fresh(rng, rng.randint(0, 40)))
+    got = found(spark, texts)
+    assert len(got) > 400
+    same_as_plain(got, texts)
+
+
+def test_hardly_any_shingles(spark):
+    """Windows of few different shingles: equal ones meet, others don't by a run that proves nothing."""
+    rng = random.Random(14)
+    tail = lambda: fresh(rng, 40)
+    texts = {i: " ".join(["la"] * n + tail()) for i, n in enumerate((0, 10, 30, 60, 61, 200))} | {9: "la " * 100_000}
+    got = found(spark, texts)
+    assert set(got) >= {3, 4, 5, 9} and not set(got) & {0, 1}
+
+
+def test_many_spans(spark):
+    """32,000 repeats in one text, apart from each other."""
+    rng = random.Random(15)
+    line = " ".join(fresh(rng, 30))
+    texts = {1: "\n".join(f"{line}\n{' '.join(fresh(rng, 8))}" for _ in range(32_000)), 2: line}
+    began = time.time()
+    got = found(spark, texts)
+    assert len(got[1].repeated) == 32_000 and len(got[1].removed) >= 31_999 and got[2].n_removed == 30
+    print("seconds", time.time() - began)
+
+
 def test_recall(spark):
     """Pairs of lines whose Jaccard is 0.80 to 0.85: at least 0.99 of them meet."""
     rng = random.Random(11)
