@@ -122,8 +122,8 @@ def _few(g: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _window_units(texts: pa.Array) -> Iterator[tuple]:
-    """Of runs of rows: of each run of each window the window's row, its first word in it, its first run's key, the run's key, and
-    whether the run stands there for the first time."""
+    """Of runs of rows: of each run of each window the window's row, its first word in it, its first run's key, the run's key,
+    whether no window before it has this run, and whether the row has an equal one before."""
     for lo, _, h, _, rows, g in _prepared(texts):
         at = np.zeros(0, int)
         if len(g) >= REACH:
@@ -146,27 +146,28 @@ def _window_units(texts: pa.Array) -> Iterator[tuple]:
         runs = key(place, (0, 5, 10, 15, SURE - SHINGLE), 77)
         new = np.zeros(len(place), bool)
         new[np.unique(place, return_index=True)[1]] = True
-        few = np.repeat(_few(g, at), shifts)
-        if few.any():
-            runs = np.where(few, np.repeat(key(at, (0, 5, 10, 15, 20, WORDS - SHINGLE), 79), shifts), runs)
-            new[few] = (np.arange(len(place)) % shifts == 0)[few]
+        few = _few(g, at)
+        runs[np.flatnonzero(few) * shifts] = key(at[few], (0, 5, 10, 15, 20, WORDS - SHINGLE), 79)
+        held = np.repeat(~few, shifts) | (np.arange(len(place)) % shifts == 0)
+        of = np.repeat(np.arange(len(at)), shifts)[held]
+        place, runs, new = place[held], runs[held], new[held] | np.repeat(few, shifts)[held]
         row = np.searchsorted(rows, at, "right") - 1
-        per = lambda x: np.repeat(x, shifts)
-        yield per(row + lo), per(at - rows[row]), per(runs[::shifts]), runs, new
+        order = np.lexsort((place, runs, row[of]))
+        there, same = place[order], (runs[order][1:] == runs[order][:-1]) & (row[of][order][1:] == row[of][order][:-1])
+        # A place may be in three windows; it comes later if its first mention does.
+        mention = np.append(True, ~same | (there[1:] != there[:-1]))
+        again = np.zeros(len(place), bool)
+        again[order] = np.append(False, same)[np.maximum.accumulate(np.where(mention, np.arange(len(order)), 0))]
+        yield row[of] + lo, (at - rows[row])[of], runs[np.flatnonzero(np.append(True, of[1:] != of[:-1]))][of], runs, new, again
 
 
-def _run_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows' runs: key, opens, times."""
+def _runs(batches: Iterator[pa.RecordBatch], places: bool) -> Iterator[pa.RecordBatch]:
+    """The windows' runs: id, opens, key, and how often they count; or with their windows' places, and whether they stand in the text before."""
     for batch in batches:
-        for _, _, opens, key, new in _window_units(batch.column(0)):
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(opens.view(np.int64)), pa.array(new.astype(np.int64))], names=["key", "opens", "times"])
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows' runs: id, at, opens, key."""
-    for batch in batches:
-        for row, at, opens, key, _ in _window_units(batch.column(1)):
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(opens.view(np.int64)), pa.array(key.view(np.int64))], names=["id", "at", "opens", "key"])
+        for row, at, opens, key, new, again in _window_units(batch.column(1)):
+            columns = {"id": batch.column(0).take(pa.array(row)), "opens": pa.array(opens.view(np.int64)), "key": pa.array(key.view(np.int64))}
+            columns |= {"at": pa.array(at.astype(np.int32)), "again": pa.array(again)} if places else {"times": pa.array(new.astype(np.int64))}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def _line_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +278,7 @@ def repeated(docs: DataFrame, text: str = "text", id: str = "doc_id", percent: i
     """doc_id, n_repeated, n_removed, repeated, removed, clusters for every document that repeats a passage.
 
     repeated: disjoint spans (start, end: words from 0, ends exclusive) that stand elsewhere too; removed:
-    those of them that aren't the first of their cluster, by id, then place. n_*: words in them. clusters:
+    the lines among them that aren't the first of their cluster, and the windows that one before, by id, then place, is near to. n_*: words in them. clusters:
     the clusters' numbers, equal in all documents that share one. A passage
     that one document repeats within itself counts too, unless across is True. Passages of 50
     words or more are found, and lines of WORDS words or more; shorter repeats are left alone. Null and
@@ -292,10 +293,11 @@ def repeated(docs: DataFrame, text: str = "text", id: str = "doc_id", percent: i
     own = (F.count("*").alias("copies"), F.min(F.struct("id", "at")).alias("first"), F.max("id").alias("last"))
 
     # Runs that stand at several places, with the least first run of the windows that hold them; and these windows.
-    keys = source.select("text").mapInArrow(_run_keys, "key long, opens long, times long")
-    runs = cut(keys.groupBy("key").agg(F.sum("times").alias("held"), F.min("opens").alias("least")).filter("held > 1"))
-    places = source.mapInArrow(_runs, f"id {kind}, at int, opens long, key long")
-    windows = cut(dealt_join(places, runs.drop("held"), "key", runs.select("key", "held"), F.struct("id", "at")).select("id", "at", "opens", "least"))
+    every = source.mapInArrow(lambda it: _runs(it, False), f"id {kind}, opens long, key long, times long")
+    runs = cut(every.groupBy("key").agg(F.sum("times").alias("held"), F.min("opens").alias("least"), F.min("id").alias("owner")).filter("held > 1"))
+    places = source.mapInArrow(lambda it: _runs(it, True), f"id {kind}, opens long, key long, at int, again boolean")
+    windows = dealt_join(places, runs.drop("held"), "key", runs.select("key", "held"), F.struct("id", "at"))
+    windows = cut(windows.select("id", "at", "opens", "least", (F.col("again") | (F.col("id") != F.col("owner"))).alias("again")))
     tied = components(windows.filter("opens <> least").select(F.col("opens").alias("a"), F.col("least").alias("b")).distinct())
     release(docs.sparkSession)
 
@@ -346,9 +348,11 @@ def repeated(docs: DataFrame, text: str = "text", id: str = "doc_id", percent: i
     stats = cut(stats.drop("last"))
     named = dealt_join(classes.drop("last"), stats.drop("held"), "cluster", stats.select("cluster", "held"), F.col("key"))
     named = cut(named.select("key", "copies", "opening", F.col("number").alias("cluster")))
-    units = source.mapInArrow(_line_places, f"id {kind}, at int, n int, key long").union(windows.select("id", "at", F.lit(WORDS), F.col("opens")))
+    units = source.mapInArrow(_line_places, f"id {kind}, at int, n int, key long").withColumn("again", F.lit(None).cast("boolean"))
+    units = units.union(windows.select("id", "at", F.lit(WORDS), "opens", "again"))
+    again = F.coalesce("again", F.struct("id", "at") != F.col("opening"))
     marked = dealt_join(units, named.drop("copies"), "key", named.select("key", F.col("copies").alias("held")), F.struct("id", "at")).select(
-        "id", "cluster", F.struct(F.col("at").alias("start"), (F.col("at") + F.col("n")).alias("end"), (F.struct("id", "at") != F.col("opening")).alias("again")).alias("span"),
+        "id", "cluster", F.struct(F.col("at").alias("start"), (F.col("at") + F.col("n")).alias("end"), again.alias("again")).alias("span"),
     )
     by_doc = marked.groupBy("id").agg(F.collect_set("span").alias("spans"), F.array_sort(F.collect_set("cluster")).alias("clusters"))
     span = "array<struct<start:int,end:int>>"

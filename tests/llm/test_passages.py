@@ -81,16 +81,18 @@ def plainly(texts, across=False):
             x = parent[x]
         return x
 
-    holding, seen = {}, {}
-    for p, a in windows.items():
+    holding, seen, later = {}, {}, set()
+    for p, a in sorted(windows.items()):
         own = set(a)
         if len(own) < 18:  # of hardly any shingles: only equal ones meet
             parent_of = seen.setdefault(a, p)
             if parent_of != p:
+                later.add(p)
                 parent[find(("w", *p))] = find(("w", *parent_of))
             continue
         for q, c in Counter(q for x in own for q in holding.get(x, ())).items():
             if 100 * c >= 80 * (len(own) + len(set(windows[q])) - c) and not (p[0] == q[0] and abs(p[1] - q[1]) <= 2):
+                later.add(p)
                 parent[find(("w", *p))] = find(("w", *q))
         for x in own:
             holding.setdefault(x, []).append(p)
@@ -104,13 +106,13 @@ def plainly(texts, across=False):
                     parent[find(("l", *p))] = find(("l", *q))
     clusters = {}
     for x in list(parent):
-        clusters.setdefault(find(x), []).append(x[1:])
+        clusters.setdefault(find(x), []).append((*x[1:], x[0]))
     repeated, removed = {}, {}
     clusters = [sorted(c) for c in clusters.values() if len(c) > 1 and (not across or len({m[0] for m in c}) > 1)]
     for c in clusters:
-        for i, at, n in c:
+        for i, at, n, kind in c:
             repeated.setdefault(i, set()).update(range(at, at + n))
-            if (i, at) != c[0][:2]:
+            if (i, at, n) in later if kind == "w" else (i, at) != c[0][:2]:
                 removed.setdefault(i, set()).update(range(at, at + n))
     return repeated, removed, clusters
 
