@@ -77,6 +77,7 @@ CUES = (
     "tel", "phone", "call", "mobile", "cell", "fax", "email", "mail", "write", "ip", "host", "server", "card", "visa", "account", "iban",
     "token", "secret", "password", "passwd", "pwd", "key", "api_key", "apikey", "access_key", "access_token", "bearer", "credential",
     "commit", "sha", "sha1", "sha256", "md5", "checksum", "digest", "hash", "uuid", "id", "isbn", "order", "invoice", "version",
+    "etag", "integrity", "data", "url", "file", "path", "passphrase", "pass", "pin", "login", "is", "was",
 )
 _AFTER = ("", ":", ".", ",", "=", "#")
 _CLASSES = ("lower", "capital", "upper", "ended", "assign", "symbols", "mixed")
@@ -99,6 +100,8 @@ def _marked_features(w: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
     quad = len(parts) == 4 and all(p.isascii() and p.isdigit() for p in parts)
     letters = sum(c.isalpha() for c in core)
     value = re.split(r"[=:]", core.rstrip("="))[-1].strip(_MARKS)
+    held = "".join(c for c, own in (("l", "[a-z]"), ("u", "[A-Z]"), ("d", "[0-9]"), ("s", r"[^A-Za-z0-9]")) if re.search(own, value))
+    lead = re.match(r"[A-Za-z]{2,5}(?=[-_])", value)
     packed = len(value) >= 16 and re.fullmatch(r"[A-Za-z0-9_+/.~-]+", value) and re.search("[0-9]", value) and re.search("[A-Za-z]", value)
     form = shape(core) if len(d) < 20 and letters < 12 else "big"
     own = (
@@ -108,11 +111,22 @@ def _marked_features(w: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
         f"quad={'no' if not quad else 'byte' if all(len(p) <= 3 and int(p) <= 255 for p in parts) else 'wide'}",
         f"luhn={not letters and 13 <= len(d) <= 19 and luhn(d)}", f"assign={'=' in w or '/' in w}", f"quoted={w[:1] in QUOTES}",
         f"packed={'no' if not packed else 'uuid' if re.fullmatch('[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}', value) else 'hex' if re.fullmatch('[0-9a-fA-F]+', value) else 'wide'}",
+        f"length={_length(len(value))}", f"held={held}", f"held={held} length={_length(len(value))}", f"lead={lead[0].lower() if lead else ''}",
+        f"url={'://' in w or core.startswith(('www.', 'data:'))}", f"slashes={min(core.count('/'), 3)}", f"file={bool(_FILE.search(core))}", f"unders={min(core.count('_'), 3)}",
         f"after={core[: -len(value)].lower() if packed and value and len(core) - len(value) < 20 and core.endswith(value) else ''}",
     )
     return own, (f"shape={form}", f"digits={_count(len(d))}", f"packed={bool(packed)}")
 
 
+#: The end of a file's name.
+_FILE = re.compile(r"[.](?:[A-Za-z][A-Za-z0-9]{1,4}|7z|mp[34])$")
+
+
+def _length(n: int) -> str:
+    """Lengths of values in steps that grow, with those that digests have apart."""
+    return str(n) if n < 13 or n in (32, 40, 64, 128) else f"{n // 4 * 4}+" if n < 48 else "48+"
+
+
 QUOTES = ("\"", "'", "`", "\u201c", "\u00ab")
 
 
@@ -134,22 +148,23 @@ class Types:
             for kind in _CLASSES:
                 self.own.append(("bias", f"class={kind}", f"cue={cue}"))
                 self.near.append((f"class={kind}", f"cue={cue}"))
-        self.fixed, self.marked = len(self.own), {}
+        #: Types of words, and by the features.
+        self.fixed, self.marked, self.by_features = len(self.own), {}, {}
 
     def forget(self) -> bool:
         """Drops the types of words with digits if they are many."""
-        if len(self.own) < REMEMBERED:
+        if len(self.own) < REMEMBERED and len(self.marked) < 2 * REMEMBERED:
             return False
         del self.own[self.fixed :], self.near[self.fixed :]
-        self.marked = {}
+        self.marked, self.by_features = {}, {}
         return True
 
     def of_marked(self, word: str) -> int:
         if (found := self.marked.get(word)) is None:
             own, near = _marked_features(word)
             key = (own, near)
-            if (found := self.marked.get(key)) is None:
-                found = self.marked[key] = len(self.own)
+            if (found := self.by_features.get(key)) is None:
+                found = self.by_features[key] = len(self.own)
                 self.own.append(("bias", *own))
                 self.near.append(near)
             if len(word) <= 64 and len(self.marked) < 2 * REMEMBERED:
@@ -195,7 +210,7 @@ _KIND[[ord(c) for c in ".,;:!?"]] |= 8
 # ---- the labelled table
 
 
-def labelled_rows(n: int = 900, seed: int = 11) -> list[tuple[str, list[tuple[str, int, int]]]]:
+def labelled_rows(n: int = 1600, seed: int = 11) -> list[tuple[str, list[tuple[str, int, int]]]]:
     """Texts and their spans (kind, start, end), made by rule: forms in use, and numbers that are none of them."""
     rng = random.Random(seed)
     num = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
@@ -231,9 +246,47 @@ def labelled_rows(n: int = 900, seed: int = 11) -> list[tuple[str, list[tuple[st
     def secret() -> str:
         value = rng.choice([hexa(39) + num(1), hexa(31) + num(1), wide(32), wide(40), wide(24), f"sk-{wide(32)}", f"ghp_{wide(36)}", f"AKIA{wide(16).upper()}"])
         cue = rng.choice(["token", "secret", "password", "api_key", "key", "access_token", "Token", "API_KEY", "pwd"])
+        if rng.random() < 0.35:
+            value, cue = short(), rng.choice(["password", "Password", "passwd", "pwd", "passphrase", "pass", "login"])
+            return rng.choice([f"{cue}: \0{value}", f"{cue}: \0{value}", f"{cue}=\0{value}", f"{cue} is \0{value}", f"{cue} was \0{value}", f'{cue}: \0"{value}"', f"{cue} \0{value}", f"{cue} = \0{value}"])
         return rng.choice([f'{cue} = \0"{value}"', f'{cue} = \0"{value}"', f"{cue}: \0{value}", f"{cue}=\0{value}", f"Bearer \0{value}", f'{cue}="\0{value}"', f"{cue} \0{value}"])
 
+    def short() -> str:
+        """A password: letters with digits or marks in it."""
+        stem = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 8)))
+        mixed = "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz23456789!$%&*_-+") for _ in range(rng.randint(8, 15))) + num(1) + rng.choice("abcXYZ")
+        return rng.choice([mixed, mixed, stem.capitalize() + num(rng.randint(2, 4)), stem + num(rng.randint(1, 4)) + rng.choice(["", "!", "#", "x", "A"]) + "q", stem[:3] + num(2) + stem[3:].upper()])
+
+    def name() -> str:
+        return "".join(rng.choice("aeinorstlucdm") for _ in range(rng.randint(2, 8)))
+
+    def place() -> str:
+        """What looks packed and is no secret: addresses, paths, files, digests, data."""
+        host, ending = f"{name()}.{rng.choice(['org', 'com', 'net', 'io', 'de'])}", rng.choice(["html", "js", "css", "png", "jpg", "pdf", "zip", "tar.gz", "log", "json", "parquet", "py"])
+        blob = rng.choice([wide(rng.randint(12, 64)), hexa(rng.choice([8, 12, 16, 20, 32, 40])), num(rng.randint(3, 12)), f"{name()}-{num(4)}", f"{name()}{num(2)}"])
+        url = rng.choice(["https://", "http://", "https://www.", "www.", "ftp://"]) + host
+        return rng.choice([
+            f"{url}/{name()}/{blob}", f"{url}/{blob}", f"{url}/{name()}?id={blob}", f"{url}/{name()}/{blob}/{name()}.{ending}", f"{url}/{name()}-{num(4)}/{num(2)}/{blob}", f"{url}:{num(4)}/{name()}?{name()}={num(3)}&{name()}={blob}",
+            f"url: {url}/{blob}", f"see {url}/{blob}#{name()}", f'href="{url}/{blob}"', f"/{name()}/{name()}/{blob}", f"/{name()}/{name()}{num(1)}/{name()}.{ending}", f"./{name()}/{blob}.{ending}", f"C:\\{name()}\\{blob}.{ending}", f"path: /{name()}/{blob}",
+            f"{name()}-{blob}.{ending}", f"{blob}.{ending}", f"{name()}_{blob}.{ending}", f"file {name()}-{blob}.{ending}", f"file: {blob}.{ending}", f"{name()}.{hexa(8)}.{ending}",
+            f'ETag: "{hexa(rng.choice([16, 20, 32, 40]))}"', f'etag: W/"{blob}"', f"ETag: {hexa(32)}", f"integrity sha384-{wide(64)}", f"sha512-{wide(44)}==", f"digest: {hexa(64)}", f"checksum {hexa(rng.choice([8, 32, 40]))}", f"hash {hexa(40)}",
+            f"data {wide(44)}", f"data: {wide(rng.randint(20, 60))}", f"data:image/png;base64,{wide(48)}", wide(44), wide(rng.randint(16, 60)), hexa(rng.choice([16, 24, 32, 40, 64])), f"id {hexa(24)}", f"id: {wide(22)}", f"{name()}: {wide(rng.randint(20, 40))}", f"{name()} = {hexa(16)}",
+            f"{name()}{num(2)}-{name()}-{num(3)}", f"{name()}_{name()}{num(2)}", f"{name().upper()}-{num(5)}", f"#{hexa(6)}", f"0x{hexa(8)}", f"rev {hexa(7)}", f"{hexa(7)}..{hexa(7)}", f"node{num(2)}.{host}", f"{name()}@{num(1)}.{num(2)}.{num(1)}",
+        ])
+
+    def said() -> str:
+        """Names of secrets without one."""
+        cue = rng.choice(["password", "token", "key", "secret", "pwd", "pass", "passphrase", "login"])
+        return rng.choice([
+            f"{cue} {num(1)}", f"{cue} of {num(1)}-{num(2)} letters", f"{cue}: {num(1)} letters", f"{num(4)} {cue}s", f"{cue} {num(2)} of {num(3)}", f"{cue} in 20{num(2)}", f"{cue} (v{num(1)}.{num(1)})", f"{cue} on page {num(2)}", f"{cue} was changed on 20{num(2)}-{num(2)}-{num(2)}",
+            f"{cue} at {num(2)}:{num(2)}", f"{cue} {num(3)}%", f"{cue} is {num(2)} days old", f"{cue} is {num(1)}x longer", f"{cue} is in {name()}{num(1)}.txt", f"reset your {cue} at https://{name()}.org/{name()}?step={num(1)}", f"{cue} store {name()}-{num(2)}", f"{cue} for node{num(2)}", f"{cue} count: {num(4)}",
+        ])
+
     def none() -> str:
+        if rng.random() < 0.5:
+            return place()
+        if rng.random() < 0.25:
+            return said()
         bad = num(15)
         bad += next(c for c in "0123456789" if not luhn(bad + c))
         return rng.choice([
@@ -440,18 +493,24 @@ def trained(table: DataFrame) -> Field:
 def _bounds(word: str, kind: str) -> tuple[int, int]:
     """Without the marks around it; a bracket that opens a number stays. Of a credential what stands behind its name."""
     a, b = 0, len(word)
+    if kind == "secret":
+        bare = word.rstrip(".,;:!?)]}>#*$%&|\"'`\u201d\u00bb")
+        b = len(bare) if len(bare) else b
+        if name := re.match(r"[A-Za-z][\w.-]*[=:]+(?!//)", word[:b]):
+            a = name.end() if name.end() < b else a
+        while a < b and word[a] in "\"'`(<[{\u201c\u00ab":
+            a += 1
+        return a, b
     while a < b and not (word[a].isalnum() or word[a] in "+" or word[a] == "(" and re.match(r"\([0-9]+\)", word[a:])):
         a += 1
     while b > a and not (word[b - 1].isalnum() or word[b - 1] == ")" and re.search(r"\([0-9]+\)$", word[a:b])):
         b -= 1
-    if kind == "secret" and (name := re.match(r"(?s).*[=:][\"'`]?", word[a:b])):
-        a += name.end()
     return a, b
 
 
 _FORM = {
     "email": re.compile(r"[^@\s]+@[^@\s]+"), "ip": re.compile(r"[0-9]+(?:[.\[\]()]+[0-9]+){3}"), "card": re.compile(r"[0-9](?:[\x20.-]?[0-9])+"),
-    "phone": re.compile(r"[+(]?[0-9][\x20().0-9/-]+[0-9]"), "secret": re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9_+/.~=-]{16,}"),
+    "phone": re.compile(r"[+(]?[0-9][\x20().0-9/-]+[0-9]"), "secret": re.compile(r"\S{6,}"),
 }
 
 
