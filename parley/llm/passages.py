@@ -121,9 +121,9 @@ def _few(g: np.ndarray, at: np.ndarray) -> np.ndarray:
     return few
 
 
-def _window_units(texts: pa.Array) -> Iterator[tuple]:
+def _window_units(texts: pa.Array, places: bool) -> Iterator[tuple]:
     """Of runs of rows: of each run of each window the window's row, its first word in it, its first run's key, the run's key,
-    whether no window before it has this run, and whether the row has an equal one before."""
+    whether no window before it has this run, and, if places are asked for, whether the row has an equal one before."""
     for lo, _, h, _, rows, g in _prepared(texts):
         at = np.zeros(0, int)
         if len(g) >= REACH:
@@ -144,27 +144,27 @@ def _window_units(texts: pa.Array) -> Iterator[tuple]:
         shifts = WORDS - SURE + 1
         place = (at[:, None] + np.arange(shifts)).ravel()
         runs = key(place, (0, 5, 10, 15, SURE - SHINGLE), 77)
-        new = np.zeros(len(place), bool)
-        new[np.unique(place, return_index=True)[1]] = True
+        new = (at[:, None] + np.arange(shifts) > np.append(-shifts, at[:-1])[:, None] + shifts - 1).ravel()  # not in the window before
         few = _few(g, at)
         runs[np.flatnonzero(few) * shifts] = key(at[few], (0, 5, 10, 15, 20, WORDS - SHINGLE), 79)
         held = np.repeat(~few, shifts) | (np.arange(len(place)) % shifts == 0)
         of = np.repeat(np.arange(len(at)), shifts)[held]
         place, runs, new = place[held], runs[held], new[held] | np.repeat(few, shifts)[held]
         row = np.searchsorted(rows, at, "right") - 1
-        order = np.lexsort((place, runs, row[of]))
-        there, same = place[order], (runs[order][1:] == runs[order][:-1]) & (row[of][order][1:] == row[of][order][:-1])
-        # A place may be in three windows; it comes later if its first mention does.
-        mention = np.append(True, ~same | (there[1:] != there[:-1]))
         again = np.zeros(len(place), bool)
-        again[order] = np.append(False, same)[np.maximum.accumulate(np.where(mention, np.arange(len(order)), 0))]
+        if places:
+            order = np.argsort(runs, kind="stable")  # rows and places stay in order
+            there, same = place[order], (runs[order][1:] == runs[order][:-1]) & (row[of][order][1:] == row[of][order][:-1])
+            # A place may be in three windows; it comes later if its first mention does.
+            mention = np.append(True, ~same | (there[1:] != there[:-1]))
+            again[order] = np.append(False, same)[np.maximum.accumulate(np.where(mention, np.arange(len(order)), 0))]
         yield row[of] + lo, (at - rows[row])[of], runs[np.flatnonzero(np.append(True, of[1:] != of[:-1]))][of], runs, new, again
 
 
 def _runs(batches: Iterator[pa.RecordBatch], places: bool) -> Iterator[pa.RecordBatch]:
     """The windows' runs: id, opens, key, and how often they count; or with their windows' places, and whether they stand in the text before."""
     for batch in batches:
-        for row, at, opens, key, new, again in _window_units(batch.column(1)):
+        for row, at, opens, key, new, again in _window_units(batch.column(1), places):
             columns = {"id": batch.column(0).take(pa.array(row)), "opens": pa.array(opens.view(np.int64)), "key": pa.array(key.view(np.int64))}
             columns |= {"at": pa.array(at.astype(np.int32)), "again": pa.array(again)} if places else {"times": pa.array(new.astype(np.int64))}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
