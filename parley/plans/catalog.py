@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from parley.plans import analysis, dialogue
+from parley.plans import alignment, analysis, dialogue
 
-_MODULES = (dialogue, analysis)
+_MODULES = (dialogue, analysis, alignment)
 
 
 def queries() -> dict:

@@ -29,14 +29,19 @@ def read_records(spark: SparkSession, root: str, conditions: list[str] | None =
     df = raw.withColumn("file", file)
     if not broken:
         df = df.filter(~F.col("file").contains(".broken"))
+    df = with_defaults(df)
+    return df.filter(F.col("condition").isin(conditions)) if conditions else df
+
+
+def with_defaults(records: DataFrame) -> DataFrame:
+    """Records (with file) whose missing condition, architecture, prompt level and models are filled in."""
     condition = F.coalesce("condition", F.regexp_extract("file", r"([^/]+)/[^/]+$", 1))
-    df = (
-        df.withColumn("condition", condition)
+    return (
+        records.withColumn("condition", condition)
         .withColumn("architecture", F.coalesce("architecture", F.element_at(F.split("condition", "-"), 1)))
         .withColumn("prompt_level", F.coalesce("prompt_level", F.element_at(F.split("condition", "-"), -1)))
         .withColumn("models", F.coalesce("models", F.when(F.col("model").isNotNull(), F.create_map(F.lit("*"), F.col("model")))))
     )
-    return df.filter(F.col("condition").isin(conditions)) if conditions else df
 
 
 def record_turns(records: DataFrame, mode: str = "lenient", min_turns: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
