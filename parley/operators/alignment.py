@@ -50,8 +50,8 @@ def tag(word: Column) -> Column:
 def pairs(turns: DataFrame) -> DataFrame:
     """Turns that follow one of another speaker, with that one's text as prev; also n_turns of the conversation."""
     w = Window.partitionBy("conv_id").orderBy("turn_index")
-    own = turns.withColumns({"prev": F.lag("text").over(w), "__before": F.lag("speaker").over(w), "n_turns": F.count("*").over(Window.partitionBy("conv_id"))})
-    return own.filter("prev IS NOT NULL AND __before IS DISTINCT FROM speaker").drop("__before")
+    own = turns.withColumns({"prev": F.lag("text").over(w), "__before": F.lag("speaker").over(w), "__first": F.lag(F.lit(True)).over(w).isNull(), "n_turns": F.count("*").over(Window.partitionBy("conv_id"))})
+    return own.filter("NOT __first AND __before IS DISTINCT FROM speaker").drop("__before", "__first")
 
 
 def ngram_alignment(turns: DataFrame, lemma: Callable[[Column], Column] = lemma, tag: Callable[[Column], Column] = tag) -> DataFrame:

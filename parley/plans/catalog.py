@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from parley.plans import alignment, analysis, dialogue
+from parley.plans import alignment, analysis, dialogue, events
 
-_MODULES = (dialogue, analysis, alignment)
+_MODULES = (dialogue, analysis, alignment, events)
 
 
 def queries() -> dict:
