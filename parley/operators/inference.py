@@ -18,8 +18,8 @@ def _p(f, *args: Column) -> Column:
     return F.udf(whole, "double")(*[a.cast("double") for a in args])
 
 
-def moments(rows: DataFrame, group: str, value: str) -> DataFrame:
-    return rows.filter(F.col(value).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.var_samp(value).alias("var"))
+def moments(rows: DataFrame, group: str, value: str, by: list[str] = ()) -> DataFrame:
+    return rows.filter(F.col(value).isNotNull()).groupBy(*by, group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.var_samp(value).alias("var"))
 
 
 def against(stats: DataFrame, group: str, baseline: str) -> DataFrame:
@@ -41,37 +41,72 @@ def welch(rows: DataFrame, group: str, value: str, baseline: str) -> DataFrame:
     return out.withColumn("p", _p(special.t_two_sided, F.col("t"), F.col("df"))).select(group, "n", "n0", "t", "df", "p", "d")
 
 
-def mean_ranks(rows: DataFrame, value: str, within: list[str] | None = None, name: str = "rank") -> DataFrame:
-    """Adds mean ranks, equal values sharing theirs. Values are counted first and ranked as distinct values, so
-    what is sorted are distinct values and not rows."""
-    by = within or []
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__t"))
-    before = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn(name, F.coalesce(F.sum("__t").over(before), F.lit(0)) + (F.col("__t") + 1) / 2)
-    return rows.join(ranks.withColumnRenamed("__t", name + "_ties"), [*by, value])
-
-
-def mann_whitney(rows: DataFrame, group: str, value: str, baseline: str) -> DataFrame:
-    """group, n, n0, U, p: two-sided, each group against the baseline, ranks within each comparison."""
-    own = rows.select(group, F.col(value).alias("v")).filter("v is not null")
-    others = own.filter(F.col(group) != baseline).select(F.col(group).alias("pair"), F.lit(1).alias("own"), "v")
-    names = others.select("pair").distinct()  # as many as there are groups
-    base = own.filter(F.col(group) == baseline).crossJoin(F.broadcast(names)).select("pair", F.lit(0).alias("own"), "v")
-    ranked = mean_ranks(others.union(base), "v", ["pair"])
-    t = F.col("rank_ties")
-    s = ranked.groupBy(F.col("pair").alias(group)).agg(
-        F.sum("own").alias("n"), F.sum(1 - F.col("own")).alias("n0"), F.sum(F.when(F.col("own") == 1, F.col("rank"))).alias("r"), F.sum(t * t - 1).cast("double").alias("ties"),
+def _place(value: Column) -> Column:
+    """A whole number that grows with the value: sign, exponent and 8 bits below it. So values are told into places of
+    1/256 of their size, the same wherever and whenever it is computed."""
+    size = F.abs(value)
+    exponent = F.floor(F.log2(size))
+    own = (exponent + 1100) * 256 + F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * 256) + 1
+    whole = F.when(value == 0, 0).when(size == float("inf"), 1 << 30).otherwise(own)
+    return F.when(F.isnan(value), 1 << 31).otherwise(F.when(value < 0, -whole).otherwise(whole)).cast("long")
+
+
+def _below(counts: DataFrame, value: str, n: str, within: list[str], below: str, equal: str) -> DataFrame:
+    """counts with how many of n there are below each row's value, and at it, within; rows may share a value.
+
+    Sums run over the rows of a place of values, and over the places, which are counted first: so no window has all values of
+    a comparison, and the rows themselves take no part.
+    """
+    placed = counts.withColumn("__place", _place(F.col(value).cast("double")))
+    at = Window.partitionBy(*within, "__place")
+    held = placed.groupBy(*within, "__place").agg(F.sum(n).alias("__held"))
+    before = F.sum("__held").over(Window.partitionBy(*within).orderBy("__place").rowsBetween(Window.unboundedPreceding, -1))
+    held = held.select(*[F.col(c).alias(f"__{c}") for c in within], F.col("__place").alias("__there"), F.coalesce(before, F.lit(0)).alias("__before"))
+    same = F.col("__place") == F.col("__there")
+    for c in within:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    out = placed.withColumns({equal: F.sum(n).over(Window.partitionBy(*within, "__place", value)), "__upto": F.sum(n).over(at.orderBy(value))})
+    return out.join(held, same).withColumn(below, F.col("__before") + F.col("__upto") - F.col(equal)).drop("__place", "__there", "__before", "__upto", *[f"__{c}" for c in within])
+
+
+def ranked_values(rows: DataFrame, value: str, within: list[str], also: list[str] = (), name: str = "rank") -> DataFrame:
+    """within, also, value, __n, mean rank and ties: values and how often they stand, instead of rows. Ranks are those within."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*within, *also, value).agg(F.count("*").alias("__n"))
+    ranked = _below(counts, value, "__n", within, "__below", f"{name}_ties")
+    return ranked.withColumn(name, F.col("__below") + (F.col(f"{name}_ties") + 1) / 2).drop("__below")
+
+
+def mann_whitney(rows: DataFrame, group: str, value: str, baseline: str, by: list[str] = ()) -> DataFrame:
+    """by, group, n, n0, U, p: two-sided, each group against the baseline, each value of by apart.
+
+    U adds, over a group's values, the baseline's values below and half of those equal; ties are the baseline's, and what a group changes in
+    them. So the baseline's values are summed up once for all groups.
+    """
+    by = list(by)
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, group, F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    is_base = F.col(group) == baseline
+    known = _below(counts.withColumn("m", F.when(is_base, F.col("n")).otherwise(0)), "v", "m", by, "less", "same")
+    tied = lambda t: (t * t * t - t).cast("double")
+    sums = known.groupBy(*by, group).agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("less") + F.col("same") / 2)).alias("U"), F.sum(tied(F.col("n") + F.col("same")) - tied(F.col("same"))).alias("more"), F.sum(tied(F.col("n"))).alias("own"),
     )
-    s = s.filter("n > 0 and n0 > 0").withColumn("U", F.col("r") - F.col("n") * (F.col("n") + 1) / 2)
-    p = _p(lambda u, n, m, ties: special.mann_whitney(u, int(n), int(m), ties), F.col("U"), F.col("n"), F.col("n0"), F.col("ties"))
-    return s.withColumn("p", p).select(group, "n", "n0", "U", "p")
+    base = sums.filter(is_base).select(*by, F.col("n").alias("n0"), F.col("own").alias("ties0"))
+    others = sums.filter(~is_base)
+    s = others.join(F.broadcast(base), by) if by else others.crossJoin(F.broadcast(base))  # a row for each value of by
+    p = _p(lambda u, n, m, ties: special.mann_whitney(u, int(n), int(m), ties), F.col("U"), F.col("n"), F.col("n0"), F.col("ties0") + F.col("more"))
+    return s.withColumn("p", p).select(*by, group, "n", "n0", "U", "p")
 
 
 def spearman(rows: DataFrame, x: str, y: str, within: list[str]) -> DataFrame:
-    """within, n, rho, p: correlation of mean ranks."""
+    """within, n, rho, p: correlation of mean ranks, from the counts of pairs of values."""
     both = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = mean_ranks(mean_ranks(both, x, within, "rx"), y, within, "ry")
-    out = ranked.groupBy(*within).agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho"))
+    pairs = both.groupBy(*within, x, y).agg(F.count("*").alias("n"))
+    for v, name in ((x, "rx"), (y, "ry")):
+        pairs = pairs.join(ranked_values(both, v, within, name=name).drop("__n", f"{name}_ties"), [*within, v])  # a row a value: where one holds most pairs, those are split
+    n, total = F.col("n"), lambda c: F.sum(F.col("n") * c)
+    s = pairs.groupBy(*within).agg(F.sum(n).alias("N"), *[total(F.col(c)).alias(c) for c in ("rx", "ry")], *[total(F.col(a) * F.col(b)).alias(a + b) for a, b in (("rx", "rx"), ("ry", "ry"), ("rx", "ry"))])
+    spread = lambda a, b: F.col(a + b) - F.col(a) * F.col(b) / F.col("N")
+    out = s.select(*within, F.col("N").alias("n"), F.try_divide(spread("rx", "ry"), F.sqrt(spread("rx", "rx") * spread("ry", "ry"))).alias("rho"))
     t = F.col("rho") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("rho") * F.col("rho")))
     p = F.when(F.abs("rho") >= 1, 0.0).otherwise(_p(special.t_two_sided, t, F.col("n") - 2))
     return out.withColumn("p", F.when(F.col("n") > 2, p))
@@ -79,10 +114,8 @@ def spearman(rows: DataFrame, x: str, y: str, within: list[str]) -> DataFrame:
 
 def kruskal(rows: DataFrame, group: str, value: str, within: list[str]) -> DataFrame:
     """within, H, groups, p with tie correction."""
-    own = rows.filter(F.col(value).isNotNull())
-    ranked = mean_ranks(own, value, within)
-    t = F.col("rank_ties")
-    sums = ranked.groupBy(*within, group).agg(F.count("*").alias("n"), F.sum("rank").alias("r"), F.sum(t * t - 1).cast("double").alias("ties"))
+    ranked, t = ranked_values(rows, value, within, [group]), F.col("rank_ties")
+    sums = ranked.groupBy(*within, group).agg(F.sum("__n").alias("n"), F.sum(F.col("__n") * F.col("rank")).alias("r"), F.sum(F.col("__n") * (t * t - 1)).cast("double").alias("ties"))
     s = sums.groupBy(*within).agg(F.sum("n").alias("N"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("q"), F.sum("ties").alias("ties"), F.count("*").alias("groups"))
     n = F.col("N")
     h = F.try_divide(12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1), 1 - F.col("ties") / (n * n * n - n))
@@ -97,23 +130,24 @@ def closest(means: DataFrame, group: str, value: str, baseline: str, within: lis
     return far.join(best, within).select(*within, group, "distance", "closest")
 
 
-def omnibus(rows: DataFrame, group: str, value: str, baseline: str) -> DataFrame:
-    """value ~ group with the baseline as reference: F, its p, and for each group coefficient, t and p. The
-    reference's coefficient is its mean."""
-    s = moments(rows, group, value)
-    total = s.agg(
+def omnibus(rows: DataFrame, group: str, value: str, baseline: str, by: list[str] = ()) -> DataFrame:
+    """value ~ group with the baseline as reference, each value of by apart: by, F, its p, and for each group coefficient, t and p.
+    The reference's coefficient is its mean."""
+    by = list(by)
+    s = moments(rows, group, value, by)
+    total = s.groupBy(*by).agg(
         F.sum("n").alias("all_n"), F.count("*").alias("k"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand"), F.sum((F.col("n") - 1) * F.coalesce("var", F.lit(0.0))).alias("within"),
         F.max(F.when(F.col(group) == baseline, F.struct("n", "mean"))).alias("base"),
     )
-    between = s.crossJoin(F.broadcast(total.select("grand"))).agg(F.sum(F.col("n") * (F.col("mean") - F.col("grand")) ** 2).alias("between"))
-    one = total.crossJoin(between)  # a row each
-    full = s.crossJoin(F.broadcast(one))
+    beside = lambda a, b: a.join(F.broadcast(b), by) if by else a.crossJoin(F.broadcast(b))  # noqa: E731  b: a row for each value of by
+    between = beside(s, total.select(*by, "grand")).groupBy(*by).agg(F.sum(F.col("n") * (F.col("mean") - F.col("grand")) ** 2).alias("between"))
+    full = beside(s, beside(total, between))
     mse = F.try_divide(F.col("within"), F.col("all_n") - F.col("k"))
     is_base = F.col(group) == baseline
     coef = F.when(is_base, F.col("mean")).otherwise(F.col("mean") - F.col("base.mean"))
     se = F.sqrt(mse * F.when(is_base, 1 / F.col("n")).otherwise(1 / F.col("n") + 1 / F.col("base.n")))
     out = full.withColumns({"F": F.try_divide(F.col("between") / (F.col("k") - 1), mse), "df1": F.col("k") - 1, "df2": F.col("all_n") - F.col("k"), "coef": coef, "t": F.try_divide(coef, se)})
-    return out.withColumns({"p": _p(special.t_two_sided, F.col("t"), F.col("df2")), "p_F": _p(special.f_upper, F.col("F"), F.col("df1"), F.col("df2"))}).select(group, "F", "df1", "df2", "p_F", "coef", "t", "p")
+    return out.withColumns({"p": _p(special.t_two_sided, F.col("t"), F.col("df2")), "p_F": _p(special.f_upper, F.col("F"), F.col("df1"), F.col("df2"))}).select(*by, group, "F", "df1", "df2", "p_F", "coef", "t", "p")
 
 
 def vif(rows: DataFrame, columns: list[str]) -> list[tuple[str, float]]:

@@ -143,11 +143,16 @@ def mann_whitney(spark, sf_dir):
     return inference.mann_whitney(rows, "condition", "words", "SB").drop("p")
 
 
+def _marker_rates(spark, sf_dir):
+    """A row for each conversation and marker, so that all markers are tested in one pass."""
+    rates = F.array(*[F.struct(F.lit(k).alias("marker"), F.col(k).alias("rate")) for k in lx.MARKERS])
+    return _by_conversation(spark, sf_dir).select("condition", F.explode(rates).alias("r")).select("condition", "r.*")
+
+
 def mann_whitney_markers(spark, sf_dir):
     """Rates of each marker; the few-shot conditions would be circular."""
-    rows = _by_conversation(spark, sf_dir).filter("not endswith(condition, 'P2')")
-    tests = [inference.mann_whitney(rows, "condition", k, "SB").drop("p").withColumn("marker", F.lit(k)) for k in lx.MARKERS]
-    return tests[0].union(tests[1]).union(tests[2])
+    rows = _marker_rates(spark, sf_dir).filter("not endswith(condition, 'P2')")
+    return inference.mann_whitney(rows, "condition", "rate", "SB", ["marker"]).drop("p")
 
 
 def _trend(spark, sf_dir):
@@ -173,9 +178,7 @@ def ols_omnibus(spark, sf_dir):
 
 
 def ols_markers(spark, sf_dir):
-    rows = _by_conversation(spark, sf_dir)
-    tests = [inference.omnibus(rows, "condition", k, "SB").drop("p", "p_F").withColumn("marker", F.lit(k)) for k in lx.MARKERS]
-    return _rounded(tests[0].union(tests[1]).union(tests[2]))
+    return _rounded(inference.omnibus(_marker_rates(spark, sf_dir), "condition", "rate", "SB", ["marker"]).drop("p", "p_F"))
 
 
 def few_shot(spark, sf_dir):
