@@ -296,7 +296,7 @@ def repeated(docs: DataFrame, text: str = "text", id: str = "doc_id", percent: i
     every = source.mapInArrow(lambda it: _runs(it, False), f"id {kind}, opens long, key long, times long")
     runs = cut(every.groupBy("key").agg(F.sum("times").alias("held"), F.min("opens").alias("least"), F.min("id").alias("owner")).filter("held > 1"))
     places = source.mapInArrow(lambda it: _runs(it, True), f"id {kind}, opens long, key long, at int, again boolean")
-    windows = dealt_join(places, runs.drop("held"), "key", runs.select("key", "held"), F.struct("id", "at"))
+    windows = dealt_join(places, runs.drop("held"), "key", runs.select("key", "held"), F.struct("id", "at"), hashed=True)
     windows = cut(windows.select("id", "at", "opens", "least", (F.col("again") | (F.col("id") != F.col("owner"))).alias("again")))
     tied = components(windows.filter("opens <> least").select(F.col("opens").alias("a"), F.col("least").alias("b")).distinct())
     release(docs.sparkSession)
@@ -351,7 +351,7 @@ def repeated(docs: DataFrame, text: str = "text", id: str = "doc_id", percent: i
     units = source.mapInArrow(_line_places, f"id {kind}, at int, n int, key long").withColumn("again", F.lit(None).cast("boolean"))
     units = units.union(windows.select("id", "at", F.lit(WORDS), "opens", "again"))
     again = F.coalesce("again", F.struct("id", "at") != F.col("opening"))
-    marked = dealt_join(units, named.drop("copies"), "key", named.select("key", F.col("copies").alias("held")), F.struct("id", "at")).select(
+    marked = dealt_join(units, named.drop("copies"), "key", named.select("key", F.col("copies").alias("held")), F.struct("id", "at"), hashed=True).select(
         "id", "cluster", F.struct(F.col("at").alias("start"), (F.col("at") + F.col("n")).alias("end"), again.alias("again")).alias("span"),
     )
     by_doc = marked.groupBy("id").agg(F.collect_set("span").alias("spans"), F.array_sort(F.collect_set("cluster")).alias("clusters"))
