@@ -107,3 +107,11 @@ def tidy(turns: DataFrame) -> DataFrame:
 def conversation_table(rows: DataFrame) -> DataFrame:
     """Mean words and marker rates of summed turn counts, from tidy rows."""
     return rows.groupBy(*KEYS).agg(F.avg("words").alias("words"), *[(100 * F.sum(k) / F.greatest(F.sum("words"), F.lit(1))).alias(k) for k in lx.MARKERS])
+
+
+def words_chart(conversations: DataFrame, baseline: str = "SB") -> DataFrame:
+    """The frame of the bar chart: of each generated condition n, mean words a turn over conversations and its standard error (null of one), beside the
+    baseline's mean, which is the line across (null without baseline)."""
+    means = conversations.groupBy("condition").agg(F.count("words").alias("n"), F.avg("words").alias("mean_words"), (F.stddev_samp("words") / F.sqrt(F.count("words"))).alias("standard_error"))
+    line = means.agg(F.max(F.when(F.col("condition") == baseline, F.col("mean_words"))).alias("baseline_words"))
+    return means.filter(F.col("condition") != baseline).crossJoin(F.broadcast(line))  # one row

@@ -7,7 +7,6 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +14,7 @@ from pyspark.sql.window import Window
 
 from parley.functions import text as tx
 from parley.operators.turns import joined_text
+from parley.operators.working import kept
 
 VOCABULARY = 12_000
 
@@ -53,6 +53,22 @@ class Tfidf:
         return raw.select("id", "term", (F.col("w") / length).alias("w"))
 
 
+class Given:
+    """Vectors that a model has made elsewhere: a table (text, v array) with one row a text. Texts without one, or with a null or zero
+    vector, have no rows; of several rows of a text any one is taken."""
+
+    name = "given"
+
+    def __init__(self, table: DataFrame):
+        self.table = table.select("text", "v").filter("v IS NOT NULL").dropDuplicates(["text"])
+
+    def fit(self, texts: DataFrame) -> Given:
+        return self
+
+    def encode(self, texts: DataFrame) -> DataFrame:
+        return to_sparse(texts.join(self.table, "text")).filter("w <> 0")
+
+
 def build_embedder(kind: str = "auto", factory: Callable[[], Embedder] | None = None) -> Embedder:
     """tfidf; model, which factory makes and whose errors are raised; auto: the model if it can be made, else TF-IDF."""
     if kind == "tfidf" or kind == "auto" and factory is None:
@@ -183,7 +199,8 @@ def anchoring(turns: DataFrame, embedder: Embedder | None = None, k: int = 5, se
     rows = turns.select("conv_id", "turn_index", topic.alias("topic"), "text", prev.alias("prev")).filter(F.col("prev").isNotNull())
     ctx = rows.select(F.struct("conv_id", "turn_index", F.lit("c").alias("part")).alias("id"), F.col("prev").alias("text"))
     res = rows.select(F.struct("conv_id", "turn_index", F.lit("r").alias("part")).alias("id"), "text")
-    vectors = embedder.fit(ctx.union(res)).encode(ctx.union(res)).select("id.*", "term", "w").persist(StorageLevel.DISK_ONLY)  # used five times
+    vectors = embedder.fit(ctx.union(res)).encode(ctx.union(res)).select("id.*", "term", "w")
+    vectors = kept(vectors)  # used five times
     key = ["conv_id", "turn_index"]
     c, r = (vectors.filter(F.col("part") == p).drop("part") for p in "cr")
     true = c.withColumnRenamed("w", "x").join(r, [*key, "term"]).groupBy(*key).agg(F.sum(F.col("x") * F.col("w")).alias("true"))

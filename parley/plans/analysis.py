@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from parley.functions import lexicon as lx
 from parley.functions import text as tx
 from parley.operators import generation as gen
 from parley.operators import inference, labels, metrics, vectors
+from parley.operators.working import kept
 from parley.plans import dialogue
 from parley.sources import conversations as src
 from parley.sources import sinks
@@ -39,15 +39,16 @@ def tfidf_vocabulary(spark, sf_dir):
     return vectors.Tfidf().fit(_texts(spark, sf_dir)).vocabulary
 
 
-def _members(spark, sf_dir):
+def _members(spark, sf_dir, embedder=None):
     turns = table_turns(spark, sf_dir)
-    v = vectors.conversation_vectors(turns).withColumnRenamed("conv_id", "id").persist(StorageLevel.DISK_ONLY)  # used four times
+    v = vectors.conversation_vectors(turns, embedder).withColumnRenamed("conv_id", "id")
+    v = kept(v)  # used four times
     return turns.select(F.col("conv_id").alias("id"), "condition", "topic").distinct(), v
 
 
-def _ced(spark, sf_dir, groups, least=1):
+def _ced(spark, sf_dir, groups, least=1, embedder=None):
     """Conversations without a topic are in no group by topic."""
-    members, v = _members(spark, sf_dir)
+    members, v = _members(spark, sf_dir, embedder)
     if "topic" in groups:
         members = members.filter("trim(topic) <> ''")
     members = members.select("id", *groups)
@@ -61,6 +62,29 @@ def ced_by_condition(spark, sf_dir):
     return ced.join(F.broadcast(names), "condition")  # a row a condition
 
 
+def _given(spark, sf_dir):
+    """A vector of the embeddings table for each text, as if a model had made it."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    key = F.element_at(F.split("conv_id", "/"), -1).cast("long") * 64 + F.col("turn_index")
+    texts = table_turns(spark, sf_dir).groupBy("text").agg(F.min(key).alias("key"))
+    texts = texts.crossJoin(F.broadcast(e.agg(F.count("*").alias("n"))))  # one row
+    return vectors.Given(texts.join(e.withColumnRenamed("embedding", "v"), F.col("vec_id") == F.col("key") % F.col("n")))
+
+
+def ced_given(spark, sf_dir):
+    """Dispersion of conditions on given vectors of the turns."""
+    return _rounded(_ced(spark, sf_dir, ["condition"], embedder=_given(spark, sf_dir)))
+
+
+def cas_given(spark, sf_dir):
+    """Anchoring of turns on given vectors."""
+    return _rounded(vectors.anchoring(table_turns(spark, sf_dir), _given(spark, sf_dir)))
+
+
+def words_chart(spark, sf_dir):
+    return _rounded(metrics.words_chart(_by_conversation(spark, sf_dir)))
+
+
 def ced_by_topic(spark, sf_dir):
     return _rounded(_ced(spark, sf_dir, ["topic", "condition"], least=2))
 
@@ -389,6 +413,15 @@ SQL = {
 
 
 
+_GIVEN = """, gk AS (SELECT text, min(split_part(conv_id, '/', 2)::BIGINT * 64 + turn_index) % (SELECT count(*) FROM embeddings) AS k FROM turns GROUP BY text)
+, gv AS (SELECT text, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM gk JOIN embeddings ON vec_id = k)
+, vec AS (SELECT id, generate_subscripts(v, 1) AS term, unnest(v) AS w FROM docs JOIN gv USING (text))
+"""
+SQL["ced_given"] = (WITH + _ced_sql("condition", 1) + "SELECT * FROM res").replace(_vectors_sql("docs"), _GIVEN)
+SQL["cas_given"] = (WITH + _CAS + "SELECT * FROM cas").replace(_vectors_sql("docs"), _GIVEN)
+SQL["words_chart"] = WITH + _MOM + "SELECT condition, n, mean AS mean_words, sqrt(var / n) AS standard_error, mean0 AS baseline_words FROM s, b WHERE condition <> 'SB'"
+
+
 def _prompt_sql(kind: str, level: str) -> str:
     """The messages of one form as JSON, the templates filled in by replacing."""
     text = lambda x: "'" + x.replace("'", "''") + "'"
@@ -411,6 +444,7 @@ SQL["prompts"] = "WITH " + _PERSONA_SQL + " SELECT conversation_no, " + ", ".joi
 
 for _name, _columns in {
     "ced_by_condition": '"CED", min_distance, max_distance, mean_nn_distance, min_nn_distance', "ced_by_topic": '"CED", min_distance, max_distance, mean_nn_distance, min_nn_distance',
+    "ced_given": '"CED", min_distance, max_distance, mean_nn_distance, min_nn_distance', "cas_given": "cas_real_similarity, cas_wrong_similarity, cas", "words_chart": "mean_words, standard_error, baseline_words",
     "ced_concat": '"CED", min_distance, max_distance', "group_social": ", ".join(f'"mean_{k}"' for k in labels.GROUPED), "ols_markers": '"F", coef, t',
     "ced_topic_matched": '"CED", mean_nn_distance', "ced_nn": "nn_distance", "ced_embeddings": '"CED", min_distance, max_distance', "nn_embeddings": "nn_distance", "centre_cosine": "cosine", "cas_exact": "cas_real_similarity, cas_wrong_similarity, cas", "cas_conversations": '"CAS"',
 }.items():
@@ -420,7 +454,7 @@ for _name, _columns in {
 QUERIES = {
     f.__name__: f
     for f in (
-        tfidf, tfidf_vocabulary, ced_by_condition, ced_by_topic, ced_topic_matched, ced_nn, ced_concat, group_social, ced_embeddings, nn_embeddings, centre_cosine, cas_exact, cas_sampled, cas_conversations, pca, tidy_rows, welch, mann_whitney, mann_whitney_markers,
+        tfidf, tfidf_vocabulary, ced_given, cas_given, words_chart, ced_by_condition, ced_by_topic, ced_topic_matched, ced_nn, ced_concat, group_social, ced_embeddings, nn_embeddings, centre_cosine, cas_exact, cas_sampled, cas_conversations, pca, tidy_rows, welch, mann_whitney, mann_whitney_markers,
         spearman_trend, kruskal, gradient, ols_omnibus, ols_markers, few_shot, p_values, mixed_model, mixed_by_condition, alignment_model, vif, personas, prompts, targets_todo, tsv_rows, human_turn_files, align_conv, align_sections, stream_roles,
     )
 }
