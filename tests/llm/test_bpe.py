@@ -1,6 +1,7 @@
 """op6: equal to the tokenizers library on odd texts and on whole documents."""
 
 import hashlib
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -59,6 +60,30 @@ def test_every_character(pair):
                 assert own.encode(t) == e.ids, t
 
 
+@pytest.mark.parametrize("before, after", [("ab", ""), ("", "ab"), ("a", "1"), ("é", " é")])
+def test_every_character_beside_letters(pair, before, after):
+    """Of the planes that have any."""
+    own, library = pair
+    every = [*range(0xD800), *range(0xE000, 0x33500), *range(0xE0000, 0xE0200), 0xF0000, 0x10FFFF]
+    texts = [before + chr(i) + after for i in every]
+    for lo in range(0, len(texts), 50_000):
+        part = texts[lo : lo + 50_000]
+        for t, e in zip(part, library.encode_batch(part, add_special_tokens=False)):
+            assert own.encode(t) == e.ids, t
+
+
+def test_random_texts(pair):
+    """100,000 over all planes, mixed with letters, digits, marks and blanks."""
+    own, library = pair
+    rng = random.Random(5)
+    every = [*range(0xD800), *range(0xE000, 0x33500), *range(0xE0000, 0xE0200)]
+    one = lambda: chr(rng.choice(every)) if rng.random() < 0.5 else rng.choice("abcdé 1'!ß")
+    for _ in range(10):
+        texts = ["".join(one() for _ in range(rng.randint(1, 14))) for _ in range(10_000)]
+        for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+            assert own.encode(t) == e.ids, t
+
+
 def test_very_long_text(spark, pair):
     text = "Some words, 12 numbers and É ɐ " * 60_000 + "x" * 20_000
     row = bpe.encoded(spark.createDataFrame([(1, text)], "doc_id long, text string"), bpe.production_path(), keep=["doc_id"], outputs=("n_tokens", "ids_sha256")).first()

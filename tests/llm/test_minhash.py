@@ -70,3 +70,23 @@ def test_components(spark, monkeypatch, local):
     for r in rows:
         groups.setdefault(r.root, set()).add(r.node)
     assert sorted(map(sorted, groups.values())) == [list(range(1, 61)), [200, 201, 202], [300]]
+
+
+def test_recall(spark):
+    """Pairs whose Jaccard is 0.80 to 0.90, apart from each other: all meet."""
+    rng = random.Random(21)
+    texts, n = {}, 0
+    while n < 800:
+        a = [f"w{rng.randrange(10**9)}" for _ in range(rng.randint(60, 200))]
+        b = list(a)
+        for _ in range(rng.randint(1, len(a) // 15)):
+            b[rng.randrange(len(b))] = f"x{rng.randrange(10**9)}"
+        x, y = ({tuple(w[j : j + 2]) for j in range(len(w) - 1)} for w in (a, b))
+        if 0.8 <= len(x & y) / len(x | y) <= 0.9:
+            texts[2 * n], texts[2 * n + 1] = " ".join(a), " ".join(b)
+            n += 1
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    root = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, k=2).collect()}
+    met = sum(root[2 * i] == root[2 * i + 1] for i in range(n))
+    print("recall of near pairs", met, "of", n)
+    assert met >= 0.99 * n and len(set(root.values())) == 2 * n - met
