@@ -91,16 +91,21 @@ def ngram_alignment(turns: DataFrame, lemma: Callable[[Column], Column] = lemma,
     return valued.groupBy(*keys).agg(*measures)
 
 
-def word_vectors(turns: DataFrame, size: int = 32, least: int = 2, window: int = 5, seed: int = 7, iterations: int = 5, partitions: int = 1) -> DataFrame:
+def word_vectors(turns: DataFrame, size: int = 32, least: int = 2, window: int = 5, seed: int = 7, iterations: int = 5, partitions: int | None = None) -> DataFrame:
     """(word, v): vectors of the words that stand least times or more, trained on the turns by skip-grams.
 
     The model, 4 * size bytes a word, is held by the driver while it trains, so least bounds it: a corpus of n words has n / least different
-    ones at most. No word that often: no vectors. A fixed seed and one partition give the same vectors for the same order of rows.
+    ones at most. No word that often: no vectors. So many partitions, by default those of shuffles, train apart and are averaged in each iteration;
+    with one and a fixed seed the same turns give the same vectors.
     """
     from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
 
-    texts = turns.select("conv_id", "turn_index", tx.tokens(F.coalesce("text", F.lit(""))).alias("words")).orderBy("conv_id", "turn_index")
+    texts = turns.select("conv_id", "turn_index", tx.tokens(F.coalesce("text", F.lit(""))).alias("words"))
+    if partitions is None:
+        partitions = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    elif partitions == 1:
+        texts = texts.orderBy("conv_id", "turn_index")
     if texts.select(F.explode("words").alias("w")).groupBy("w").count().filter(F.col("count") >= least).isEmpty():
         return turns.sparkSession.createDataFrame([], "word string, v array<double>")
     model = Word2Vec(vectorSize=size, minCount=least, windowSize=window, seed=seed, maxIter=iterations, numPartitions=partitions, stepSize=0.05, inputCol="words", outputCol="v").fit(texts)

@@ -105,7 +105,7 @@ def test_meaning(spark):
         rng.shuffle(words)
         rows.append((f"c{i // 10}", i % 10, "AB"[i % 2], " ".join(words)))
     schema = "conv_id string, turn_index long, speaker string, text string"
-    vectors = alignment.word_vectors(spark.createDataFrame(rows, schema), size=16, seed=3, iterations=10)
+    vectors = alignment.word_vectors(spark.createDataFrame(rows, schema), size=16, seed=3, iterations=10, partitions=1)
     tests = [("t1", "kitten", "feline"), ("t2", "kitten", "truck"), ("t3", "wagon", "truck"), ("t4", "unknown", "truck"), ("t5", "", "truck")]
     pairs = spark.createDataFrame([(c, i, "AB"[i], t) for c, *two in tests for i, t in enumerate(two)], schema)
     got = {r.conv_id: r.cosine_semanticL for r in alignment.semantic_alignment(pairs, vectors).collect()}
