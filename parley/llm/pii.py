@@ -271,7 +271,7 @@ def labelled_rows(n: int = 1600, seed: int = 11) -> list[tuple[str, list[tuple[s
             f"{name()}-{blob}.{ending}", f"{blob}.{ending}", f"{name()}_{blob}.{ending}", f"file {name()}-{blob}.{ending}", f"file: {blob}.{ending}", f"{name()}.{hexa(8)}.{ending}",
             f'ETag: "{hexa(rng.choice([16, 20, 32, 40]))}"', f'etag: W/"{blob}"', f"ETag: {hexa(32)}", f"integrity sha384-{wide(64)}", f"sha512-{wide(44)}==", f"digest: {hexa(64)}", f"checksum {hexa(rng.choice([8, 32, 40]))}", f"hash {hexa(40)}",
             f"data {wide(44)}", f"data: {wide(rng.randint(20, 60))}", f"data:image/png;base64,{wide(48)}", wide(44), wide(rng.randint(16, 60)), hexa(rng.choice([16, 24, 32, 40, 64])), f"id {hexa(24)}", f"id: {wide(22)}", f"{name()}: {wide(rng.randint(20, 40))}", f"{name()} = {hexa(16)}",
-            f"{name()}{num(2)}-{name()}-{num(3)}", f"{name()}_{name()}{num(2)}", f"{name().upper()}-{num(5)}", f"#{hexa(6)}", f"0x{hexa(8)}", f"rev {hexa(7)}", f"{hexa(7)}..{hexa(7)}", f"node{num(2)}.{host}", f"{name()}@{num(1)}.{num(2)}.{num(1)}",
+            f"{name()}{num(2)}-{name()}-{num(3)}", f"{name()}_{name()}{num(2)}", f"{name().upper()}-{num(5)}", f"#{hexa(6)}", f"0x{hexa(8)}", f"rev {hexa(7)}", f"{hexa(7)}..{hexa(7)}", f"@{name()}_{name()}", f"@{name()}{num(2)}", f"@{name()}", f"node{num(2)}.{host}", f"{name()}@{num(1)}.{num(2)}.{num(1)}",
         ])
 
     def said() -> str:
