@@ -323,7 +323,7 @@ def align_sections(spark, sf_dir):
 
 
 def stream_roles(spark, sf_dir):
-    return stream.to_completion(stream.rates_by_role(stream.turn_stream(spark, sf_dir, "conversations.parquet")), "parley_stream_roles")
+    return stream.to_completion(stream.rates_by_role(stream.turn_stream(spark, stream.table_files(sf_dir, "conversations"), "*")), "parley_stream_roles")
 
 
 # ---- oracles

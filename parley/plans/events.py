@@ -12,6 +12,7 @@ from parley.functions import text as tx
 from parley.operators import metrics, summaries, temporal
 from parley.sources.conversations import TURNS_SQL, table_turns
 from parley.streaming import events as stream
+from parley.streaming import files
 
 DIGITS = 6
 #: Seconds that an as-of match may be old, that a session's rows are apart at most, and of moving frames.
@@ -49,7 +50,7 @@ def event_sessions(spark, sf_dir):
 
 
 def _stream(spark, sf_dir):
-    return stream.event_stream(spark, sf_dir, "events.parquet")
+    return stream.event_stream(spark, files.table_files(sf_dir, "events"), "*")
 
 
 def stream_sessions(spark, sf_dir):

@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from parley.plans import analysis, events
 from parley.sources import conversations as src
 from parley.sources import sinks
 from parley.streaming import files
@@ -83,3 +84,14 @@ def test_stream_batches(spark, tmp_path):
     query = files.each_batch(files.turn_stream(spark, str(tmp_path / "in")), lambda df, n: seen.append((n, df.filter(F.col("role") == "user").count())), str(tmp_path / "ck"))
     query.awaitTermination()
     assert sum(n for _, n in seen) == 2
+
+
+def test_streams_of_table_folders(spark, sf_dir, tmp_path):
+    """A table that is a folder of files streams as one that is a file; names of the files don't matter."""
+    for table in ("conversations", "events"):
+        spark.read.parquet(f"{sf_dir}/{table}.parquet").repartition(3).write.parquet(str(tmp_path / f"{table}.parquet"))
+    for i, file in enumerate(sorted((tmp_path / "conversations.parquet").glob("*.parquet"))):
+        file.rename(file.with_name(f"rows-{i}"))
+    for query in (analysis.stream_roles, events.stream_sessions, events.stream_followed):
+        own, whole = ([tuple(r) for r in query(spark, d).collect()] for d in (str(tmp_path), sf_dir))
+        assert own and sorted(own, key=repr) == sorted(whole, key=repr)
