@@ -9,11 +9,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from parley.functions import text as tx
+from parley.operators.working import kept
 
 #: Closed word classes, each under its tag; what is in none is told by its ending.
 CLASSES = {
@@ -94,40 +98,110 @@ def ngram_alignment(turns: DataFrame, lemma: Callable[[Column], Column] = lemma,
 def word_vectors(turns: DataFrame, size: int = 32, least: int = 2, window: int = 5, seed: int = 7, iterations: int = 5, partitions: int | None = None) -> DataFrame:
     """(word, v): vectors of the words that stand least times or more, trained on the turns by skip-grams.
 
-    The model, 4 * size bytes a word, is held by the driver while it trains, so least bounds it: a corpus of n words has n / least different
-    ones at most. No word that often: no vectors. So many partitions, by default those of shuffles, train apart and are averaged in each iteration;
-    with one and a fixed seed the same turns give the same vectors.
+    Skip-grams are counted, nearer ones for more, as windows of random width count them on average. What training by samples tends to, a
+    factorisation of the pairs' mutual information, is computed on the counts: each iteration multiplies the matrix of its positive values by
+    size vectors a word, and makes those orthonormal. Words and pairs stay rows; the driver sees size * size products of components
+    in each iteration. Neither order nor partitions of the turns matter, but for rounding. The matrix lies in so many partitions, by default those of
+    shuffles. Words without a skip-gram that is more frequent than by chance get no vector; no word that often: no vectors.
     """
-    from pyspark.ml.feature import Word2Vec
-    from pyspark.ml.functions import vector_to_array
-
-    texts = turns.select("conv_id", "turn_index", tx.tokens(F.coalesce("text", F.lit(""))).alias("words"))
     if partitions is None:
         partitions = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    elif partitions == 1:
-        texts = texts.orderBy("conv_id", "turn_index")
-    if texts.select(F.explode("words").alias("w")).groupBy("w").count().filter(F.col("count") >= least).isEmpty():
-        return turns.sparkSession.createDataFrame([], "word string, v array<double>")
-    model = Word2Vec(vectorSize=size, minCount=least, windowSize=window, seed=seed, maxIter=iterations, numPartitions=partitions, stepSize=0.05, inputCol="words", outputCol="v").fit(texts)
-    return model.getVectors().select("word", vector_to_array("vector").alias("v"))
+    matrix = information(*skip_grams(turns, least, window)).repartition(partitions, "other").persist(StorageLevel.DISK_ONLY)
+    hashed = F.array(*[F.xxhash64(F.lit(seed), F.lit(i), "word") / float(1 << 63) for i in range(size)])
+    vectors = kept(matrix.select(F.col("other").alias("word")).distinct().withColumn("v", hashed))
+    for i in range(iterations):
+        near = matrix.join(vectors.select(F.col("word").alias("other"), "v").hint("shuffle_hash"), "other")
+        summed = near.groupBy("word").agg(*[F.sum(F.col("x") * F.get("v", F.lit(k))).alias(f"s{k}") for k in range(size)])
+        vectors = kept(summed.select("word", F.array(*[f"s{k}" for k in range(size)]).alias("v")))
+        vectors = _turned(vectors, _power(_products(vectors, size), -0.5 if i < iterations - 1 else -0.25))  # at last each direction as long as the root of its value
+    vectors = kept(vectors)
+    matrix.unpersist()
+    return vectors
+
+
+def skip_grams(turns: DataFrame, least: int, window: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b, n), a <= b: the words of two places of a turn that lie window places apart at most, of which the nearest count window
+    times and the farthest once; and (word, total) of words that stand least times or more, with their sum of n."""
+    texts = turns.select(tx.tokens(F.coalesce("text", F.lit(""))).alias("words"))
+    frames = texts.filter(F.size("words") > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.slice("words", i, window + 1))).alias("f"))
+    both = frames.select(F.get("f", F.lit(0)).alias("x"), F.posexplode(F.slice("f", 2, window)).alias("d", "y"))
+    grams = kept(both.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum(window - F.col("d")).alias("n")))
+    often = texts.select(F.explode("words").alias("word")).groupBy("word").count().filter(F.col("count") >= least).select("word")
+    totals = grams.select(F.explode(F.array("a", "b")).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("total"))
+    return grams, kept(totals.join(often, "word"))
+
+
+def information(grams: DataFrame, totals: DataFrame) -> DataFrame:
+    """(other, word, x), both ways round: how much more frequent than by chance, as a logarithm, a skip-gram of two words is, where it is. The
+    one word's frequency is smoothed by the power 0.75, as negative samples are drawn, and the mean of both ways is taken."""
+    smoothed = 0.75
+    whole = totals.agg(F.sum(F.pow("total", F.lit(smoothed))).alias("whole"))
+    own = lambda name: totals.select(F.col("word").alias(name), (F.log("total") * ((1 + smoothed) / 2)).alias(f"log_{name}"))
+    count = F.when(F.col("a") == F.col("b"), 2 * F.col("n")).otherwise(F.col("n"))
+    known = grams.join(own("a"), "a").join(own("b"), "b").crossJoin(F.broadcast(whole))  # one row
+    valued = known.select("a", "b", (F.log(count) + F.log("whole") - F.col("log_a") - F.col("log_b")).alias("x")).filter("x > 0")
+    way = lambda a, b: F.struct(F.col(a).alias("other"), F.col(b).alias("word"))
+    ways = F.when(F.col("a") == F.col("b"), F.array(way("a", "b"))).otherwise(F.array(way("a", "b"), way("b", "a")))
+    return valued.select(F.explode(ways).alias("w"), "x").select("w.*", "x")
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    column = batch.column(batch.schema.get_field_index("v"))
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _products(vectors: DataFrame, size: int) -> np.ndarray:
+    """Sums over all vectors of the products of their components."""
+
+    def sums(batches):
+        total = np.zeros((size, size))
+        for batch in batches:
+            if batch.num_rows:
+                v = _matrix(batch)
+                total += v.T @ v
+        yield pa.RecordBatch.from_arrays([pa.array(range(size * size), pa.int32()), pa.array(total.ravel())], names=["i", "x"])
+
+    found = vectors.select("v").mapInArrow(sums, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()  # size * size rows
+    out = np.zeros(size * size)
+    for r in found:
+        out[r["i"]] = r["x"]
+    return out.reshape(size, size)
+
+
+def _power(products: np.ndarray, exponent: float) -> np.ndarray:
+    """The symmetric power of a matrix of products; directions that hold nothing stay out."""
+    values, axes = np.linalg.eigh((products + products.T) / 2)
+    there = values > max(values.max(), 0) * 1e-13
+    return (axes[:, there] * values[there] ** exponent) @ axes[:, there].T
+
+
+def _turned(vectors: DataFrame, by: np.ndarray) -> DataFrame:
+    def turned(batches):
+        for batch in batches:
+            if batch.num_rows:
+                v = (_matrix(batch) @ by).ravel()
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(np.arange(batch.num_rows + 1, dtype=np.int32) * len(by), pa.array(v))], names=["word", "v"])
+
+    return vectors.select("word", "v").mapInArrow(turned, "word string, v array<double>")
 
 
 def semantic_alignment(turns: DataFrame, vectors: DataFrame) -> DataFrame:
     """conv_id, turn_index, cosine_semanticL: the cosine of the summed vectors (word, v) of a turn's words and of those of the one before it.
 
-    vectors may be trained or given; words without one don't count, and a turn without any has no value. Sums are taken by
-    component in one grouping, so no list of words is gathered.
+    vectors may be trained or given; words without one don't count, and a turn without any has no value. A side's components are summed
+    side by side in one grouping, so no list of words is gathered.
     """
     keys = ["conv_id", "turn_index"]
     own = pairs(turns)
+    width = vectors.agg(F.max(F.coalesce(F.size("v"), F.lit(0)))).first()[0] or 0  # one number; the longest vector's
     side = lambda c, name: F.transform(tx.tokens(F.coalesce(F.col(c), F.lit(""))), lambda w: F.struct(F.lit(name).alias("side"), w.alias("word")))
     said = own.select(*keys, F.explode(F.concat(side("prev", "a"), side("text", "b"))).alias("s")).groupBy(*keys, "s.side", "s.word").agg(F.count("*").alias("n"))
-    parts = said.join(vectors.select("word", F.posexplode("v").alias("i", "x")), "word").groupBy(*keys, "i")
-    total = lambda name: F.coalesce(F.sum(F.when(F.col("side") == name, F.col("n") * F.col("x"))), F.lit(0.0))
-    by_part = parts.agg(total("a").alias("a"), total("b").alias("b"))
-    sums = by_part.groupBy(*keys).agg(*[F.sum(F.col(x) * F.col(y)).alias(x + y) for x, y in ("ab", "aa", "bb")])
+    sums = said.join(vectors.select("word", "v"), "word").groupBy(*keys, "side").agg(F.sum("n").alias("words"), *[F.sum(F.col("n") * F.get("v", F.lit(i))).alias(f"s{i}") for i in range(width)])
+    whole = sums.select(*keys, "side", F.array(*[F.coalesce(f"s{i}", F.lit(0.0)) for i in range(width)]).cast("array<double>").alias("v"))
+    of = lambda name: F.max(F.when(F.col("side") == name, F.col("v")))
+    both = whole.groupBy(*keys).agg(of("a").alias("a"), of("b").alias("b")).select(*keys, *[tx.dot(F.col(x), F.col(y)).alias(x + y) for x, y in ("ab", "aa", "bb")])
     value = F.when((F.col("aa") > 0) & (F.col("bb") > 0), F.col("ab") / F.sqrt(F.col("aa") * F.col("bb")))
-    return sums.select(*keys, value.alias("cosine_semanticL")).filter("cosine_semanticL IS NOT NULL")
+    return both.select(*keys, value.alias("cosine_semanticL")).filter("cosine_semanticL IS NOT NULL")
 
 
 def alignment_table(turns: DataFrame, vectors: DataFrame | None = None) -> DataFrame:

@@ -113,3 +113,33 @@ def test_meaning(spark):
     given = spark.createDataFrame([("kitten", [1.0, 0.0]), ("feline", [1.0, 1.0])], "word string, v array<double>")
     assert abs(alignment.semantic_alignment(pairs, given).first().cosine_semanticL - 0.5**0.5) < 1e-9
     assert alignment.word_vectors(pairs.limit(0)).isEmpty()
+
+
+def test_word_vectors_of_matrix(spark):
+    """The vectors are those of the dense matrix, in however many partitions, and the driver gets products of components only."""
+    import random
+    from collections import Counter
+    from math import log
+
+    import numpy as np
+
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefghij"[i % 3 : i % 3 + 6]) for _ in range(12)) for i in range(60)] + ["once a", None, "", "k k k"]
+    turns = spark.createDataFrame([(f"c{i // 10}", i % 10, "AB"[i % 2], t) for i, t in enumerate(texts)], "conv_id string, turn_index long, speaker string, text string")
+    n = Counter()
+    for ws in ((t or "").split() for t in texts):
+        for i, w in enumerate(ws):
+            for d, x in enumerate(ws[i + 1 : i + 4]):
+                n[w, x] += 3 - d
+                n[x, w] += 3 - d
+    words = sorted("abcdefghijk")
+    total = {w: sum(c for (a, _), c in n.items() if a == w) for w in words}
+    whole = sum(x**0.75 for x in total.values())
+    m = np.array([[max(0.0, log(n[a, b] * whole / (total[a] * total[b]) ** 0.875)) if n[a, b] else 0.0 for b in words] for a in words])
+    values, axes = np.linalg.eigh(m)
+    want = (axes * np.abs(values)) @ axes.T  # inner products of vectors as long as the roots of the values
+    for partitions in (1, 5):
+        got = {r.word: r.v for r in alignment.word_vectors(turns, size=16, window=3, iterations=2, partitions=partitions).collect()}
+        assert sorted(got) == [w for i, w in enumerate(words) if m[i].any()]
+        v = np.array([got.get(w, [0.0] * 16) for w in words])
+        assert np.allclose(v @ v.T, want, atol=1e-6)
