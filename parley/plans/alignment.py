@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parley.operators import alignment, inference
+from parley.operators.working import kept
 from parley.sources import conversations as src
 from parley.sources.conversations import TURNS_SQL, table_turns
 
@@ -34,6 +35,7 @@ def alignment_measured_model(spark, sf_dir):
     """measure ~ condition * section + (1 | conversation) over measured turns, each condition against the human one."""
     turns = table_turns(spark, sf_dir)
     rows = src.alignment_sections(alignment.alignment_table(turns, alignment.word_vectors(turns))).withColumn("later", (F.col("section") == "Later").cast("int"))
+    rows = kept(rows.select("condition", "conv_id", "later", "cosine_semanticL", "syntax_stan", "lexical"))
     found = [
         {"measure": dv, **r} for dv in ("cosine_semanticL", "syntax_stan", "lexical")
         for r in inference.mixed_models(rows, dv, "conv_id", "human", ["later"], "condition", src.HUMAN, first=1)
