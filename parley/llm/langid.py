@@ -62,16 +62,17 @@ class Network:
         stay = np.zeros((2, 1, 3 * k), self.w["x"].dtype)
         stay[..., :k] = 100  # the update gate is exactly 1
         u, x = self._joint(), np.concatenate([self.w["x"], stay], 1)
+        u[: 4 * k] *= -1
+        x[..., : 2 * k] *= -1
         h, a = np.zeros((2 * k, n), x.dtype), np.empty((3, 2, k, n), x.dtype)
         for f, b in zip(ahead, back):
             a[:, 0], a[:, 1] = x[0].take(f, 0).T.reshape(3, k, n), x[1].take(b, 0).T.reshape(3, k, n)
             g = u @ h
             zr, own = a[:2].reshape(4 * k, n), a[2].reshape(2 * k, n)
             zr += g[: 4 * k]
-            zr *= 0.5  # the logistic function by tanh
-            np.tanh(zr, out=zr)
-            zr *= 0.5
-            zr += 0.5
+            np.exp(zr, out=zr)  # of the negative sums: the logistic function
+            zr += 1
+            np.divide(1, zr, out=zr)
             z, r, m = zr[: 2 * k], zr[2 * k :], g[4 * k :]
             if keep is not None:
                 keep.append((h.copy(), z.copy(), r.copy(), m.copy()))
