@@ -17,7 +17,7 @@ import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 from heapq import heapify, heappop, heappush
-from itertools import accumulate
+from itertools import accumulate, pairwise
 
 import pyarrow as pa
 import regex
@@ -49,13 +49,14 @@ NEWER_CAPITALS = {
     "1C89": 0x1, "A7CB": -0xA567, "A7CC": 0x1, "A7CE": 0x1, "A7D2": 0x1, "A7D4": 0x1, "A7DA": 0x1, "A7DC": -0xA641,
     "10D50-10D65": 0x20, "16EA0-16EB8": 0x1B,
 }
-#: Pieces and words that a worker remembers in each of two generations, and the longest of them in characters.
-REMEMBERED = 120_000
+#: Pieces and words that a worker remembers in each of two generations, and the longest of them in characters. Words
+#: that come back too late to be remembered take most of the time.
+REMEMBERED = 400_000
 REMEMBERED_CHARS = 64
+#: Ids are below this.
+WIDE = 1 << 20
 #: Texts are handed on in Arrow batches of about so many bytes of output.
 BATCH_BYTES = 8 << 20
-#: Ids and ranks are below this.
-WIDE = 1 << 20
 OUTPUTS = {
     "n_tokens": (T.LongType(), pa.int64()),
     "ids": (T.ArrayType(T.IntegerType(), False), pa.list_(pa.field("element", pa.int32(), False))),
@@ -117,8 +118,13 @@ class Tokenizer:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"] if t["special"]}
         self.strings = {i: s for s, i in [*self.vocab.items(), *self.special.items()]}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        #: left id and right id -> rank and id of the whole, each pair in one number: left * WIDE + right
-        self.merges = {self.vocab[a] * WIDE + self.vocab[b]: rank * WIDE + self.vocab[a + b] for rank, (a, b) in enumerate(pairs)}
+        #: id of the whole of each rank; by left id: right id -> rank
+        self.whole = [self.vocab[a + b] for a, b in pairs]
+        self.ranks: list[dict[int, int]] = [{}] * (max(self.strings) + 1)  # one for all that begin no pair
+        for rank, (a, b) in enumerate(pairs):
+            if not self.ranks[left := self.vocab[a]]:
+                self.ranks[left] = {}
+            self.ranks[left][self.vocab[b]] = rank
         symbols = byte_symbols()
         self.inner = [self.vocab[s] for s in symbols]
         self.final = [self.vocab[s + self.suffix] for s in symbols]
@@ -130,56 +136,75 @@ class Tokenizer:
         self.words_older = regex.compile(words, regex.V1)
         self.gaps = regex.compile(f"[{SPACE_CLASS}]+")
         self.marks = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self.of_word = _Remembered(lambda word: self.merged(word.encode()))
-        self.known = _Remembered(self._piece_both)
+        self.of_word = _Remembered(lambda word: self._with_strings(self.merged(word.encode())))
+        self.known = _Remembered(self.piece)
 
     def merged(self, word: bytes) -> bytes:
         """Ids of one word, packed as little-endian 32-bit numbers, which take a third of a tuple's room.
 
-        Symbols form a doubly linked list. The queue holds rank and place of adjacent pairs in one number;
-        an entry is stale, and skipped, if the pair that now stands at its place has another rank.
+        Symbols form a doubly linked list. The queue holds rank and place of adjacent pairs in one number,
+        and so does at, by place, for the pair that stands there now; an entry that isn't there is stale, and skipped.
         """
         ids = [self.inner[b] for b in word]
         ids[-1] = self.final[word[-1]]
-        n, find = len(ids), self.merges.get
+        n, ranks, whole = len(ids), self.ranks, self.whole
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        queue = [m << 32 | i for i in range(n - 1) if (m := find(ids[i] * WIDE + ids[i + 1])) is not None]
+        at = [-1 if (m := ranks[x].get(y)) is None else m * n + i for i, (x, y) in enumerate(pairwise(ids))]
+        queue = [m for m in at if m >= 0]
+        at.append(-1)
         heapify(queue)
         while queue:
             top = heappop(queue)
-            i = top & 0xFFFFFFFF
-            if (j := after[i]) >= n or find(ids[i] * WIDE + ids[j]) != top >> 32:
+            i = top % n
+            if at[i] != top:
                 continue
-            ids[i] = own = (top >> 32) % WIDE
-            ids[j] = -1
+            ids[i] = own = whole[top // n]
+            j = after[i]
+            ids[j] = at[i] = at[j] = -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (m := find(own * WIDE + ids[k])) is not None:
-                    heappush(queue, m << 32 | i)
-            if (h := before[i]) >= 0 and (m := find(ids[h] * WIDE + own)) is not None:
-                heappush(queue, m << 32 | h)
+                if (m := ranks[own].get(ids[k])) is not None:
+                    at[i] = m = m * n + i
+                    heappush(queue, m)
+            if (h := before[i]) >= 0:
+                if (m := ranks[ids[h]].get(own)) is None:
+                    at[h] = -1
+                else:
+                    at[h] = m = m * n + h
+                    heappush(queue, m)
         ids = [x for x in ids if x >= 0]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def piece(self, text: str) -> bytes:
-        """Packed ids of a piece without white space; strings of special tokens in it stand for their ids."""
-        if not any(mark in text for mark in self.special):
+    def piece(self, text: str) -> tuple[bytes, str]:
+        """Packed ids of a piece without white space, and their strings; those of special tokens in it stand for their ids."""
+        for mark in self.special:
+            if mark in text:
+                break
+        else:
             return self._plain(text)
         out, at = [], 0
         for m in self.marks.finditer(text):
-            out += [self._plain(text[at : m.start()]), struct.pack("<I", self.special[m[0]])]
+            out += [self._plain(text[at : m.start()]), self._with_strings(struct.pack("<I", self.special[m[0]]))]
             at = m.end()
-        return b"".join([*out, self._plain(text[at:])])
+        return self._joined([*out, self._plain(text[at:])])
 
-    def _plain(self, text: str) -> bytes:
+    def _plain(self, text: str) -> tuple[bytes, str]:
         lower = text.lower() if text.isascii() else lowered(composed(text))
         if lower.isalpha():
             return self.of_word[lower]
         if lower[:-1].isalpha() and lower[-1].isascii():  # letters and one mark or digit, which stands alone
-            return self.of_word[lower[:-1]] + self.of_word[lower[-1]]
+            (ids, strings), (last, mark) = self.of_word[lower[:-1]], self.of_word[lower[-1]]
+            return ids + last, f"{strings} {mark}"
         words = self.words_older if not lower.isascii() and _NEWER_LETTER.search(lower) else self.words
-        return b"".join([self.of_word[m[0]] for m in words.finditer(lower)])
+        return self._joined([self.of_word[m] for m in words.findall(lower)])
+
+    def _with_strings(self, ids: bytes) -> tuple[bytes, str]:
+        return ids, self.decode(unpacked(ids))
+
+    @staticmethod
+    def _joined(parts: list[tuple[bytes, str]]) -> tuple[bytes, str]:
+        return b"".join([x[0] for x in parts]), " ".join([x[1] for x in parts if x[0]])
 
     def pieces(self, text: str) -> list[str]:
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to str.split, not to the tokenizer
@@ -187,20 +212,15 @@ class Tokenizer:
         return text.split()
 
     def encode(self, text: str) -> list[int]:
-        return unpacked(b"".join([self.piece(p) for p in self.pieces(text)]))
+        return unpacked(b"".join([self.piece(p)[0] for p in self.pieces(text)]))
 
     def decode(self, ids: Iterable[int]) -> str:
         """The file names no decoder, so the strings of the vocabulary are joined by one blank."""
         return " ".join([self.strings[i] for i in ids])
 
-    def _piece_both(self, piece: str) -> tuple[bytes, str]:
-        ids = self.piece(piece)
-        return ids, self.decode(unpacked(ids))
-
     def both(self, text: str) -> tuple[bytes, str]:
         """Little-endian 32-bit ids, and the decoded text."""
-        found = [self.known[p] for p in self.pieces(text)]
-        return b"".join([x[0] for x in found]), " ".join([x[1] for x in found])
+        return self._joined([self.known[p] for p in self.pieces(text)])
 
 
 class _Remembered(dict):

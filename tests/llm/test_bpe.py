@@ -113,3 +113,14 @@ def test_defined_results(spark, pair):
     assert [(r.doc_id, r.n_tokens, r.decoded) for r in rows] == [(None, 2, "hi</w> there</w>"), (1, 0, ""), (1, 0, ""), (3, 0, "")]
     assert rows[0].ids == pair[1].encode("hi there", add_special_tokens=False).ids
     assert bpe.encoded(docs.limit(0), bpe.production_path()).count() == 0
+
+
+def test_words_that_come_back_late(monkeypatch):
+    """300,000 other words between: each is merged once, and its strings are looked up once."""
+    own, calls = bpe.Tokenizer(bpe.production_path()), []
+    monkeypatch.setattr(own, "merged", lambda word: calls.append(word) or b"\1\0\0\0")
+    digits = str.maketrans("0123456789", "abcdefghij")
+    texts = [" ".join(str(i).translate(digits) for i in range(lo, lo + 1000)) for lo in range(0, 300_000, 1000)]
+    first = [own.both(t) for t in texts]
+    assert len(calls) == 300_000
+    assert [own.both(t) for t in texts] == first and len(calls) == 300_000
