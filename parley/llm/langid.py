@@ -26,16 +26,21 @@ SAMPLE_DOCS, TRAIN_DOCS, PIECES, PIECE_BYTES = 500, 4000, 6, 96
 HIDDEN, EPOCHS, BATCH, RATE = 16, 5, 128, 0.01
 #: Bytes that the network reads without a break.
 SEGMENT = 4096
-#: Segments, and label scores (positions times languages), that are worked on at once; bytes gathered for that.
-AT_ONCE, SCORES, GATHERED = 1024, 1 << 21, 4 << 20
+#: Segments, and label scores (positions times languages), that are worked on at once; bytes of
+#: texts, of as many Arrow batches as it takes, gathered for that.
+AT_ONCE, SCORES, GATHERED = 1024, 1 << 22, 16 << 20
+
+
+def _by_unit(states: np.ndarray) -> np.ndarray:
+    """A copy of [2, n, H] as [2H, n]."""
+    return states.transpose(0, 2, 1).copy().reshape(-1, states.shape[1])
 
 
 class Network:
     """Weights: x [2, 256, 3H], what a byte adds to the gates update, reset and candidate in each direction;
     u [2, 3H, H], what the last state adds; the output layer v [languages, 2H], c [languages].
 
-    Both directions run together, with sequences along the last axis. A step reads byte t forward and byte
-    length - 1 - t backward.
+    Both directions run together. A step reads byte t forward and byte length - 1 - t backward.
     """
 
     def __init__(self, languages: list[str], hidden: int = HIDDEN, seed: int = 3):
@@ -56,31 +61,36 @@ class Network:
         return joint.reshape(6 * k, 2 * k)
 
     def _steps(self, ahead: np.ndarray, back: np.ndarray, keep: list | None = None) -> Iterator[np.ndarray]:
-        """The states [2H, n] after each step; ahead, back: the bytes [steps, n] as each direction reads them.
-        A state is only valid until the next step, unless what gradients need is kept."""
+        """The states [2, n, H] after each step; ahead, back: the bytes [steps, n] as each direction reads them.
+        A state is only valid until the next step, unless what gradients need is kept, each as [2H, n]."""
         k, n = self.h, ahead.shape[1]
-        stay = np.zeros((2, 1, 3 * k), self.w["x"].dtype)
-        stay[..., :k] = 100  # the update gate is exactly 1
-        u, x = self._joint(), np.concatenate([self.w["x"], stay], 1)
-        u[: 4 * k] *= -1
-        x[..., : 2 * k] *= -1
-        h, a = np.zeros((2 * k, n), x.dtype), np.empty((3, 2, k, n), x.dtype)
-        for f, b in zip(ahead, back):
-            a[:, 0], a[:, 1] = x[0].take(f, 0).T.reshape(3, k, n), x[1].take(b, 0).T.reshape(3, k, n)
-            g = u @ h
-            zr, own = a[:2].reshape(4 * k, n), a[2].reshape(2 * k, n)
-            zr += g[: 4 * k]
+        x = np.zeros((2, 257, 3, k), self.w["x"].dtype)
+        x[:, :256] = self.w["x"].reshape(2, 256, 3, k)
+        x[:, 256, 0] = 100  # the update gate is exactly 1
+        # gate by gate, rows of H: so that nothing is turned around and every operation runs over whole arrays
+        x, u = x.reshape(514, 3, k).transpose(1, 0, 2).copy(), self.w["u"].reshape(2, 3, k, k).transpose(1, 0, 3, 2).copy()
+        for w in (x, u):
+            w[:2] *= -1
+            w[2] *= -2
+        h, a, g = np.zeros((2, n, k), x.dtype), np.empty((3, 2, n, k), x.dtype), np.empty((3, 2, n, k), x.dtype)
+        rows, zr, z, r, own, m = a.reshape(3, 2 * n, k), a[:2], a[0], a[1], a[2], g[2]
+        for read in np.concatenate([ahead, back + 257], 1):
+            x.take(read, 1, out=rows, mode="clip")
+            np.matmul(h, u, out=g)
+            zr += g[:2]
             np.exp(zr, out=zr)  # of the negative sums: the logistic function
             zr += 1
             np.divide(1, zr, out=zr)
-            z, r, m = zr[: 2 * k], zr[2 * k :], g[4 * k :]
             if keep is not None:
-                keep.append((h.copy(), z.copy(), r.copy(), m.copy()))
-            m = m * r
+                keep.append((_by_unit(h), _by_unit(z), _by_unit(r), _by_unit(m * -0.5)))
+            m *= r
             m += own
-            np.tanh(m, out=m)
+            np.exp(m, out=m)  # of -2 times the sums: the hyperbolic tangent
+            m += 1
+            np.divide(2, m, out=m)
+            m -= 1
             if keep is not None:
-                keep[-1] += (m.copy(),)
+                keep[-1] += (_by_unit(m),)
             h -= m
             h *= z
             h += m
@@ -90,23 +100,24 @@ class Network:
         """[segments, languages]: sums over all positions of the logarithms of the labels' probabilities. The
         segments' lengths should be alike: what shorter ones are filled up with is not read."""
         sizes = np.array([len(s) for s in segments])
-        n, length, many = len(segments), int(sizes.max()), len(self.languages)
+        n, length, least, many = len(segments), int(sizes.max()), int(sizes.min()), len(self.languages)
         ahead, back = (np.full((n, length), 256, np.intp) for _ in range(2))  # 256: nothing, where a state stays
         for i, s in enumerate(segments):
             ahead[i, : len(s)], back[i, length - len(s) :] = s, s[::-1]
         v, k = self.w["v"], self.h
-        both = np.zeros((2 * many, 2 * k), v.dtype)  # what each direction adds to the labels, apart
-        both[:many, :k], both[many:, k:] = v[:, :k], v[:, k:]
-        scores = np.empty((length, 2 * many, n), v.dtype)
-        for t, h in enumerate(self._steps(ahead.T.copy(), back.T.copy())):
-            np.dot(both, h, out=scores[t])
+        forward, backward = v[:, :k].copy(), v[:, k:].copy()
+        scores = np.empty((length, 2 * many, n), v.dtype)  # what each direction adds to the labels, apart
+        for t, h in enumerate(self._steps(ahead.T, back.T)):
+            np.dot(forward, h[0].T, out=scores[t, :many])
+            np.dot(backward, h[1].T, out=scores[t, many:])
         out = np.zeros((n, many))
         for lo in range(0, length, 64):
             hi = min(length, lo + 64)
             s = scores[lo:hi, :many] + scores[length - hi : length - lo, many:][::-1] + self.w["c"][:, None]
             s -= s.max(1, keepdims=True)
             s -= np.log(np.exp(s).sum(1, keepdims=True))
-            s *= (np.arange(lo, hi)[:, None] < sizes)[:, None]
+            if hi > least:
+                s *= (np.arange(lo, hi)[:, None] < sizes)[:, None]
             out += s.sum(0, dtype=np.float64).T
         return out
 
@@ -114,7 +125,7 @@ class Network:
         """Mean loss over positions of bytes [length, n], and its gradients by backpropagation through time."""
         length, n = data.shape
         k, keep = self.h, []
-        states = np.stack([h.copy() for h in self._steps(data, data[::-1], keep)])
+        states = np.stack([_by_unit(h) for h in self._steps(data, data[::-1], keep)])
         at = np.concatenate([states[:, :k], states[::-1, k:]], 1)  # both directions' states at each position
         s = np.matmul(self.w["v"], at) + self.w["c"][:, None]
         s -= s.max(1, keepdims=True)
@@ -221,8 +232,8 @@ def segments_of(data: np.ndarray) -> Iterator[np.ndarray]:
 class Reader:
     """Pools texts' segments, many texts' together and in groups of like length."""
 
-    def __init__(self, net: Network, texts: int):
-        self.net, self.totals = net, np.zeros((texts, len(net.languages)))
+    def __init__(self, net: Network | None, texts: int):
+        self.net, self.totals = net, np.zeros((texts, len(net.languages) if net else 0))
         self.held: list[tuple[int, np.ndarray]] = []
         self.bytes = 0
 
@@ -244,24 +255,41 @@ class Reader:
         self.held, self.bytes = [], 0
 
 
-def _predicted(batches: Iterator[pa.RecordBatch], net: Network | None) -> Iterator[pa.RecordBatch]:
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in groups of GATHERED bytes at most, or one larger batch."""
+    held, size = [], 0
     for batch in batches:
-        column = batch.column(1)
-        data, offsets = tb.column(column)
-        lettered = [net is not None and any(map(str.isalpha, column[i].as_py() or "")) for i in range(len(column))]
-        langs, scores = [UNKNOWN] * len(column), np.zeros(len(column))
-        if any(lettered):
-            reader = Reader(net, len(column))
-            for i in np.flatnonzero(lettered).tolist():
-                reader.add(i, data[offsets[i] : offsets[i + 1]])
-            reader.flush()
-            mean = reader.totals / np.maximum(np.diff(offsets), 1)[:, None]
-            p = np.exp(mean - mean.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            for i in np.flatnonzero(lettered).tolist():
-                best = int(p[i].argmax())
-                langs[i], scores[i] = net.languages[best], p[i, best]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(np.round(scores, 5))], names=["id", "lang_pred", "score"])
+        if held and size + batch.nbytes > GATHERED:
+            yield held
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield held
+
+
+def _predicted(batches: Iterator[pa.RecordBatch], net: Network | None) -> Iterator[pa.RecordBatch]:
+    for group in _gathered(batches):
+        reader, read, first = Reader(net, sum(map(len, group))), [], 0
+        for batch in group:
+            column = batch.column(1)
+            data, offsets = tb.column(column)
+            lettered = [i for i in range(len(column)) if net is not None and any(map(str.isalpha, column[i].as_py() or ""))]
+            for i in lettered:
+                reader.add(first + i, data[offsets[i] : offsets[i + 1]])
+            read.append((first, lettered, np.diff(offsets)))
+            first += len(batch)
+        reader.flush()
+        for batch, (first, lettered, sizes) in zip(group, read):
+            langs, scores = [UNKNOWN] * len(batch), np.zeros(len(batch))
+            if lettered:
+                mean = reader.totals[first : first + len(batch)] / np.maximum(sizes, 1)[:, None]
+                p = np.exp(mean - mean.max(1, keepdims=True))
+                p /= p.sum(1, keepdims=True)
+                for i in lettered:
+                    best = int(p[i].argmax())
+                    langs[i], scores[i] = net.languages[best], p[i, best]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(np.round(scores, 5))], names=["id", "lang_pred", "score"])
 
 
 def predicted(docs: DataFrame, net: Network | None, id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from parley.llm import langid
 from parley.llm.registry import queries
@@ -68,6 +69,22 @@ def test_every_byte(monkeypatch):
         assert np.allclose(got, sum(plain(net, s.tolist()) for s in cut), atol=1e-3)
 
 
+def test_batches_are_read_together(monkeypatch):
+    """Texts of many small batches run beside each other, each with the result it has alone."""
+    net = langid.Network(["a", "b", "c"], hidden=4, seed=8)
+    net.w = {k: 3 * v for k, v in net.w.items()}
+    texts = [["word", None], [], ["12 3", "é und so weiter, " * 5, "x"], [None], ["the last"]]
+    batches = [pa.RecordBatch.from_pydict({"id": list(range(len(t))), "text": pa.array(t, pa.string())}) for t in texts]
+    alone = [next(langid._predicted(iter([b]), net)).to_pydict() for b in batches]
+    calls, pooled = [], net.pooled
+    monkeypatch.setattr(net, "pooled", lambda segments: calls.append(len(segments)) or pooled(segments))
+    together = [b.to_pydict() for b in langid._predicted(iter(batches), net)]
+    assert [b["lang_pred"] for b in together] == [b["lang_pred"] for b in alone] and calls == [4]
+    assert all(np.allclose(a["score"], b["score"], atol=2e-5) for a, b in zip(together, alone))
+    monkeypatch.setattr(langid, "GATHERED", 100)
+    assert [b["lang_pred"] for b in (x.to_pydict() for x in langid._predicted(iter(batches), net))] == [b["lang_pred"] for b in alone]
+
+
 def test_held_out(spark, sf_dir):
     rows = {r.doc_id: r for r in queries()["op7_langid"](spark, sf_dir).collect()}
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
