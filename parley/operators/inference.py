@@ -194,7 +194,8 @@ def _folded(rows: DataFrame, y: str, group: str, factors: list[str], by: list[st
 
 def _reml(folded: list, factors: list[str]) -> list[dict]:
     """The likelihood, profiled over the ratio of the variances. Terms that the cells don't tell apart share by the
-    pseudo-inverse."""
+    pseudo-inverse. The ratio is where the slope of the profile changes sign: its values near the least tell no more than
+    half of a number's digits."""
     k = 1 << len(factors)
     pattern = [f"n{c}" for c in range(k)]
     design = np.array([[float((c & t) == t) for t in range(k)] for c in range(k)])  # cell -> intercept, main effects, interactions
@@ -215,15 +216,22 @@ def _reml(folded: list, factors: list[str]) -> list[dict]:
         beta = inverse @ b
         rest, df = max(q - b @ beta, 1e-300), big - k
         value = df * math.log(rest / df) + float((m * np.log1p(gamma * total)).sum()) + np.linalg.slogdet(a)[1]
-        return value, beta, inverse, rest / df
+        dw = 1 / (1 + gamma * total) ** 2
+        da = -sum(mi * di * np.outer(x, x) for mi, di, x in zip(m, dw, xn))
+        db = -sum(di * x * s.sum() for s, di, x in zip(sums, dw, xn))
+        dq = -float((dw * full.sum((1, 2))).sum())
+        slope = df * (dq - 2 * db @ beta + beta @ da @ beta) / rest + float((m * total / (1 + gamma * total)).sum()) + np.trace(inverse @ da)
+        return value, slope, beta, inverse, rest / df
 
     grid = [0.0, *np.exp(np.linspace(-10, 7, 60))]
     best = min(range(len(grid)), key=lambda i: fit(grid[i])[0])
     lo, hi = grid[max(0, best - 1)], grid[min(len(grid) - 1, best + 1)]
-    for _ in range(80):  # golden section
-        a, b = hi - 0.618033988749895 * (hi - lo), lo + 0.618033988749895 * (hi - lo)
-        lo, hi = (lo, b) if fit(a)[0] < fit(b)[0] else (a, hi)
-    _, beta, inverse, sigma2 = fit((lo + hi) / 2)
+    if fit(lo)[1] >= 0:
+        hi = lo
+    for _ in range(80):  # bisection
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if fit(mid)[1] < 0 else (lo, mid)
+    _, _, beta, inverse, sigma2 = fit((lo + hi) / 2)
     names = ["intercept", *(":".join(f for i, f in enumerate(factors) if t >> i & 1) for t in range(1, k))]
     se = np.sqrt(np.maximum(np.diag(inverse) * sigma2, 0))
     return [{"term": t, "coef": float(c), "se": float(s), "z": float(c / s) if s else None, "p": special.normal_two_sided(c / s) if s else None, "group_var": float((lo + hi) / 2 * sigma2), "residual_var": float(sigma2)} for t, c, s in zip(names, beta, se)]

@@ -278,6 +278,26 @@ def test_mixed_models_by_condition(spark):
                 assert a["term"] == b["term"] and [a[k] for k in ("coef", "se", "p", "group_var")] == pytest.approx([b[k] for k in ("coef", "se", "p", "group_var")], rel=1e-6)
 
 
+def test_mixed_model_does_not_hang_on_last_digits():
+    """Sums that differ in their last digits, as another order of rows gives them, leave nine digits of the model the same."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    folded = []
+    for g in range(12):  # one group a pattern
+        n = [0, 0, 0, 0]
+        n[g % 2], n[g % 2 + 2] = 3 + g % 3, 2 + g // 4
+        y = [rng.normal(g % 2 + 0.5 * (c > 1) + u, size=k) for u in [rng.normal() * 2] for c, k in enumerate(n)]
+        s = [float(x.sum()) for x in y]
+        folded.append({"m": 1, "yy": float(sum((x * x).sum() for x in y))} | {f"n{c}": n[c] for c in range(4)} | {f"S{c}": s[c] for c in range(4)} | {f"P{a}_{b}": s[a] * s[b] for a in range(4) for b in range(a, 4)})
+    want = inference._reml(folded, ["a", "b"])
+    assert want[0]["group_var"] > 0.1
+    for step in (1e-15, -1e-15, 3e-15):
+        other = [{k: v * (1 + step * (i % 2)) if k[0] in "ySP" else v for k, v in r.items()} for i, r in enumerate(folded)]
+        for a, b in zip(inference._reml(other[::-1], ["a", "b"]), want):
+            assert [a[k] for k in ("coef", "se", "p", "group_var")] == pytest.approx([b[k] for k in ("coef", "se", "p", "group_var")], rel=1e-9)
+
+
 def test_p_values_by_hand(spark):
     """Two groups of three: Welch's p by its integral, the exact rank test, and the equal-variance t of the regression."""
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 3.0), ("b", 4.0), ("b", 5.0), ("b", 6.0)], "g string, v double")
